@@ -133,3 +133,17 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = decontaminate(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query()
+def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in sequences of at most 1024 tokens."""
+    from helix.llm.pack import pack
+
+    return pack(load(spark, sf_dir, "documents"), tokenizer_path()).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
