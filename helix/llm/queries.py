@@ -147,3 +147,13 @@ def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from helix.llm.pack import pack
 
     return pack(load(spark, sf_dir, "documents"), tokenizer_path()).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query()
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from the labelled ones of two thirds of all."""
+    from helix.llm.langid import crc_part, predict, train
+
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang", (crc_part(F.col("doc_id"), 3) == 1).alias("held_out"))
+    model = train(docs.filter("NOT held_out").select("doc_id", "text", "lang"))
+    return predict(docs, model, carry=("doc_id", "held_out"))
