@@ -16,11 +16,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helix.llm.shared import drop_path, new_path
+from helix.llm.shared import drop_path, located, new_path
 
 #: Rows of a group of more members than this are dealt over SALTS keys.
 HOT, SALTS = 1000, 64
@@ -35,17 +34,6 @@ def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """docs with the row's place as columns _file and _row. A table that isn't read from files is written to the shared folder first."""
-    try:
-        return docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    except AnalysisException:
-        path = new_path(docs.sparkSession, "docs")
-        docs.write.parquet(path)
-        again = docs.sparkSession.read.schema(docs.schema).parquet(path)
-        return again.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-
-
 def grouped_by_state(spark: SparkSession, log_path: str, schema, bytes_per_batch: int) -> DataFrame:
     """The log as a stream through the keyed state -> digest, keep (doc_id, _file, _row of the row that stays), size."""
     session = spark.newSession()  # the state's settings stay out of the caller's session

@@ -157,3 +157,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang", (crc_part(F.col("doc_id"), 3) == 1).alias("held_out"))
     model = train(docs.filter("NOT held_out").select("doc_id", "text", "lang"))
     return predict(docs, model, carry=("doc_id", "held_out"))
+
+
+@query()
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class of near copies."""
+    from helix.llm.near_dedup import near_dedup
+
+    return near_dedup(load(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
