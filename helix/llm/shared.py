@@ -47,7 +47,10 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def located(docs: DataFrame) -> DataFrame:
-    """docs with the row's place as columns _file and _row. A table that isn't read from files is written to the shared folder first."""
+    """docs with the row's place as columns _file and _row. A table that isn't read from files is written to the shared folder first; one that has
+    these columns stays as it is."""
+    if {"_file", "_row"} <= set(docs.columns):
+        return docs
     try:
         return docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
     except AnalysisException:
