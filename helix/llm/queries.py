@@ -165,3 +165,12 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from helix.llm.near_dedup import near_dedup
 
     return near_dedup(load(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
+
+
+@query()
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's base and model score, learned from six sevenths of all."""
+    from helix.llm.langid import crc_part
+    from helix.llm.lm_score import lm_score
+
+    return lm_score(load(spark, sf_dir, "documents"), crc_part(F.col("doc_id"), 7) == 2)
