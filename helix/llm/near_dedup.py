@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from helix.llm import words as W
 from helix.llm.shared import located, written
+from helix.llm.sieve import Sieve
 from helix.llm.similar import similarity_classes
 from helix.llm.sketch import bands, bytes_of, sketches
 
@@ -94,7 +95,9 @@ def near_dedup(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8, coo
     def texts_of(ids: DataFrame) -> DataFrame:
         """By their place in the table."""
         places = all_rows.select("id", "_file", "_row").join(ids, "id")
-        return rows.select("text", "_file", "_row").join(places, ["_file", "_row"]).select("id", "text")
+        place = F.xxhash64("_file", "_row")
+        some = rows.filter(Sieve(places.select(place.alias("h"))).column(place)).select("text", "_file", "_row")
+        return some.join(places, ["_file", "_row"]).select("id", "text")
 
     roots = similarity_classes(members, texts_of, shingles, threshold=threshold, floor=threshold - 0.2)
     classes = same.join(roots.withColumnRenamed("id", "member"), "member", "left").select("key", F.coalesce("root", "member").alias("root"))

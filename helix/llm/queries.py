@@ -174,3 +174,12 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from helix.llm.lm_score import lm_score
 
     return lm_score(load(spark, sf_dir, "documents"), crc_part(F.col("doc_id"), 7) == 2)
+
+
+@query()
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's lines and those of them that go."""
+    from helix.llm.line_dedup import line_decisions
+
+    found = line_decisions(load(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", (F.col("n_lines") - F.size("dropped")).alias("n_kept"), F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped"))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from helix.llm import words as W
 from helix.llm.components import components
 from helix.llm.shared import written
+from helix.llm.sieve import Sieve
 
 Shingler = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
@@ -62,14 +63,28 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, shingles: Shingler, thresh
     return both.mapInArrow(verify, "a long, b long")
 
 
+def banded(members: DataFrame, sieve: Sieve) -> DataFrame:
+    """A row (id, h) for each band of a member that may be another's as well."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b["bands"]
+            h = lists.flatten().to_numpy(zero_copy_only=False)
+            ids = np.repeat(b["id"].to_numpy(zero_copy_only=False), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            ok = sieve.holds(h.view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[ok]), pa.array(h[ok])], ["id", "h"])
+
+    return members.select("id", "bands").mapInArrow(run, "id long, h long")
+
+
 def similarity_classes(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shingles: Shingler, *, threshold: float, floor: float) -> DataFrame:
     """members (id, sketch: binary, bands: array of long; distinct ids) -> id, root: for every member with a similar one, the smallest id of its class.
 
     texts_of gives the texts (id, text) of some ids.
     """
     rows = members.select("id", F.explode("bands").alias("h"))
-    least = rows.groupBy("h").agg(F.min("id").alias("m"), F.count("*").alias("n")).filter("n > 1").select("h", "m")
-    shared = written(rows.join(least, "h"), "buckets")
+    least = written(rows.groupBy("h").agg(F.min("id").alias("m"), F.count("*").alias("n")).filter("n > 1").select("h", "m"), "least")
+    shared = written(banded(members, Sieve(least.select("h"))).join(least, "h"), "buckets")
     first = written(near_pairs(shared.filter("id <> m").select(F.col("m").alias("a"), F.col("id").alias("b")).distinct(), members, floor), "pairs")
     texts = written(texts_of(first.select(F.col("a").alias("id")).unionByName(first.select(F.col("b").alias("id"))).distinct()), "texts")
     links = written(similar_pairs(first, texts, shingles, threshold), "links")
