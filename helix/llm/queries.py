@@ -183,3 +183,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = line_decisions(load(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", (F.col("n_lines") - F.size("dropped")).alias("n_kept"), F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped"))
+
+
+@query()
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text with surrogates."""
+    from helix.llm.pii import replace_pii
+
+    return replace_pii(load(spark, sf_dir, "documents").select("doc_id", "text"), "a key of this corpus").select("doc_id", "text", "n_entities")
