@@ -1,9 +1,16 @@
 """Classes of similar texts: banded sketches nominate, exact similarity decides, union-find joins. Used for documents and for lines.
 
-In each bucket of a band, members meet the bucket's smallest id, so a bucket of thousands gives as many pairs, not their square.
-Pairs whose sketches are far apart are dropped (by a margin of many standard deviations), the rest verified on the texts, and
-components formed. Only in buckets that still hold several components are the pairs across components verified as well; those
-within one component can't change it. No link between buckets' members is left out.
+In each bucket of a band, members meet one of them, the pivot: that which shares most buckets with others. So a bucket of thousands
+gives as many pairs, not their square. Pairs whose sketches are not far apart are measured on the texts, and components formed.
+What could still join two components is then bounded, not listed:
+
+- Two members that were both measured against a pivot share at most the smaller of their overlaps with it, and elements that it
+  lacks. Only pairs for which this can reach the threshold are verified. They are found in blocks of a pivot's members by
+  counting the shared elements that the pivot lacks.
+- A member far from the pivot can be similar only to members that are not close to it (distances obey the triangle inequality);
+  such members of a bucket are paired, their sketches compared, and what is left is verified.
+
+No link between members of a bucket is left out, but for the chance that sketches err by many standard deviations.
 """
 
 from __future__ import annotations
@@ -11,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,85 +29,142 @@ from helix.llm.shared import written
 from helix.llm.sieve import Sieve
 
 Shingler = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+#: Sketches under FAR are of pairs that are not measured; over CLOSE, of pairs that are surely similar to a good degree. Members of a block.
+FAR, CLOSE, BLOCK = 0.35, 0.8, 1500
+
+
+def banded(members: DataFrame, sieve: Sieve) -> DataFrame:
+    """A row (id, h) for each band of a member that may be another's as well."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b["bands"]
+            h = lists.flatten().to_numpy(zero_copy_only=False)
+            ids = np.repeat(b["id"].to_numpy(zero_copy_only=False), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            ok = sieve.holds(h.view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[ok]), pa.array(h[ok])], ["id", "h"])
+
+    return members.select("id", "bands").mapInArrow(run, "id long, h long")
+
 
+def buckets(members: DataFrame) -> DataFrame:
+    """h, id, pivot: the members of each bucket that has several."""
+    rows = members.select("id", F.explode("bands").alias("h"))
+    sizes = written(rows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
+    shared = written(banded(members, Sieve(sizes.select("h"))).join(sizes, "h"), "shared")
+    ranked = shared.join(shared.groupBy("id").agg(F.sum("n").alias("p")), "id")
+    pivots = ranked.groupBy("h").agg(F.max(F.struct("p", (-F.col("id")).alias("i"))).alias("x")).select("h", (-F.col("x.i")).alias("pivot"))
+    return written(shared.select("h", "id").join(pivots, "h"), "buckets")
 
-def near_pairs(pairs: DataFrame, sketches: DataFrame, floor: float) -> DataFrame:
-    """pairs (a, b) whose sketches (id, sketch: a byte for each coordinate) agree in a share of at least floor."""
+
+def compared(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """pairs (a, b) with est, the share of coordinates in which their sketches (id, sketch: a byte for each) agree."""
     s = sketches.select("id", "sketch")
     both = pairs.join(s.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(s.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
 
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 x, y = (np.frombuffer(b"".join(b[c].to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("sa", "sb"))
-                ok = pa.array((x == y).mean(axis=1) >= floor)
-                yield b.select(["a", "b"]).filter(ok)
+                yield pa.RecordBatch.from_arrays([b["a"], b["b"], pa.array((x == y).mean(axis=1))], ["a", "b", "est"])
 
-    return both.mapInArrow(close, "a long, b long")
+    return both.mapInArrow(run, "a long, b long, est double")
 
 
-def similar_pairs(pairs: DataFrame, texts: DataFrame, shingles: Shingler, threshold: float) -> DataFrame:
-    """pairs (a, b) whose texts (id, text) have a weighted Jaccard similarity of at least threshold: counts of shingles, least over greatest."""
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+def cells(values: np.ndarray) -> np.ndarray:
+    """A multiset as a set: the k-th occurrence of a value is an element of its own. In order."""
+    v = np.sort(values)
+    first = np.searchsorted(v, v)
+    return np.unique(W.mixed(v + (np.arange(len(v)) - first).astype(W.U) * W.U(0x9FB21C651E98DF25)))
 
-    def sets(column: pa.Array, first: int, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-        h, row = shingles(data, offsets)
-        return np.split(h, np.searchsorted(row, np.arange(1, len(offsets) - 1)))
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first in range(0, batch.num_rows, 64):
-                b = batch.slice(first, 64)
-                x, y = ([s for at, data, offsets in W.chunks(b[c]) for s in sets(b[c], at, data, offsets)] for c in ("ta", "tb"))
-                ok = []
-                for p, q in zip(x, y, strict=True):
-                    (pv, pn), (qv, qn) = np.unique(p, return_counts=True), np.unique(q, return_counts=True)
-                    _, i, j = np.intersect1d(pv, qv, assume_unique=True, return_indices=True)
-                    least = int(np.minimum(pn[i], qn[j]).sum())
-                    most = len(p) + len(q) - least
-                    ok.append(most > 0 and least >= threshold * most - 1e-9)
-                yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    return both.mapInArrow(verify, "a long, b long")
 
+def measured(pairs: DataFrame, texts: DataFrame, shingles: Shingler, with_extra: bool) -> DataFrame:
+    """pairs (a, b) with inter, na, nb: the shingles that the texts (id, text) have in common and have, by count; extra: what b has and a has not."""
+    both = pairs.select("a", "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
 
-def banded(members: DataFrame, sieve: Sieve) -> DataFrame:
-    """A row (id, h) for each band of a member that may be another's as well."""
+    def sets(column: pa.Array) -> list[np.ndarray]:
+        out = []
+        for _, data, offsets in W.chunks(column):
+            h, row = shingles(data, offsets)
+            out += [cells(x) for x in np.split(h, np.searchsorted(row, np.arange(1, len(offsets) - 1)))]
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = b["bands"]
-            h = lists.flatten().to_numpy(zero_copy_only=False)
-            ids = np.repeat(b["id"].to_numpy(zero_copy_only=False), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-            ok = sieve.holds(h.view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[ok]), pa.array(h[ok])], ["id", "h"])
-
-    return members.select("id", "bands").mapInArrow(run, "id long, h long")
+        for batch in batches:
+            for first in range(0, batch.num_rows, 64):
+                b = batch.slice(first, 64)
+                x, y = sets(b["ta"]), sets(b["tb"])
+                shared = [np.isin(q, p, assume_unique=True) for p, q in zip(x, y, strict=True)]
+                extra = [q[~s].view(np.int64) if with_extra else [] for q, s in zip(y, shared, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [b["a"], b["b"], pa.array([int(s.sum()) for s in shared]), pa.array([len(p) for p in x]), pa.array([len(q) for q in y]), pa.array(extra, pa.list_(pa.int64()))], ["a", "b", "inter", "na", "nb", "extra"]
+                )
+
+    return both.mapInArrow(run, "a long, b long, inter long, na long, nb long, extra array<long>")
+
+
+def similar(threshold: float):
+    """The condition on what measured() gives."""
+    return (F.col("inter") > 0) & (F.col("inter") * (1 + threshold) >= threshold * (F.col("na") + F.col("nb")) - 1e-9)
+
+
+def possible_pairs(around: DataFrame, threshold: float) -> DataFrame:
+    """around (a, b, inter, nb, extra, root, linked): the measured members b of pivots a -> pairs (a, b) of members of different components, at least one
+    of them not linked with the pivot, that may be similar by what they have in common with it and beside it."""
+    sizes = around.groupBy("a").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("a", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    salted = around.join(sizes, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
+    tiled = salted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"p": F.least("salt", "other"), "q": F.greatest("salt", "other")})
+
+    def pairs(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("b")
+        b, root, n, inter, salt, linked = (rows[c].to_numpy() for c in ("b", "root", "nb", "inter", "salt", "linked"))
+        lengths = rows["extra"].map(len).to_numpy()
+        values, owner = np.concatenate([np.asarray(x, np.int64) for x in rows["extra"]]), np.repeat(np.arange(len(rows)), lengths)
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], owner[order]
+        cut = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, np.int64)
+        share = np.zeros((len(rows), len(rows)), np.int32)
+        for i, j in zip(cut, np.r_[cut[1:], len(values)], strict=True):
+            if j - i > 1:
+                share[np.ix_(owner[i:j], owner[i:j])] += 1
+        most = share + np.minimum(inter[:, None], inter[None, :])
+        ok = most * (1 + threshold) >= threshold * (n[:, None] + n[None, :]) - 1e-9
+        ok &= (root[:, None] != root[None, :]) & ~(linked[:, None] & linked[None, :])
+        if rows["p"].iloc[0] != rows["q"].iloc[0]:
+            ok &= salt[:, None] != salt[None, :]
+        i, j = np.nonzero(np.triu(ok, 1))
+        return pd.DataFrame({"a": b[i], "b": b[j]})
+
+    return tiled.groupBy("a", "p", "q").applyInPandas(pairs, "a long, b long").distinct()
 
 
 def similarity_classes(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shingles: Shingler, *, threshold: float, floor: float) -> DataFrame:
     """members (id, sketch: binary, bands: array of long; distinct ids) -> id, root: for every member with a similar one, the smallest id of its class.
 
-    texts_of gives the texts (id, text) of some ids.
+    texts_of gives the texts (id, text) of some ids. floor: sketches that agree less are of no similar pair.
     """
-    rows = members.select("id", F.explode("bands").alias("h"))
-    least = written(rows.groupBy("h").agg(F.min("id").alias("m"), F.count("*").alias("n")).filter("n > 1").select("h", "m"), "least")
-    shared = written(banded(members, Sieve(least.select("h"))).join(least, "h"), "buckets")
-    first = written(near_pairs(shared.filter("id <> m").select(F.col("m").alias("a"), F.col("id").alias("b")).distinct(), members, floor), "pairs")
-    texts = written(texts_of(first.select(F.col("a").alias("id")).unionByName(first.select(F.col("b").alias("id"))).distinct()), "texts")
-    links = written(similar_pairs(first, texts, shingles, threshold), "links")
-    roots = written(components(links.withColumnsRenamed({"a": "u", "b": "v"})), "roots")
-
-    labelled = shared.select("h", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = labelled.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("h")
-    across = labelled.join(mixed, "h")
-    pairs = across.select("h", F.col("id").alias("a"), F.col("root").alias("ra")).join(across.select("h", F.col("id").alias("b"), F.col("root").alias("rb")), "h").filter("a < b AND ra <> rb").select("a", "b").distinct()
-    tried = shared.filter("id <> m").select(F.col("m").alias("a"), F.col("id").alias("b")).distinct()
-    second = written(near_pairs(pairs.join(tried, ["a", "b"], "left_anti"), members, floor), "pairs")
-    if second.isEmpty():
+    ends = lambda p: p.select(F.col("a").alias("id")).unionByName(p.select(F.col("b").alias("id"))).distinct()
+    shared = buckets(members)
+    stars = written(compared(shared.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), members), "stars")
+    near = stars.filter(F.col("est") >= FAR)
+    texts = written(texts_of(ends(near)), "texts")
+    known = written(measured(near, texts, shingles, True), "measured")
+    links = known.filter(similar(threshold)).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    roots = written(components(links), "roots")
+
+    root = F.coalesce("root", "id")
+    around = known.withColumnRenamed("b", "id").join(roots, "id", "left").withColumn("root", root).withColumnRenamed("id", "b").withColumn("linked", similar(threshold))
+    possible = possible_pairs(around, threshold)
+    apart = shared.filter("id <> pivot").join(stars.filter(F.col("est") < CLOSE).select(F.col("a").alias("pivot"), F.col("b").alias("id"), "est"), ["pivot", "id"]).join(roots, "id", "left").withColumn("root", root)
+    x, y = apart.filter(F.col("est") < FAR).select("h", F.col("id").alias("a"), F.col("root").alias("ra")), apart.select("h", F.col("id").alias("b"), F.col("root").alias("rb"))
+    far = x.join(y, (x["h"] == y["h"]) & (F.col("ra") != F.col("rb"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    tried = known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    again = compared(possible.unionByName(far).distinct().join(tried, ["a", "b"], "left_anti"), members).filter(F.col("est") >= floor)
+    again = written(again, "again")
+    if again.isEmpty():
         return roots
-    texts = written(texts_of(second.select(F.col("a").alias("id")).unionByName(second.select(F.col("b").alias("id"))).distinct()), "texts")
-    more = written(similar_pairs(second, texts, shingles, threshold), "links")
+    texts = written(texts_of(ends(again)), "texts")
+    more = written(measured(again, texts, shingles, False).filter(similar(threshold)), "more")
     if more.isEmpty():
         return roots
     return written(components(roots.select(F.col("id").alias("u"), F.col("root").alias("v")).unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v")))), "roots")
