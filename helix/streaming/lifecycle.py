@@ -129,7 +129,7 @@ class Lifecycle(StatefulProcessor):
 
 def job_lifecycle(events: DataFrame, timeout_ms: int = 30_000) -> DataFrame:
     """A stream of events (with arrival, their order) -> a stream of what each did. Needs the RocksDB state store."""
-    return events.groupBy("job_id").transformWithState(statefulProcessor=Lifecycle(timeout_ms), outputStructType=OUTPUT, outputMode="Update", timeMode="ProcessingTime")
+    return events.groupBy("job_id").transformWithState(statefulProcessor=Lifecycle(timeout_ms), outputStructType=OUTPUT, outputMode="Update", timeMode="ProcessingTime" if timeout_ms else "None")
 
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
