@@ -30,7 +30,7 @@ from helix.llm.sieve import Sieve
 
 Shingler = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 #: Sketches under FAR are of pairs that are not measured; over CLOSE, of pairs that are surely similar to a good degree. Members of a block.
-FAR, CLOSE, BLOCK = 0.35, 0.8, 1500
+FAR, CLOSE, BLOCK, ELEMENTS = 0.35, 0.8, 1000, 1_000_000
 
 
 def banded(members: DataFrame, sieve: Sieve) -> DataFrame:
@@ -111,7 +111,7 @@ def similar(threshold: float):
 def possible_pairs(around: DataFrame, threshold: float) -> DataFrame:
     """around (a, b, inter, nb, extra, root, linked): the measured members b of pivots a -> pairs (a, b) of members of different components, at least one
     of them not linked with the pivot, that may be similar by what they have in common with it and beside it."""
-    sizes = around.groupBy("a").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("a", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    sizes = around.groupBy("a").agg(F.count("*").alias("n"), F.sum(F.size("extra")).alias("e"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("a", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("e") / ELEMENTS)).cast("int").alias("blocks"))
     salted = around.join(sizes, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
     tiled = salted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"p": F.least("salt", "other"), "q": F.greatest("salt", "other")})
 
