@@ -124,7 +124,7 @@ def possible_pairs(around: DataFrame, threshold: float) -> DataFrame:
         values, owner = values[order], owner[order]
         cut = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, np.int64)
         share = np.zeros((len(rows), len(rows)), np.int32)
-        for i, j in zip(cut, np.r_[cut[1:], len(values)], strict=True):
+        for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(values)], strict=False):  # none without values
             if j - i > 1:
                 share[np.ix_(owner[i:j], owner[i:j])] += 1
         most = share + np.minimum(inter[:, None], inter[None, :])
