@@ -92,6 +92,14 @@ def test_near_hot_group_with_bridges(spark):
     assert got == {i: find(i) for i in range(len(s))}
 
 
+def test_near_copies_that_are_parts_of_another(spark):
+    """Cut copies have nothing that the whole lacks."""
+    w = [f"t{i}" for i in range(150)]
+    cuts = [*range(0, 60, 2), 75, 90]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup(spark.createDataFrame([(k, " ".join(w[: 150 - k])) for k in cuts], "doc_id long, text string")).collect()}
+    assert got == {k: 0 if k <= 75 else 90 for k in cuts}
+
+
 def test_lines(docs, none, spark):
     r = line_decisions(docs).collect()
     assert len(r) == len(ROWS) and sum(len(x["dropped"]) for x in r) == 3
