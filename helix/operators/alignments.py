@@ -95,15 +95,31 @@ def contig_report(records: DataFrame, cov: DataFrame) -> DataFrame:
     return contig_counts(records).join(cov, "contig", "full_outer").fillna(0)
 
 
+#: Bases of a reference piece.
+PIECE = 4096
+
+
+def reference_pieces(reference: DataFrame, more: int = 0) -> DataFrame:
+    """reference (contig, seq) -> contig, piece (from 0), text: pieces of PIECE bases in upper case, each with so many more bases of the next."""
+    n = F.ceil(F.length("seq") / PIECE)
+    cut = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(n - 1, F.lit(0))), lambda i: F.substr("seq", (i * PIECE + 1).cast("int"), F.lit(PIECE + more)))
+    return reference.select("contig", F.posexplode(cut).alias("piece", "text")).select("contig", F.col("piece").cast("long").alias("piece"), F.upper("text").alias("text"))
+
+
 def observations(records: DataFrame, reference: DataFrame, options: SnvOptions = SnvOptions()) -> DataFrame:
     """Every aligned base of eligible records (rname, pos from 1, cigar, seq, qual) against reference (contig, seq) -> contig, pos, ref, base, quality, class.
 
-    A record has its contig's text beside it only by broadcast or join of the contig table; the walk then stays within the row.
+    The reference is cut into pieces, and a stretch of a record meets only the pieces that it lies on, by an equi-join.
     """
     e = records.filter((eligibility("flag", "mapq", options.min_mapq) == "eligible") & cigar_valid("cigar"))
     walked = e.select("rname", "pos", "seq", "qual", F.explode(F.filter(cigar_walk(parse_cigar("cigar")), lambda x: x["op"].isin("M", "=", "X"))).alias("b"))
     stretch = walked.select("rname", (F.col("pos") + F.col("b.ref")).alias("s"), F.substr("seq", F.col("b.read") + 1, F.col("b.n")).alias("bases"), F.substr("qual", F.col("b.read") + 1, F.col("b.n")).alias("quals"))
-    with_ref = stretch.join(reference.select(F.col("contig").alias("rname"), F.upper("seq").alias("_ref")), "rname").withColumn("_ref", F.substr("_ref", F.col("s").cast("int"), F.length("bases")))
+    stretch = stretch.filter(F.length("bases") > 0).withColumn("e", F.col("s") + F.length("bases"))
+    on = stretch.select("*", F.explode(F.sequence(F.floor((F.col("s") - 1) / PIECE), F.floor((F.col("e") - 2) / PIECE))).alias("piece"))
+    lo, hi = F.greatest("s", F.col("piece") * PIECE + 1), F.least("e", (F.col("piece") + 1) * PIECE + 1)
+    on = on.withColumns({"lo": lo, "n": (hi - lo).cast("int")}).select("rname", "piece", "n", F.col("lo").alias("s"), F.substr("bases", (F.col("lo") - F.col("s") + 1).cast("int"), F.col("n")).alias("bases"), F.substr("quals", (F.col("lo") - F.col("s") + 1).cast("int"), F.col("n")).alias("quals"))
+    ref = reference_pieces(reference).select(F.col("contig").alias("rname"), "piece", F.col("text").alias("_ref"))
+    with_ref = on.join(ref, ["rname", "piece"]).withColumn("_ref", F.substr("_ref", (F.col("s") - F.col("piece") * PIECE).cast("int"), F.col("n"))).filter(F.length("_ref") > 0)
     each = with_ref.select("rname", F.explode(F.transform(F.sequence(F.lit(0), F.length("bases") - 1), lambda i: F.struct((F.col("s") + i).alias("pos"), F.substr("_ref", i + 1, F.lit(1)).alias("ref"), F.upper(F.substr("bases", i + 1, F.lit(1))).alias("base"), (F.ascii(F.substr("quals", i + 1, F.lit(1))) - 33).alias("quality")))).alias("o"))
     o = each.select(F.col("rname").alias("contig"), "o.*")
     return o.withColumn("class", observation_class(F.col("ref"), F.col("base"), F.col("quality"), options.min_base_quality)).withColumn("base", F.when(F.col("base") == "=", F.col("ref")).otherwise(F.col("base")))
