@@ -19,7 +19,7 @@ def _chars(a: int, b: int) -> str:
 def phred(qual: Column | str) -> Column:
     """Array of phred scores."""
     q = col(qual)
-    return F.when(F.length(q) == 0, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(q), F.lit(1))), lambda i: F.ascii(F.substr(q, i, F.lit(1))) - OFFSET))
+    return F.when(F.length(q) == 0, F.array().cast("array<int>")).otherwise(F.transform(F.split(q, ""), lambda c: F.ascii(c) - OFFSET))
 
 
 def quality_profile(qual: Column | str) -> Column:

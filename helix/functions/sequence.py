@@ -44,5 +44,5 @@ def contig_name(header: Column | str) -> Column:
 def canonical_hamming(a: Column | str, b: Column | str) -> Column:
     """Places in which a and b, of the same length, aren't the same one of A, C, G and T; N against N counts."""
     x, y = F.upper(col(a)), F.upper(col(b))
-    differ = lambda n, i: n + F.when((F.substr(x, i, F.lit(1)) == F.substr(y, i, F.lit(1))) & F.substr(x, i, F.lit(1)).isin(*CANONICAL), 0).otherwise(1)
-    return F.when(F.length(x) == 0, 0).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), F.lit(0), differ))
+    differ = F.filter(F.zip_with(F.split(x, ""), F.split(y, ""), lambda p, q: (p == q) & p.isin(*CANONICAL)), lambda same: ~same)
+    return F.when(F.length(x) == 0, 0).otherwise(F.size(differ))

@@ -8,6 +8,11 @@ READS = """SELECT doc_id AS read_id, lang, substr(translate(l, 'abcdefghijklmnop
     substr(translate(l, 'abcdefghijklmnopqrstuvwxyz', 'I!5?H0:I+DI4I7I9A2IBIFIC3I'), 1, 150) AS qual
     FROM (SELECT doc_id, lang, lower(regexp_replace(text, '[^A-Za-z]', ''{g})) AS l FROM documents) x WHERE length(l) >= 20"""
 
+#: The same without a bound: a read is all of a document.
+WHOLE_READS = """SELECT doc_id AS read_id, lang, translate(l, 'abcdefghijklmnopqrstuvwxyz', 'AACCGGTTACGTACGTNACGTRACGT') AS seq,
+    translate(l, 'abcdefghijklmnopqrstuvwxyz', 'I!5?H0:I+DI4I7I9A2IBIFIC3I') AS qual
+    FROM (SELECT doc_id, lang, lower(regexp_replace(text, '[^A-Za-z]', ''{g})) AS l FROM documents) x WHERE length(l) >= 20"""
+
 ALIGNMENTS = """SELECT concat('chr', cast(l_suppkey % 5 + 1 AS {s})) AS rname, l_partkey + 1 AS pos,
     concat(CASE l_linenumber % 3 WHEN 0 THEN '5S' ELSE '' END, cast(cast(l_quantity AS int) AS {s}), 'M', CASE l_linenumber % 3 WHEN 2 THEN '2D3M' ELSE '' END) AS cigar,
     cast((CASE l_returnflag WHEN 'A' THEN 1024 WHEN 'R' THEN 16 ELSE 0 END)
@@ -50,8 +55,8 @@ PLANS = """SELECT cast(c_custkey AS {s}) AS job_id, cast(c_nationkey % 5 + CASE
 FILES = """SELECT o_orderkey AS file_id, concat('f', cast(o_orderkey AS {s}), CASE o_orderkey % 7 WHEN 0 THEN '.fastq.gz' WHEN 1 THEN '.FQ' WHEN 2 THEN '.fa' WHEN 3 THEN '.bam' WHEN 4 THEN '.vcf ' WHEN 5 THEN '.tsv' ELSE '.doc' END) AS file_name,
     cast(o_custkey * 3 AS bigint) AS size, CASE WHEN o_orderkey % 3 = 0 THEN 'reference' ELSE 'managed_copy' END AS storage_mode, o_orderdate AS modified FROM orders"""
 
-ALL = {"reads": READS, "alignments": ALIGNMENTS, "dictionary": DICTIONARY, "variants": VARIANTS, "run_events": EVENTS, "jobs": JOBS, "artifacts": ARTIFACTS, "run_plans": PLANS, "files": FILES}
-TABLES = {"reads": ["documents"], "alignments": ["lineitem"], "dictionary": ["lineitem"], "variants": ["orders"], "run_events": ["events"], "jobs": ["customer"], "artifacts": ["orders"], "run_plans": ["customer"], "files": ["orders"]}
+ALL = {"reads": READS, "whole_reads": WHOLE_READS, "alignments": ALIGNMENTS, "dictionary": DICTIONARY, "variants": VARIANTS, "run_events": EVENTS, "jobs": JOBS, "artifacts": ARTIFACTS, "run_plans": PLANS, "files": FILES}
+TABLES = {"reads": ["documents"], "whole_reads": ["documents"], "alignments": ["lineitem"], "dictionary": ["lineitem"], "variants": ["orders"], "run_events": ["events"], "jobs": ["customer"], "artifacts": ["orders"], "run_plans": ["customer"], "files": ["orders"]}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -25,8 +25,9 @@ def n_of(letters: str, s: str = "seq") -> str:
 COMP = f"{n_of('ACGT')} AS canonical, {n_of('GC')} AS gc, {n_of('N')} AS n, {n_of('RYSWKMBDHV')} AS ambiguous"
 
 
-def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "reads")
+def reads(spark: SparkSession, source: str | DataFrame) -> DataFrame:
+    """The first 150 letters of the documents of a folder; or reads, as they are."""
+    return source if isinstance(source, DataFrame) else table(spark, source, "reads")
 
 
 @query("P1_base_composition", f"{D} SELECT read_id, {COMP}, regexp_matches(seq, '^[ACGTNRYSWKMBDHV]+$') AS valid FROM reads")
@@ -153,11 +154,13 @@ ERRORS = "CASE WHEN seq1 IS NULL OR seq2 IS NULL THEN 'missing_mate' WHEN ordina
 PAIRS = f"{MATES}, p AS (SELECT *, {ERRORS} AS pair_error FROM m1 FULL OUTER JOIN m2 USING (ordinal))"
 
 
-def pairs(spark: SparkSession, d: str) -> DataFrame:
+def pairs(spark: SparkSession, d: str | DataFrame, most: int | None = 100) -> DataFrame:
+    """Mates cut from reads: up to most bases from the first and from the 31st on (None: all)."""
     r = reads(spark, d)
+    cut = lambda c, at: F.substr(c, F.lit(at), F.length(c) if most is None else F.lit(most))
     num = lambda n, a, b: F.concat(F.lit("@p"), F.when(F.col("read_id") % n == 0, a).otherwise(b))
-    one = r.filter("read_id % 31 <> 0").select(F.col("read_id").alias("ordinal"), F.concat(F.lit("@p"), "read_id", F.when(F.col("read_id") % 29 == 0, "/2").otherwise("/1")).alias("header"), F.substr("seq", F.lit(1), F.lit(100)).alias("seq"), F.substr("qual", F.lit(1), F.lit(100)).alias("qual"))
-    two = r.filter("read_id % 41 <> 0 AND length(seq) > 30").select(F.col("read_id").alias("ordinal"), F.concat(num(37, (F.col("read_id") + 1).cast("string"), F.col("read_id").cast("string")), F.lit(" 2:N")).alias("header"), F.substr("seq", F.lit(31), F.lit(100)).alias("seq"), F.substr("qual", F.lit(31), F.lit(100)).alias("qual"))
+    one = r.filter("read_id % 31 <> 0").select(F.col("read_id").alias("ordinal"), F.concat(F.lit("@p"), "read_id", F.when(F.col("read_id") % 29 == 0, "/2").otherwise("/1")).alias("header"), cut("seq", 1).alias("seq"), cut("qual", 1).alias("qual"))
+    two = r.filter("read_id % 41 <> 0 AND length(seq) > 30").select(F.col("read_id").alias("ordinal"), F.concat(num(37, (F.col("read_id") + 1).cast("string"), F.col("read_id").cast("string")), F.lit(" 2:N")).alias("header"), cut("seq", 31).alias("seq"), cut("qual", 31).alias("qual"))
     return R.pair_reads(one, two)
 
 
