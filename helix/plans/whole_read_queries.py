@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from helix.functions.sequence import canonical_hamming
 from helix.operators import reads as R
+from helix.operators.align import align, align_pairs, alignment_summary, pair_classes, to_sam
+from helix.options import AlignOptions
 from helix.plans import read_queries as Q
 from helix.plans.adapters import duck, table
 from helix.registry import ORACLE, QUERIES, query
+from helix.shipping import ship
 
 #: The queries that take reads and nothing else.
 NAMES = (
@@ -65,3 +68,37 @@ def _(spark, d):
 @query("A6_F5_paired_trim_whole", ORACLE["A6_F5_paired_trim"].replace(Q.D, D, 1).replace(Q.PAIRS, PAIRS, 1))
 def _(spark, d):
     return R.paired_trim_summary(R.trim_pairs(pairs(spark, d).filter("pair_error IS NULL"), Q.OPTIONS))
+
+
+#: Alignment of whole reads against the whole table. DuckDB would have to try all reads at all places, so these have no SQL; align is tested by brute force.
+REFERENCE = "SELECT concat('c', read_id) AS contig, read_id AS contig_idx, seq FROM {reads}"
+#: Every third read may have a base changed, and every third is reversed.
+PROBES = """SELECT read_id, CASE WHEN read_id % 3 = 0 THEN concat('A', substr(seq, 2)) WHEN read_id % 3 = 1 THEN reverse(translate(seq, 'ACGT', 'TGCA')) ELSE seq END AS seq,
+    CASE WHEN read_id % 3 = 1 THEN reverse(qual) ELSE qual END AS qual FROM {reads}"""
+
+
+def probes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Reads with their mates, and their hits."""
+    ship(spark)
+    r = reads(spark, d)
+    p = spark.sql(PROBES, reads=r).withColumn("pair_id", F.floor(F.col("read_id") / 2)).withColumn("mate", (F.col("read_id") % 2 + 1).cast("int"))
+    return p, align(p, spark.sql(REFERENCE, reads=r), AlignOptions(2))
+
+
+def align_whole(spark: SparkSession, d: str) -> DataFrame:
+    return probes(spark, d)[1].select("read_id", "contig", "pos", "strand", F.col("nm").cast("long").alias("nm"), "nh")
+
+
+def align_single_whole(spark: SparkSession, d: str) -> DataFrame:
+    return alignment_summary(to_sam(*probes(spark, d)))
+
+
+def pair_classes_whole(spark: SparkSession, d: str) -> DataFrame:
+    return pair_classes(align_pairs(*probes(spark, d)))
+
+
+def align_pairs_whole(spark: SparkSession, d: str) -> DataFrame:
+    return align_pairs(*probes(spark, d)).select("pair_id", "mate", "flag", "rname", "pos", "rnext", "pnext", "tlen")
+
+
+ALIGN = {"J3_W3_W4_align_whole": align_whole, "F6_P29_A7_align_single_whole": align_single_whole, "A8_J4_pair_classes_whole": pair_classes_whole, "F7_P27_P28_align_pairs_whole": align_pairs_whole}
