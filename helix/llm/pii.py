@@ -46,6 +46,8 @@ ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 MAYBE = rf"[@0-9]|(?:{_TITLE})\.?\s|(?i:token|key|secret|passw)"
 DIGITS = ("phone", "ssn", "card", "number")
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
+#: From this draw on a surrogate has keyed characters that its shape doesn't give, one more with each draw, so that none can fail for ever.
+LEAVE = 4
 
 
 def kind_of(mention: Column) -> Column:
@@ -124,11 +126,19 @@ def with_surrogate(entities: DataFrame, key: str, attempt: int) -> DataFrame:
         drawn = F.concat_ws("-", *[F.element_at(F.array(*map(F.lit, pool)), _value(d, F.lit(i)) % len(pool) + 1) for i in range(attempt + 1)])
         names = F.when(kind == f"name {script} {gender}", F.lower(drawn)).otherwise(names)
     sub = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", F.col("_first")).when(F.startswith(kind, F.lit("name ")), names).otherwise(shaped)
+    if attempt >= LEAVE:
+        more, hexa = attempt - LEAVE + 1, "0123456789abcdef"
+        keyed = lambda n, to: F.translate(F.substr(F.reverse("_d"), F.lit(1), n), hexa, to)
+        digits, letters = keyed(F.lit(more), "0123456789012345"), keyed(F.lit(more), "abcdefghijklmnop")
+        ip = F.concat_ws(".", sub, *[_value(d, F.lit(4 + i)).cast("string") for i in range(more)])
+        # nothing of a secret stays, as it may have no character that its shape changes
+        secret = keyed(F.length(canon) + more, "abcdefghijklmnop")
+        sub = F.when(kind == "secret", secret).when(kind == "email", F.concat(letters, sub)).when(kind == "ip", ip).when(kind.isin(*DIGITS), F.concat(sub, digits)).otherwise(sub)
     return e.withColumn("sub", sub).select("kind", "canon", "sub")
 
 
 def rendered(kind: Column, raw: Column, sub: Column) -> Column:
-    """The surrogate as the mention is written: the same separators between digits, the same case."""
+    """The surrogate as the mention is written: the same separators between digits, the same case. What a later draw made longer stands at the end, or in lower case."""
 
     def digit(i: Column) -> Column:
         c = F.substr(raw, i + 1, F.lit(1))
@@ -139,16 +149,17 @@ def rendered(kind: Column, raw: Column, sub: Column) -> Column:
         return F.when(c.rlike(r"^\p{Lu}$"), F.upper(s)).otherwise(s)
 
     places = F.sequence(F.lit(0), F.length(raw) - 1)
+    rest = F.substr(sub, F.length(F.regexp_replace(raw, r"\D", "")) + 1, F.length(sub))
     capitals = F.array_join(F.transform(F.split(sub, "-"), lambda w: F.concat(F.upper(F.substr(w, F.lit(1), F.lit(1))), F.substr(w, F.lit(2), F.length(w)))), "-")
     name = F.when((F.upper(raw) == raw) & (F.length(raw) > 1), F.upper(sub)).otherwise(capitals)
-    return F.when(kind.isin(*DIGITS), F.array_join(F.transform(places, digit), "")).when(kind == "email", F.array_join(F.transform(places, cased), "")).when(F.startswith(kind, F.lit("name ")), name).otherwise(sub)
+    return F.when(kind.isin(*DIGITS), F.concat(F.array_join(F.transform(places, digit), ""), rest)).when((kind == "email") & (F.length(sub) == F.length(raw)), F.array_join(F.transform(places, cased), "")).when(F.startswith(kind, F.lit("name ")), name).otherwise(sub)
 
 
 def draw_surrogates(entities: DataFrame, key: str) -> DataFrame:
     """entities (kind, canon; distinct) -> kind, canon, sub: no two of a kind share a sub, and no sub is a canon of its kind.
 
     Each draw is checked against the other draws, the accepted surrogates and the entities; those that fail are drawn again. As the failing ones get
-    fewer each time, a few rounds do; names, whose pools are small, get longer with each.
+    fewer each time, a few rounds do; names, whose pools are small, get longer with each, and the others from the draw LEAVE on.
     """
     entities = written(entities, "entities")
     real = entities.select("kind", F.col("canon").alias("sub"))
