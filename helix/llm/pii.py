@@ -30,12 +30,16 @@ NAMES = {
 }
 _TITLE = "|".join(sorted({t for ts in TITLES.values() for t in ts}, key=lambda t: (-len(t), t)))
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_SECRET = r"\b(?:token|api[_-]?key|secret|password|passwd)\b"
+#: A value without quotes, up to the mark at the end of a sentence.
+_BARE = r"[^\s\"'<>,;]{5,}[^\s\"'<>,;.!?:)]"
 #: In the order in which they are tried at a place.
 PATTERNS = {
-    "secret": r"(?i:\b(?:token|api[_-]?key|secret|password|passwd)\b\s*[=:]\s*[\"'])[^\"'\s]{6,}",
+    "secret": rf"(?i:{_SECRET}\s*[=:]\s*[\"'])[^\"'\s]{{6,}}|(?i:{_SECRET}=|{_SECRET}\s*[=:]\s*(?=[^\s\"']*[0-9!@#$%^&*_])){_BARE}",
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\d.]?\d)",
-    "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?\(\d{2,5}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)",
+    "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?\(\d{2,5}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)"
+    r"|(?<![\d.,+-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-])|(?<![\d.,+-])0\d{1,4}[ ./-]\d{3,4}(?:[ .-]?\d{2,4}){1,2}(?![\d-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
     "number": r"(?<!\d)\d{9,12}(?!\d)",
@@ -61,7 +65,7 @@ def script_of(word: Column) -> Column:
 
 def parts_of(kind: Column, mention: Column) -> Column:
     """A mention's parts: kind (with script and gender for names), canon, raw (as written)."""
-    secret = F.regexp_extract(mention, r"[^\"'\s]+$", 0)
+    secret = F.regexp_extract(mention, r"^[^=:]*[=:]\s*[\"']?(.+)$", 1)
     raw = F.when(kind == "secret", secret).otherwise(mention)
     canon = F.when(kind.isin(*DIGITS), F.regexp_replace(raw, r"\D", "")).when(kind == "email", F.lower(raw)).otherwise(raw)
     one = F.array(F.struct(kind.alias("kind"), canon.alias("canon"), raw.alias("raw")))
@@ -71,6 +75,18 @@ def parts_of(kind: Column, mention: Column) -> Column:
     return F.when(kind == "name", named).otherwise(one)
 
 
+#: A capitalised word, without what makes it a genitive.
+WORD = r"(?<![\p{L}\d@._-])\p{Lu}\p{L}*+(?:['’-](?!s(?!\p{L}))\p{L}++)*"
+
+
+def renamed(text: Column, names: Column) -> Column:
+    """text with each capitalised word that is one of names (a map from lower-cased words to kind and sub) replaced; and how many are, as struct(text, n)."""
+    words = F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.struct(w.alias("w"), F.element_at(names, F.lower(w)).alias("to")))
+    new = F.transform(words, lambda x: F.when(x["to"].isNotNull(), rendered(x["to"]["kind"], x["w"], x["to"]["sub"])).otherwise(x["w"]))
+    glued = F.array_join(F.zip_with(F.split(text, WORD, -1), new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return F.struct(glued.alias("text"), F.size(F.filter(words, lambda x: x["to"].isNotNull())).alias("n"))
+
+
 def _digest(key: str, kind: Column, canon: Column, attempt: int) -> Column:
     """Two hex digits for each character of the canonical form, and 64 at least."""
     blocks = F.sequence(F.lit(0), F.floor(F.length(canon) / 32).cast("int"))
@@ -178,7 +194,9 @@ def draw_surrogates(entities: DataFrame, key: str) -> DataFrame:
 
 
 def replace_pii(docs: DataFrame, key: str, *, text: str = "text") -> DataFrame:
-    """docs with every mention in text replaced, and n_entities, the number of mentions; all rows and other columns stay.
+    """docs with every mention in text replaced, and n_entities, the number of mentions (of names without title, of words); all rows and other columns stay.
+
+    A name is known by its title; its words are then replaced wherever they stand capitalised in the same document.
 
     A null text stays null and has no mentions. Repeated rows get the same surrogates. A column of docs called n_entities is replaced.
     """
@@ -190,13 +208,20 @@ def replace_pii(docs: DataFrame, key: str, *, text: str = "text") -> DataFrame:
     mentions = found.select("_file", "_row", F.posexplode("mentions").alias("at", "mention")).withColumn("kind", kind_of(F.col("mention")))
     parts = written(mentions.select("_file", "_row", "at", "mention", F.posexplode(parts_of(F.col("kind"), F.col("mention"))).alias("nth", "p")).select("_file", "_row", "at", "mention", "nth", "p.*"), "mentions")
     table = draw_surrogates(parts.select("kind", "canon").distinct(), key)
-    drawn = parts.join(table, ["kind", "canon"]).select("_file", "_row", "at", "mention", "nth", "raw", rendered(F.col("kind"), F.col("raw"), F.col("sub")).alias("new"))
+    drawn = parts.join(table, ["kind", "canon"]).select("_file", "_row", "at", "mention", "nth", "kind", "canon", "sub", "raw", rendered(F.col("kind"), F.col("raw"), F.col("sub")).alias("new"))
     # one row for each mention: what stands before its parts (a title, a secret's name) stays
     whole = drawn.groupBy("_file", "_row", "at", "mention").agg(F.array_sort(F.collect_list(F.struct("nth", "raw", "new"))).alias("p"))
     tail = F.array_join(F.transform("p", lambda x: x["new"]), " ")
     head = F.substr("mention", F.lit(1), F.length("mention") - F.length(F.array_join(F.transform("p", lambda x: x["raw"]), " ")))
     subs = whole.groupBy("_file", "_row").agg(F.array_sort(F.collect_list(F.struct("at", F.concat(head, tail).alias("new")))).alias("_subs"))
-    out = rows.join(subs, ["_file", "_row"], "left")
-    pieces = F.split(t, ANY, -1)
+    # a name's words also stand without a title: those of a document's titled names, the last name first where a word is both
+    word = drawn.filter(F.startswith("kind", F.lit("name "))).groupBy("_file", "_row", "canon").agg(F.max(F.struct("kind", "sub")).alias("to"))
+    names = word.groupBy("_file", "_row").agg(F.map_from_entries(F.collect_list(F.struct("canon", "to"))).alias("_names"))
+    # only documents with names have their other words looked up
+    named = rows.join(names, ["_file", "_row"]).select("_file", "_row", F.transform(F.split(t, ANY, -1), lambda x: renamed(x, F.col("_names"))).alias("_pieces"))
+    out = rows.join(subs.join(named, ["_file", "_row"], "left"), ["_file", "_row"], "left")
+    pieces = F.coalesce(F.transform("_pieces", lambda x: x["text"]), F.split(t, ANY, -1))
     glued = F.array_join(F.zip_with(pieces, F.transform("_subs", lambda s: s["new"]), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    return out.withColumn(text, F.when(F.col("_subs").isNull(), t).otherwise(glued)).withColumn("n_entities", F.coalesce(F.size("_subs"), F.lit(0)).cast("long")).withColumn("n_entities", F.greatest("n_entities", F.lit(0).cast("long"))).select(*columns, "n_entities")
+    more = F.coalesce(F.aggregate("_pieces", F.lit(0), lambda n, x: n + x["n"]), F.lit(0))
+    n = F.when(F.col("_subs").isNull(), 0).otherwise(F.size("_subs") + more).cast("long")
+    return out.withColumn(text, F.when(F.col("_subs").isNull(), t).otherwise(glued)).withColumn("n_entities", n).select(*columns, "n_entities")
