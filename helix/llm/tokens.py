@@ -40,14 +40,17 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class Encoder:
-    """Encodes runs of texts; keeps up to most pieces."""
+    """Encodes runs of texts; keeps up to most pieces. plain: added tokens such as <|endoftext|> in a text are encoded as any other letters.
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    Otherwise they are tokens, as by default: no piece ends inside one, as they have no white space and no letter before a point.
+    """
+
+    def __init__(self, path: str, most: int = 1_000_000, plain: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain
         self.most = most
         self._empty()
 
@@ -94,5 +97,5 @@ _ENCODERS: dict[str, Encoder] = {}
 def encoder(path: str) -> Encoder:
     """The Python worker's own, kept from task to task."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path, plain=False)
     return _ENCODERS[path]
