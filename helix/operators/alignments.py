@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helix.functions.alignment import (
-    FLAGS,
     MAPQ_BINS,
     bounds_error,
     cigar_blocks,
@@ -62,16 +65,34 @@ def record_errors(records: DataFrame, dictionary: DataFrame) -> DataFrame:
     return m.withColumn("error", F.when(~cigar_valid("cigar"), "bad_cigar").otherwise(bounds_error("pos", ops, F.col("_len"), F.col("seq")))).drop("_len")
 
 
+def caller_errors(records: DataFrame, reference: DataFrame, options: SnvOptions = SnvOptions()) -> DataFrame:
+    """Mapped records that a caller can't take, with error: unknown_contig, no_bases, length_mismatch, bad_base, read_length or beyond_contig (the last two of eligible ones)."""
+    m = records.filter(~has("flag", "unmapped")).join(reference.select(F.col("contig").alias("rname"), F.length("seq").cast("long").alias("_len")), "rname", "left")
+    eligible = eligibility("flag", "mapq", options.min_mapq) == "eligible"
+    error = F.when(F.col("_len").isNull(), "unknown_contig").when((F.col("seq") == "*") | (F.col("qual") == "*"), "no_bases").when(F.length("seq") != F.length("qual"), "length_mismatch")
+    error = error.when(~F.col("seq").rlike("^[ACGTURYSWKMBDHVNacgturyswkmbdhvn=]+$"), "bad_base").when(eligible, bounds_error("pos", parse_cigar("cigar"), F.col("_len"), F.col("seq")))
+    return m.withColumn("error", error).filter("error IS NOT NULL").drop("_len")
+
+
+#: Places of a stretch of a contig that one task sweeps.
+SWEEP = 1 << 18
+
+
 def depth_segments(records: DataFrame) -> DataFrame:
     """contig, pos, next, depth: stretches [pos, next) of one depth over primary mapped records, by a sweep over starts and ends.
 
-    The changes at a place are added up before the window, so it sorts the distinct places of a contig, however deep it is covered.
+    The changes at a place are added up first, so however deep a contig is covered, a sweep sorts distinct places; each sweep is over a part of a contig and
+    starts from the depth that the sums of the parts before it give.
     """
     blocks = records.filter(is_primary_mapped("flag") & cigar_valid("cigar")).select(F.col("rname").alias("contig"), F.explode(cigar_blocks("pos", parse_cigar("cigar"))).alias("b"))
     changes = blocks.select("contig", F.explode(F.array(F.struct(F.col("b.s").alias("pos"), F.lit(1).alias("d")), F.struct(F.col("b.e").alias("pos"), F.lit(-1).alias("d")))).alias("x"))
-    summed = changes.groupBy("contig", F.col("x.pos").alias("pos")).agg(F.sum("x.d").alias("d"))
-    w = Window.partitionBy("contig").orderBy("pos")
-    return summed.select("contig", "pos", F.lead("pos").over(w).alias("next"), F.sum("d").over(w).alias("depth")).filter("depth > 0")
+    summed = changes.groupBy("contig", F.col("x.pos").alias("pos")).agg(F.sum("x.d").alias("d")).withColumn("part", F.floor(F.col("pos") / SWEEP))
+    parts = summed.groupBy("contig", "part").agg(F.sum("d").alias("d"), F.min("pos").alias("first"))  # a row for each SWEEP places at most
+    along = Window.partitionBy("contig").orderBy("part")
+    parts = parts.select("contig", "part", F.coalesce(F.sum("d").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.lead("first").over(along).alias("after"))
+    w = Window.partitionBy("contig", "part").orderBy("pos")
+    swept = summed.join(parts, ["contig", "part"]).select("contig", "pos", F.coalesce(F.lead("pos").over(w), F.col("after")).alias("next"), (F.col("before") + F.sum("d").over(w)).alias("depth"))
+    return swept.filter("depth > 0")
 
 
 def coverage(records: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -100,16 +121,21 @@ PIECE = 4096
 
 
 def reference_pieces(reference: DataFrame, more: int = 0) -> DataFrame:
-    """reference (contig, seq) -> contig, piece (from 0), text: pieces of PIECE bases in upper case, each with so many more bases of the next."""
-    n = F.ceil(F.length("seq") / PIECE)
-    cut = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(n - 1, F.lit(0))), lambda i: F.substr("seq", (i * PIECE + 1).cast("int"), F.lit(PIECE + more)))
-    return reference.select("contig", F.posexplode(cut).alias("piece", "text")).select("contig", F.col("piece").cast("long").alias("piece"), F.upper("text").alias("text"))
+    """reference (contig, seq) -> contig, piece (from 0), text: pieces of PIECE bases in upper case, each with so many more bases (PIECE at most) of the next.
 
+    All pieces are cut in one pass over a contig.
+    """
+    cut = reference.filter(F.length("seq") > 0).select("contig", F.regexp_extract_all(F.upper("seq"), F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)).alias("p"))
+    if more:
+        nexts = F.concat(F.transform(F.slice("p", 2, 1 << 30), lambda x: F.substr(x, F.lit(1), F.lit(more))), F.array(F.lit("")))
+        cut = cut.withColumn("p", F.zip_with("p", nexts, lambda x, y: F.concat(x, y)))
+    return cut.select("contig", F.posexplode("p").alias("piece", "text")).select("contig", F.col("piece").cast("long").alias("piece"), "text")
 
-def observations(records: DataFrame, reference: DataFrame, options: SnvOptions = SnvOptions()) -> DataFrame:
-    """Every aligned base of eligible records (rname, pos from 1, cigar, seq, qual) against reference (contig, seq) -> contig, pos, ref, base, quality, class.
 
-    The reference is cut into pieces, and a stretch of a record meets only the pieces that it lies on, by an equi-join.
+def _stretches(records: DataFrame, reference: DataFrame, options: SnvOptions) -> DataFrame:
+    """The aligned stretches of eligible records, cut where pieces of the reference end: rname, s (from 1), bases, quals, _ref.
+
+    A stretch of a record meets only the pieces that it lies on, by an equi-join.
     """
     e = records.filter((eligibility("flag", "mapq", options.min_mapq) == "eligible") & cigar_valid("cigar"))
     walked = e.select("rname", "pos", "seq", "qual", F.explode(F.filter(cigar_walk(parse_cigar("cigar")), lambda x: x["op"].isin("M", "=", "X"))).alias("b"))
@@ -119,15 +145,51 @@ def observations(records: DataFrame, reference: DataFrame, options: SnvOptions =
     lo, hi = F.greatest("s", F.col("piece") * PIECE + 1), F.least("e", (F.col("piece") + 1) * PIECE + 1)
     on = on.withColumns({"lo": lo, "n": (hi - lo).cast("int")}).select("rname", "piece", "n", F.col("lo").alias("s"), F.substr("bases", (F.col("lo") - F.col("s") + 1).cast("int"), F.col("n")).alias("bases"), F.substr("quals", (F.col("lo") - F.col("s") + 1).cast("int"), F.col("n")).alias("quals"))
     ref = reference_pieces(reference).select(F.col("contig").alias("rname"), "piece", F.col("text").alias("_ref"))
-    with_ref = on.join(ref, ["rname", "piece"]).withColumn("_ref", F.substr("_ref", (F.col("s") - F.col("piece") * PIECE).cast("int"), F.col("n"))).filter(F.length("_ref") > 0)
-    each = with_ref.select("rname", F.explode(F.transform(F.sequence(F.lit(0), F.length("bases") - 1), lambda i: F.struct((F.col("s") + i).alias("pos"), F.substr("_ref", i + 1, F.lit(1)).alias("ref"), F.upper(F.substr("bases", i + 1, F.lit(1))).alias("base"), (F.ascii(F.substr("quals", i + 1, F.lit(1))) - 33).alias("quality")))).alias("o"))
+    return on.join(ref, ["rname", "piece"]).withColumn("_ref", F.substr("_ref", (F.col("s") - F.col("piece") * PIECE).cast("int"), F.col("n"))).filter(F.length("_ref") > 0)
+
+
+def observations(records: DataFrame, reference: DataFrame, options: SnvOptions = SnvOptions()) -> DataFrame:
+    """Every aligned base of eligible records (rname, pos from 1, cigar, seq, qual) against reference (contig, seq) -> contig, pos, ref, base, quality, class."""
+    each = _stretches(records, reference, options).select("rname", F.explode(F.transform(F.sequence(F.lit(0), F.length("bases") - 1), lambda i: F.struct((F.col("s") + i).alias("pos"), F.substr("_ref", i + 1, F.lit(1)).alias("ref"), F.upper(F.substr("bases", i + 1, F.lit(1))).alias("base"), (F.ascii(F.substr("quals", i + 1, F.lit(1))) - 33).alias("quality")))).alias("o"))
     o = each.select(F.col("rname").alias("contig"), "o.*")
     return o.withColumn("class", observation_class(F.col("ref"), F.col("base"), F.col("quality"), options.min_base_quality)).withColumn("base", F.when(F.col("base") == "=", F.col("ref")).otherwise(F.col("base")))
 
 
-def pileup(observed: DataFrame) -> DataFrame:
-    """contig, pos, ref, base, n, qsum of callable observations."""
-    return observed.filter("class = 'callable'").groupBy("contig", "pos", "ref", "base").agg(F.count("*").alias("n"), F.sum("quality").alias("qsum"))
+def counted_observations(records: DataFrame, reference: DataFrame, options: SnvOptions = SnvOptions()) -> DataFrame:
+    """observations() added up: contig, pos, ref, base, class, n, qsum. Tasks add up before any row is made, so a place may have several rows of a kind; all of
+    it is ASCII, so bases are bytes."""
+    least = options.min_base_quality
+    letters, upper = np.zeros(256, bool), np.arange(256, dtype=np.int64)
+    letters[list(b"ACGT")] = True
+    upper[97:123] -= 32
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            names = b["rname"].dictionary_encode()
+            bases, quals, ref = (np.frombuffer("".join(b[c].to_pylist()).encode("ascii", "replace"), np.uint8) for c in ("bases", "quals", "_ref"))
+            n = np.array([len(x) for x in b["bases"].to_pylist()])
+            pos = np.repeat(b["s"].to_numpy(zero_copy_only=False) - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            contig = np.repeat(names.indices.to_numpy(zero_copy_only=False).astype(np.int64), n)
+            ref, base, quality = upper[ref], upper[bases], quals.astype(np.int64) - 33
+            base = np.where(base == ord("="), ref, base)
+            kind = np.where(~letters[ref], 0, np.where(~letters[base], 1, np.where(quality < least, 2, 3)))
+            key, first, inverse = np.unique(((contig << 34 | pos) << 16 | ref << 8 | base) * 4 + kind, return_index=True, return_inverse=True)
+            text = lambda x: pa.array(x[first].astype(np.uint8).view("S1").astype("U1"))
+            yield pa.RecordBatch.from_arrays(
+                [names.dictionary.take(pa.array(contig[first])), pa.array(pos[first]), text(ref), text(base), pa.array(kind[first]), pa.array(np.bincount(inverse)), pa.array(np.bincount(inverse, quality).astype(np.int64))],
+                ["contig", "pos", "ref", "base", "kind", "n", "qsum"],
+            )
+
+    filled = lambda c: F.rpad(c, F.length("bases"), F.lit("\0")).alias(c)  # noqa: E731  what stands beyond a contig's or the qualities' end
+    out = _stretches(records, reference, options).select("rname", "s", "bases", filled("quals"), filled("_ref")).mapInArrow(run, "contig string, pos long, ref string, base string, kind long, n long, qsum long")
+    return out.withColumn("class", F.element_at(F.array(*map(F.lit, OBSERVATIONS)), (F.col("kind") + 1).cast("int"))).drop("kind")
+
+
+def pileup(counted: DataFrame) -> DataFrame:
+    """contig, pos, ref, base, n, qsum of callable observations, from what counted_observations() gives."""
+    return counted.filter("class = 'callable'").groupBy("contig", "pos", "ref", "base").agg(F.sum("n").alias("n"), F.sum("qsum").alias("qsum"))
 
 
 def call_snvs(piled: DataFrame, options: SnvOptions = SnvOptions()) -> DataFrame:
@@ -138,14 +200,21 @@ def call_snvs(piled: DataFrame, options: SnvOptions = SnvOptions()) -> DataFrame
     return sites.filter(F.col("depth") >= options.min_depth).select("contig", "pos", "ref", "depth", alts.alias("alts")).filter(F.size("alts") > 0)
 
 
-def snv_summary(records: DataFrame, observed: DataFrame, piled: DataFrame, calls: DataFrame, options: SnvOptions = SnvOptions()) -> DataFrame:
-    """One row: records by class, observations by class, sites, sites deep enough, called sites and alleles."""
+def snv_summary(records: DataFrame, counted: DataFrame, options: SnvOptions = SnvOptions()) -> DataFrame:
+    """One row: records by class, observations by class, sites, sites deep enough, called sites and alleles; the observations are gone through once."""
     e = eligibility("flag", "mapq", options.min_mapq)
     r = records.agg(F.count("*").alias("records"), *[count_if(e == c).alias(f"records_{c}") for c in ELIGIBILITY])
-    o = observed.agg(*[count_if(F.col("class") == c).alias(f"observations_{c}") for c in OBSERVATIONS])
-    s = piled.groupBy("contig", "pos").agg(F.sum("n").alias("d")).agg(F.count("*").alias("sites"), count_if(F.col("d") >= options.min_depth).alias("sites_at_depth"))
-    c = calls.agg(F.count("*").alias("called_sites"), F.coalesce(F.sum(F.size("alts")), F.lit(0)).alias("called_alleles"))
-    return r.crossJoin(o).crossJoin(s).crossJoin(c)  # one row each
+    of = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    callable_ = F.col("class") == "callable"
+    sites = counted.groupBy("contig", "pos", "ref").agg(*[of(callable_ & (F.col("base") == x)).alias(x) for x in "ACGT"], *[of(F.col("class") == c).alias(f"observations_{c}") for c in OBSERVATIONS])
+    depth = F.col("observations_callable")
+    alleles = sum((F.when((F.col("ref") != x) & (F.col(x) >= options.min_alt_count) & (F.col(x) / depth + 2.220446049250313e-16 >= options.min_alt_fraction), 1).otherwise(0) for x in "ACGT"), F.lit(0))
+    sites = sites.withColumn("alleles", F.when(depth >= options.min_depth, alleles).otherwise(0))
+    s = sites.agg(
+        *[F.coalesce(F.sum(f"observations_{c}"), F.lit(0)).alias(f"observations_{c}") for c in OBSERVATIONS], count_if(depth > 0).alias("sites"), count_if(depth >= options.min_depth).alias("sites_at_depth"),
+        count_if(F.col("alleles") > 0).alias("called_sites"), F.coalesce(F.sum("alleles"), F.lit(0)).alias("called_alleles"),
+    )
+    return r.crossJoin(s)  # one row each
 
 
 def compare_dictionaries(a: DataFrame, b: DataFrame, ordered: bool = False) -> DataFrame:
@@ -159,5 +228,3 @@ def duplicates(df: DataFrame, *keys: str) -> DataFrame:
     """Keys that stand in several rows, with their count."""
     return df.groupBy(*keys).agg(F.count("*").alias("count")).filter("count > 1")
 
-
-ALL_FLAGS = tuple(FLAGS)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helix.operators.variants import INFO_IDS
+from helix.options import SnvOptions
+
 
 def to_metrics(df: DataFrame, prefix: str = "") -> DataFrame:
     """A one-row frame as rows of metric and value, both text; a null is "."."""
@@ -57,17 +60,25 @@ def write_vcf(meta: DataFrame, records: DataFrame, path: str, partitions: int =
     records.repartitionByRange(partitions, "ordinal").sortWithinPartitions("ordinal").select("line").write.text(f"{path}/records")
 
 
-#: The header of called variants.
-CALL_HEADER = (
-    "##fileformat=VCFv4.3", '##INFO=<ID=DP,Number=1,Type=Integer,Description="Callable depth">', '##INFO=<ID=AC,Number=A,Type=Integer,Description="Alternate observations">',
+#: The options that a header of called variants names.
+OPTION_LINES = (("MinDepth", "min_depth"), ("MinAltCount", "min_alt_count"), ("MinAltFraction", "min_alt_fraction"), ("MinMAPQ", "min_mapq"), ("MinBaseQuality", "min_base_quality"))
+#: The header of called variants, without options and contigs.
+CALL_INFO = (
+    '##INFO=<ID=DP,Number=1,Type=Integer,Description="Callable depth">', '##INFO=<ID=AC,Number=A,Type=Integer,Description="Alternate observations">',
     '##INFO=<ID=AF,Number=A,Type=Float,Description="Alternate fraction">', '##INFO=<ID=ABQ,Number=A,Type=Float,Description="Mean alternate base quality">', "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO",
 )
 
 
-def calls_to_vcf(calls: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Header and record lines (ordinal, line) of called variants; the ordinal of a record is its contig and position."""
+def calls_to_vcf(calls: DataFrame, reference: DataFrame | None = None, options: SnvOptions | None = None) -> tuple[DataFrame, DataFrame]:
+    """Header and record lines (ordinal, line) of called variants; the ordinal of a record is its contig and position. The header names the options, and the contigs
+    of reference (contig, contig_idx, seq) in their order, if given."""
     spark = calls.sparkSession
-    meta = spark.createDataFrame(list(enumerate(CALL_HEADER)), "ordinal long, line string")
+    given = [] if options is None else [f"##{n}={getattr(options, f):.6f}" if isinstance(getattr(options, f), float) else f"##{n}={getattr(options, f)}" for n, f in OPTION_LINES]
+    start = ["##fileformat=VCFv4.3", *given]
+    meta = spark.createDataFrame([(float(i), x) for i, x in enumerate(start)] + [(1e18 + i * 1e3, x) for i, x in enumerate(CALL_INFO)], "ordinal double, line string")
+    if reference is not None:
+        lines = reference.select((F.col("contig_idx") + len(start)).cast("double").alias("ordinal"), F.concat(F.lit("##contig=<ID="), "contig", F.lit(",length="), F.length("seq"), F.lit(">")).alias("line"))
+        meta = meta.unionByName(lines)
     per = lambda fn: F.array_join(F.transform("alts", fn), ",")
     six = lambda x: F.format_string("%.6f", x)
     info = F.concat(F.lit("DP="), "depth", F.lit(";AC="), per(lambda a: a["n"].cast("string")), F.lit(";AF="), per(lambda a: six(a["fraction"])), F.lit(";ABQ="), per(lambda a: six(a["abq"])))
@@ -81,3 +92,23 @@ def with_filter_lines(meta: DataFrame, reasons: dict[str, str]) -> DataFrame:
     new = [(0.5 + i / 1000, f'##FILTER=<ID={k},Description="{v}">') for i, (k, v) in enumerate(reasons.items()) if k not in have]
     m = meta.select(F.col("ordinal").cast("double").alias("ordinal"), "line")
     return m.unionByName(meta.sparkSession.createDataFrame(new, "ordinal double, line string")) if new else m
+
+
+def with_lines(meta: DataFrame, lines: list[str], before_names: bool = False) -> DataFrame:
+    """A VCF's header lines with more, right after the first, or before the line of column names."""
+    m = meta.select(F.col("ordinal").cast("double").alias("ordinal"), "line")
+    new = meta.sparkSession.createDataFrame([(float(i), x) for i, x in enumerate(lines)], "i double, line string")
+    at = m.agg((F.max("ordinal") - 0.9).alias("at")) if before_names else m.agg((F.min("ordinal") + 0.9).alias("at"))
+    return m.unionByName(new.crossJoin(at).select((F.col("at") + F.col("i") / 100).alias("ordinal"), "line"))  # one row
+
+
+def with_qc_lines(meta: DataFrame, options) -> DataFrame:
+    """The header lines of a filtered VCF: what it was filtered by."""
+    given = ",".join(f"{f}={'off' if (v := getattr(options, f)) is None else v}" for f in options.__dataclass_fields__)
+    return with_lines(meta, [f"##VariantFilter=<Key=CHROM:POS:REF:ALT,Normalization=none,{given}>"])
+
+
+def with_annotation_lines(meta: DataFrame) -> DataFrame:
+    """The header lines of an annotated VCF: an INFO line for each annotation."""
+    what = ("gene", "consequence", "clinical significance", "source", "source identifier")
+    return with_lines(meta, [f'##INFO=<ID={k},Number=A,Type=String,Description="Local annotation: {d}">' for k, d in zip(INFO_IDS, what, strict=True)], before_names=True)

@@ -184,29 +184,27 @@ def _(spark, d):
 
 @query("A16_W5_pileup", f"{D}, {ALIGNED} SELECT contig, pos, ref, base, n, qsum, depth FROM site")
 def _(spark, d):
-    p = A.pileup(A.observations(sequenced(spark, d), reference(spark, d)))
+    p = A.pileup(A.counted_observations(sequenced(spark, d), reference(spark, d)))
     sites = p.groupBy("contig", "pos").agg(F.sum("n").alias("depth"))
     return p.join(sites, ["contig", "pos"])
 
 
 @query("A17_F9_O4_call_snvs", f"{D}, {ALIGNED} SELECT contig, pos, ref, depth, base AS alt, n, fraction, abq FROM alt")
 def _(spark, d):
-    c = A.call_snvs(A.pileup(A.observations(sequenced(spark, d), reference(spark, d))))
+    c = A.call_snvs(A.pileup(A.counted_observations(sequenced(spark, d), reference(spark, d))))
     return c.select("contig", "pos", "ref", "depth", F.explode("alts").alias("a")).select("contig", "pos", "ref", "depth", F.col("a.base").alias("alt"), F.col("a.n").alias("n"), F.col("a.fraction").alias("fraction"), F.col("a.abq").alias("abq")).orderBy("contig", "pos")
 
 
 @query("A18_snv_summary", f"{D}, {ALIGNED} SELECT (SELECT count(*) FROM alignments) AS records, {', '.join(f'''(SELECT count(*) FROM alignments WHERE {CLASS} = '{c}') AS records_{c}''' for c in A.ELIGIBILITY)}, {', '.join(f'''(SELECT count(*) FROM oc WHERE class = '{c}') AS observations_{c}''' for c in A.OBSERVATIONS)}, (SELECT count(*) FROM (SELECT DISTINCT contig, pos FROM site)) AS sites, (SELECT count(*) FROM (SELECT DISTINCT contig, pos FROM site WHERE depth >= 3)) AS sites_at_depth, (SELECT count(*) FROM (SELECT DISTINCT contig, pos FROM alt)) AS called_sites, (SELECT count(*) FROM alt) AS called_alleles")
 def _(spark, d):
     r = sequenced(spark, d)
-    o = A.observations(r, reference(spark, d))
-    p = A.pileup(o)
-    return A.snv_summary(r, o, p, A.call_snvs(p))
+    return A.snv_summary(r, A.counted_observations(r, reference(spark, d)))
 
 
 @query("SNK6_variant_table", f"{D}, {ALIGNED} SELECT contig, pos::VARCHAR AS pos, ref, base AS alt, depth::VARCHAR AS dp, n::VARCHAR AS ac, printf('%.6f', fraction) AS af, printf('%.6f', abq) AS abq FROM alt")
 def _(spark, d):
     from helix.operators.variants import to_variant_table
 
-    return to_variant_table(A.call_snvs(A.pileup(A.observations(sequenced(spark, d), reference(spark, d)))))
+    return to_variant_table(A.call_snvs(A.pileup(A.counted_observations(sequenced(spark, d), reference(spark, d)))))
 
 

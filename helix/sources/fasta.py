@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helix.functions.common import first_error
@@ -33,19 +33,21 @@ def read_fasta(spark: SparkSession, path: str, on_error: str = "fail") -> DataFr
 
 
 def read_reference(spark: SparkSession, path: str, allow_u: bool = False, on_error: str = "fail", max_name: int = 1024) -> DataFrame:
-    """contig, contig_idx (an order of the file's contigs), seq in upper case, length. With allow_u an upper-case U is read as T."""
+    """contig, contig_idx (an order of the file's contigs), seq in upper case, length. With allow_u an upper-case U is read as T. A contig that stands twice is an error."""
     f = read_fasta(spark, path, "quarantine")
     seq = F.translate("seq", "U", "T") if allow_u else F.col("seq")
     name = contig_name("header")
     rows = f.select("file", name.alias("contig"), F.upper(seq).alias("seq"), F.col("_error").alias("_e"))
     bad_base = ~F.col("seq").rlike("^[ACGTNRYSWKMBDHVU]+$" if allow_u else "^[ACGTNRYSWKMBDHV]+$")
     error = first_error((F.col("_e").isNotNull() & (F.col("_e") != "bad_base"), "record"), (F.octet_length("contig") > max_name, "long_name"), (bad_base, "bad_base"))
-    rows = checked(rows.withColumn("_error", error).drop("_e"), on_error)
-    order = _order(spark, path)
-    return rows.join(order, ["file", "contig"]).drop("file").withColumn("length", F.length("seq").cast("long"))
+    rows = rows.withColumn("_error", error).drop("_e").join(_order(spark, path), ["file", "contig"])
+    rows = rows.withColumn("_error", F.when(F.col("_copies") > 1, F.coalesce("_error", F.lit("repeated_contig"))).otherwise(F.col("_error"))).drop("_copies", "file")
+    return checked(rows, on_error).withColumn("length", F.length("seq").cast("long"))
 
 
 def _order(spark: SparkSession, path: str) -> DataFrame:
-    """file, contig, contig_idx: records in the order of the file's bytes (partitions of one file are numbered in that order)."""
+    """file, contig, contig_idx, _copies: records in the order of the file's bytes (partitions of one file are numbered in that order), and how many have the name."""
     raw = spark.read.option("lineSep", "\n>").text(path).select(F.col("_metadata.file_path").alias("file"), F.substring_index(F.regexp_replace("value", "^﻿?>?", ""), "\n", 1).alias("h"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("n"))
-    return raw.filter(F.trim("h") != "").groupBy("file", contig_name("h").alias("contig")).agg(F.min(F.struct("b", "n")).alias("s")).select("file", "contig", (F.col("s.b") * (1 << 33) + F.col("s.n") % (1 << 33)).alias("contig_idx"))
+    return raw.filter(F.trim("h") != "").groupBy("file", contig_name("h").alias("contig")).agg(F.min(F.struct("b", "n")).alias("s"), F.count("*").alias("c")).select(
+        "file", "contig", (F.col("s.b") * (1 << 33) + F.col("s.n") % (1 << 33)).alias("contig_idx"), F.sum("c").over(Window.partitionBy("contig")).alias("_copies")
+    )

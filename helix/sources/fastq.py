@@ -1,12 +1,14 @@
 """FASTQ files, plain or gzip (told by their first bytes), as a data source: spark.read.format("fastq").
 
-A plain file is read in byte ranges. A range's records are those that start in it; a record is found again by its shape (a line with
-@, a third line with +, a second and a fourth of one length, and the same of the next record), as quality lines may start with @
-too. A gzip file is one task. Ordinals are given by file when asked for: see with_ordinals.
+A plain file is read in byte ranges. Quality lines may look like any other line, so records aren't told by their shape: a first pass
+counts the lines of each range, in tasks, and a range then knows the number of its first line, whose fourth parts are records. A bad
+record is thus the same one whatever the ranges are. A gzip file is one task. Ordinals are given by file when asked for: see
+with_ordinals.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -34,8 +36,8 @@ def is_gzip(path: str) -> bool:
 
 
 class Range(InputPartition):
-    def __init__(self, path: str, start: int, end: int):
-        self.path, self.start, self.end = path, start, end
+    def __init__(self, path: str, start: int, end: int, line: int = 0):
+        self.path, self.start, self.end, self.line = path, start, end, line
 
 
 def gzip_lines(path: str) -> Iterator[tuple[int, bytes]]:
@@ -77,65 +79,63 @@ def _clean(line: bytes, first: bool) -> str:
     return line.removeprefix(b"\xef\xbb\xbf" if first else b"").decode("utf-8", "replace")
 
 
-def _shaped(lines: list[tuple[int, bytes]]) -> bool:
-    """Do four lines, and the next if there are such, look like records?"""
-    h, s, p, q = (x[1].rstrip(b"\r") for x in lines[:4])
-    return h.startswith(b"@") and p.startswith(b"+") and len(s) == len(q) and (len(lines) < 5 or lines[4][1].startswith(b"@")) and (len(lines) < 7 or lines[6][1].startswith(b"+"))
-
-
 def records(part: Range) -> Iterator[tuple]:
+    """The records that start in a range; part.line: the number of the first line that starts there."""
     zipped = is_gzip(part.path)
     lines = gzip_lines(part.path) if zipped else plain_lines(part.path, part.start)
     held: list[tuple[int, bytes]] = []
-    found = zipped or part.start == 0
+    skip = -part.line % 4
     for line in lines:
-        if not held and found and not zipped and line[0] >= part.end:
+        if skip:  # of a record that starts before
+            skip -= 1
+            continue
+        if not held and not zipped and line[0] >= part.end:
             return
         held.append(line)
-        if not found:
-            if len(held) < 8:
-                continue
-            while len(held) >= 8 and not found:
-                found = _shaped(held)
-                if not found:
-                    held.pop(0)
-            if not found:
-                continue
-        while found and len(held) >= 4:
-            if not zipped and held[0][0] >= part.end:
-                return
-            yield _row(part, held[:4])
-            held = held[4:]
-    while not found and len(held) >= 4:  # the file's last records
-        found = _shaped(held)
-        if not found:
-            held.pop(0)
-    while found and len(held) >= 4 and (zipped or held[0][0] < part.end):
-        yield _row(part, held[:4])
-        held = held[4:]
-    if found and any(x[1].strip() for x in held) and (zipped or held[0][0] < part.end):
+        if len(held) == 4:
+            h, s, p, q = (_clean(x[1], i == 0 and held[0][0] == 0) for i, x in enumerate(held))
+            yield (part.path, held[0][0], h, s, p, q, None)
+            held = []
+    if any(x[1].strip() for x in held):
         yield (part.path, held[0][0], _clean(held[0][1], False), None, None, None, "truncated")
 
 
-def _row(part: Range, four: list[tuple[int, bytes]]) -> tuple:
-    h, s, p, q = (_clean(x[1], i == 0 and four[0][0] == 0) for i, x in enumerate(four))
-    error = "bad_header" if not h.startswith("@") or not h[1:].strip() else "empty_sequence" if not s else "bad_separator" if not p.startswith("+") else "length_mismatch" if len(s) != len(q) else None
-    return (part.path, four[0][0], h, s, p, q, error)
+def line_count(part: Range) -> int:
+    """How many lines start after the first byte of a range, up to the first byte of the next."""
+    n, at, end = 0, max(0, part.start - 1), part.end - 1
+    with open(part.path, "rb") as f:
+        f.seek(at)
+        while at < end and (block := f.read(min(1 << 20, end - at))):
+            n += block.count(b"\n")
+            at += len(block)
+    return n
 
 
 class FastqReader(DataSourceReader):
+    """counts: whether to give the lines of each range in place of records. first: for each file the numbers of the ranges' first lines, modulo 4, as JSON."""
+
     def __init__(self, options: dict):
-        self.path, self.size = options["path"], int(options.get("range_bytes", 64 << 20))
+        self.path, self.size, self.counts = options["path"], int(options.get("range_bytes", 64 << 20)), options.get("counts") == "true"
+        self.first = json.loads(options.get("first", "{}"))
 
     def partitions(self) -> list[Range]:
         out = []
         for p in local_files(self.path):
             n = os.path.getsize(p)
-            out += [Range(p, 0, n)] if is_gzip(p) else [Range(p, a, min(n, a + self.size)) for a in range(0, n, self.size)]
+            if is_gzip(p):
+                out += [] if self.counts else [Range(p, 0, n)]
+            elif not self.counts and (n > self.size and p not in self.first):  # without a first pass a file is one range
+                out.append(Range(p, 0, n))
+            else:
+                lines = self.first.get(p, "")
+                out += [Range(p, a, min(n, a + self.size), int(lines[i]) if i < len(lines) else 0) for i, a in enumerate(range(0, n, self.size))]
         return out or [Range(os.devnull, 0, 0)]
 
     def read(self, partition: Range) -> Iterator[tuple]:
-        yield from records(partition)
+        if not self.counts:
+            yield from records(partition)
+        elif partition.end:
+            yield (partition.path, partition.start, str(line_count(partition)), None, None, None, None)
 
 
 class FastqSource(DataSource):
@@ -150,12 +150,24 @@ class FastqSource(DataSource):
         return FastqReader(self.options)
 
 
+def first_lines(counts: DataFrame) -> dict[str, str]:
+    """For each file of several ranges, the number of each range's first line modulo 4, a digit each; counts: file, start, lines, a row for each range."""
+    before = F.sum("lines").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    digit = F.when(F.col("start") == 0, 0).otherwise((before + 1) % 4).cast("string")
+    rows = counts.select("file", "start", digit.alias("digit")).groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "digit"))), lambda x: x["digit"]), "").alias("first"))
+    return {r["file"]: r["first"] for r in rows.filter(F.length("first") > 1).collect()}  # a digit for each range, of 64 MB as a rule
+
+
 def read_fastq(spark: SparkSession, path: str, on_error: str = "fail", range_bytes: int = 64 << 20) -> DataFrame:
     """file, start, header, seq, separator, qual (and _error): the record's place, and what it holds."""
+    from helix.functions.fastq import fastq_error
     from helix.sources.fasta import checked
 
     spark.dataSource.register(FastqSource)
-    return checked(spark.read.format("fastq").option("range_bytes", str(range_bytes)).load(path), on_error)
+    source = spark.read.format("fastq").option("range_bytes", str(range_bytes))
+    first = first_lines(source.option("counts", "true").load(path).select("file", "start", F.col("header").cast("long").alias("lines")))
+    rows = spark.read.format("fastq").option("range_bytes", str(range_bytes)).option("first", json.dumps(first)).load(path)
+    return checked(rows.withColumn("_error", F.coalesce("_error", fastq_error("header", "seq", "separator", "qual"))), on_error)
 
 
 def with_ordinals(df: DataFrame) -> DataFrame:

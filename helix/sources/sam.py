@@ -6,7 +6,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
@@ -29,24 +29,31 @@ def record_error() -> object:
 
 
 def read_sam(spark: SparkSession, path: str, on_error: str = "fail", skip_blank: bool = False) -> DataFrame:
-    """The eleven fields and nm (and _error) of SAM records; header lines are left out. Blank lines are an error unless skipped."""
-    lines = spark.read.text(path).filter(~F.startswith("value", F.lit("@")))
+    """The eleven fields and nm (and _error) of SAM records; header lines are left out, but one after a record is an error. Blank lines are an error unless skipped."""
+    every = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    is_header = F.startswith("value", F.lit("@"))
+    lines = every.filter(~is_header)
     if skip_blank:
         lines = lines.filter(F.trim("value") != "")
     f = F.split(F.regexp_replace("value", "\r$", ""), "\t")
     kinds = {"flag": "int", "pos": "long", "mapq": "int", "pnext": "long", "tlen": "long"}
     r = lines.select(f.alias("f")).select("f", *[F.get("f", F.lit(i)).try_cast(kinds.get(c, "string")).alias(c) for i, c in enumerate(COLUMNS)])
     r = r.withColumn("nm", F.when(F.size("f") > 11, nm_tag(F.slice("f", 12, 1_000_000))))
-    return checked(r.withColumn("_error", F.when(F.size("f") < 11, "few_fields").otherwise(record_error())).drop("f"), on_error)
+    r = r.withColumn("_error", F.when(F.size("f") < 11, "few_fields").otherwise(record_error())).drop("f")
+    # a file's last header line and its first record: an aggregate with a row for each file
+    ends = every.filter(is_header | (F.trim("value") != "")).groupBy("file").agg(F.max(F.when(is_header, F.col("at"))).alias("header"), F.min(F.when(~is_header, F.col("at"))).alias("record"))
+    late = ends.filter("header > record").select(*[F.lit(None).cast(t).alias(c) for c, t in r.drop("_error").dtypes], F.lit("late_header").alias("_error"))
+    return checked(r.unionByName(late), on_error)
 
 
 def read_sam_dictionary(spark: SparkSession, path: str, on_error: str = "fail") -> DataFrame:
-    """contig, length of the @SQ lines."""
+    """contig, length of the @SQ lines; a name that stands twice is an error."""
     sq = spark.read.text(path).filter(F.startswith("value", F.lit("@SQ\t")))
     tag = lambda t: F.regexp_extract_all("value", F.lit(f"\t{t}:([^\t\r]+)"), F.lit(1))
     d = sq.select(tag("SN").alias("sn"), tag("LN").alias("ln")).select(F.get("sn", F.lit(0)).alias("contig"), F.get("ln", F.lit(0)).try_cast("long").alias("length"), F.size("sn").alias("a"), F.size("ln").alias("b"))
     bad = (F.col("a") != 1) | (F.col("b") != 1) | F.col("length").isNull() | (F.col("length") < 1) | (F.col("length") > 5_000_000_000)
-    return checked(d.withColumn("_error", F.when(bad, "bad_dictionary")).drop("a", "b"), on_error)
+    again = F.count("*").over(Window.partitionBy("contig")) > 1
+    return checked(d.withColumn("_error", F.when(bad, "bad_dictionary").when(again, "repeated_contig")).drop("a", "b"), on_error)
 
 
 class Bytes:

@@ -23,12 +23,17 @@ def read_vcf(spark: SparkSession, path: str, on_error: str = "fail", versions: t
     first = meta.orderBy("ordinal").first()
     if first is None or first["line"] not in [f"##fileformat=VCFv{v}" for v in versions]:
         raise ValueError("a VCF file starts with its version")
-    if meta.filter(F.startswith("line", F.lit("#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO"))).count() != 1:
+    names = F.when(F.startswith("line", F.lit("#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO")), F.col("ordinal"))
+    version = F.when(F.startswith("line", F.lit("##fileformat=")), True)
+    x = meta.agg(F.count(names).alias("names"), F.max(names).alias("at"), F.count(version).alias("versions"), F.max("ordinal").alias("last")).first()
+    if x["names"] != 1:
         raise ValueError("a VCF file has one line of column names")
+    if x["versions"] != 1 or x["last"] != x["at"]:
+        raise ValueError("a VCF file has one version, and no header line after its column names")
     r = lines.filter(~F.startswith("line", F.lit("#"))).withColumn("f", F.split("line", "\t", 9))
     r = r.select("ordinal", *[F.get("f", F.lit(i)).alias(c) for i, c in enumerate(FIELDS)], F.get("f", F.lit(8)).alias("further"), F.size("f").alias("n")).withColumn("pos", F.when(F.col("pos_text").rlike("^[0-9]+$"), F.col("pos_text")).try_cast("long"))
     error = first_error(
-        (F.col("n") < 8, "few_fields"), (F.col("pos").isNull() | (F.col("pos") < 1), "bad_position"), (F.col("ref").isin("", ".") | F.col("alt").isin("", "."), "bad_allele"), (F.exists(F.split("alt", ","), lambda a: a == ""), "bad_allele"),
+        (F.col("ordinal") < x["at"], "before_header"), (F.col("n") < 8, "few_fields"), (~F.col("chrom").rlike(r"^[^\x00-\x20\x7F;]+$"), "bad_contig"), (F.col("pos").isNull() | (F.col("pos") < 1), "bad_position"), (F.col("ref").isin("", ".") | F.col("alt").isin("", "."), "bad_allele"), (F.exists(F.split("alt", ","), lambda a: a == ""), "bad_allele"),
         (F.size(F.split("alt", ",")) > 4096, "many_alleles"), ((F.col("qual") != ".") & (F.col("qual").try_cast("double").isNull() | (F.col("qual").try_cast("double") < 0)), "bad_quality"), (info_error("info").isNotNull(), "bad_info"), (filter_error("flt").isNotNull(), "bad_filter"),
     )
     return meta, checked(r.withColumn("_error", error).drop("n"), on_error)

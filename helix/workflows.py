@@ -8,10 +8,11 @@ from helix.operators import align as AL
 from helix.operators import alignments as A
 from helix.operators import reads as R
 from helix.operators import variants as V
+from helix.operators.sinks import with_annotation_lines, with_qc_lines
 from helix.options import AlignOptions, SnvOptions, TrimOptions, VcfQcOptions
 from helix.sources.fasta import read_fasta, read_reference
 from helix.sources.fastq import read_fastq, with_ordinals
-from helix.sources.sam import read_bam, read_sam
+from helix.sources.sam import read_bam, read_bam_dictionary, read_sam, read_sam_dictionary
 from helix.sources.vcf import read_annotations, read_vcf
 
 
@@ -82,19 +83,24 @@ def alignment_qc(spark: SparkSession, path: str, dictionary: DataFrame) -> tuple
 
 
 def call_snvs(spark: SparkSession, alignments: str, reference: str, options: SnvOptions = SnvOptions()) -> tuple[DataFrame, DataFrame]:
-    """(calls, summary)."""
-    r, ref = _alignments(spark, alignments), read_reference(spark, reference, allow_u=True)
-    o = A.observations(r, ref, options)
-    p = A.pileup(o)
-    calls = A.call_snvs(p, options)
-    return calls, A.snv_summary(r, o, p, calls, options)
+    """(calls, summary). A dictionary that doesn't match the reference, and records that it can't take, are errors; blank lines are skipped."""
+    text = not alignments.endswith(".bam")
+    r, ref = read_sam(spark, alignments, skip_blank=True) if text else read_bam(spark, alignments), read_reference(spark, reference, allow_u=True)
+    named = read_sam_dictionary(spark, alignments) if text else read_bam_dictionary(spark, alignments)
+    if not named.join(ref.select("contig", "length"), ["contig", "length"], "left_anti").isEmpty():
+        raise ValueError("the dictionary doesn't match the reference")
+    bad = A.caller_errors(r, ref, options).limit(1).collect()
+    if bad:
+        raise ValueError(f"record {bad[0]['qname']}: {bad[0]['error']}")
+    o = A.counted_observations(r, ref, options)
+    return A.call_snvs(A.pileup(o), options), A.snv_summary(r, o, options)
 
 
 def vcf_qc_filter(spark: SparkSession, path: str, options: VcfQcOptions = VcfQcOptions()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(header lines, records with decisions, summary)."""
     meta, records = read_vcf(spark, path)
     qc = V.qc_records(records, options)
-    return meta, qc, V.vcf_qc_summary(qc)
+    return with_qc_lines(meta, options), qc, V.vcf_qc_summary(qc)
 
 
 def annotate_variants(spark: SparkSession, path: str, annotations: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -102,4 +108,4 @@ def annotate_variants(spark: SparkSession, path: str, annotations: str) -> tuple
     meta, records = read_vcf(spark, path, versions=("4.0", "4.1", "4.2", "4.3", "4.4", "4.5"))
     notes = read_annotations(spark, annotations)
     alleles = V.annotate(records, notes)
-    return meta, V.append_info(records, alleles), alleles, V.annotation_summary(alleles, records, notes)
+    return with_annotation_lines(meta), V.append_info(records, alleles), alleles, V.annotation_summary(alleles, records, notes)
