@@ -9,13 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helix.llm.shared import drop_path, new_path
+from helix.llm.shared import Scratch, drop_path, new_path
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """edges (u, v: long) -> id, root: for each node of an edge between two nodes, the smallest id of its component.
 
     Loops and repeated edges change nothing; edges with a null end are left out. Without edges there are no rows.
+    The result reads a table in the shared folder, which goes with scratch.
     """
     spark = edges.sparkSession
     path = new_path(spark, "edges")
@@ -37,5 +38,7 @@ def components(edges: DataFrame) -> DataFrame:
         small.write.parquet(after)
         drop_path(spark, path)
         path = after
+    if scratch is not None:
+        scratch.paths.append(path)
     # stars now: each node's only edge goes to its root
     return e.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())

@@ -1,84 +1,210 @@
 """Fuzzy line deduplication by MinHash: one line stays of each component of similar lines.
 
 Equal lines become one member first, with its count and its first place, so a line that stands in a third of all documents is one
-row from then on. Members are sketched by their sets of character shingles and joined as in similar.py. Every occurrence but the
-component's first is then dropped: only occurrences of lines with a rival take part in that join.
+row from then on. A line's sketch, of its set of character shingles, is made where the document is read, and goes into the shuffle in
+place of the text, which it is smaller than. Members are joined as in similar.py. Every occurrence but the component's first is
+then dropped: only occurrences of lines with a rival take part in that join.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helix.llm import words as W
-from helix.llm.near_dedup import sketched, weighted
-from helix.llm.shared import located, written
+from helix.llm.shared import Scratch, located, texts_at, written
 from helix.llm.sieve import Sieve
-from helix.llm.similar import similarity_classes
+from helix.llm.similar import matrix, similarity_classes
+from helix.llm.sketch import bytes_of, minhashes
+
+
+def char_hashes(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of n characters of a run of texts (of all of a shorter text), ASCII letters folded, row by row, and the rows' offsets in them."""
+    c = np.frombuffer(W.LOWER[data].tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    at = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
+    size = np.diff(at)
+    after = np.concatenate([[0], np.cumsum(np.where(size < n, size > 0, size - n + 1))])
+    h = W.mixed(c.astype(W.U) + W.U(1))
+    out = np.empty(after[-1], W.U)
+    start, row = W.runs(at, n)
+    out[start - at[row] + after[row]] = W.combined(h, n)[start]
+    for k in range(1, n):
+        some = np.flatnonzero(size == k)
+        if len(some):
+            out[after[some]] = W.combined(h, k)[at[some]]
+    return out, after
 
 
 def char_shingles(n: int):
-    """The distinct runs of n characters of a run of texts (all of a shorter text), ASCII letters folded, with the row of each, in order of rows."""
+    """The runs of n characters of a run of texts, with the row of each, in order of rows."""
 
     def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        c = np.frombuffer(W.LOWER[data].tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-        at = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
-        h = W.mixed(c.astype(W.U) + W.U(1))
-        start, row = W.runs(at, n)
-        out = [(W.combined(h, n)[start], row)]
-        size = np.diff(at)
-        for k in range(1, n):
-            some = np.flatnonzero(size == k)
-            if len(some):
-                out.append((W.combined(h, k)[at[some]], some))
-        v, _, r = weighted(np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out]))
-        return v, r
+        h, after = char_hashes(data, offsets, n)
+        return h, np.repeat(np.arange(len(after) - 1), np.diff(after))
 
     return shingles
 
 
-def trimmed(line: Column) -> Column:
-    return F.btrim(line, F.lit(" \t\r\v\f"))
+#: Bytes that are white space at a line's ends.
+_INK = np.array([b not in b" \t\n\r\v\f" for b in range(256)])
+
+
+def text_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The lines of a run of texts that aren't blank, without white space at their ends: starts, ends, rows, numbers from 0; and how many lines each text has."""
+    feeds = np.flatnonzero(data == 10)
+    row_of = np.searchsorted(offsets, feeds, "right") - 1
+    n = np.bincount(row_of, minlength=len(offsets) - 1) + 1
+    row = np.repeat(np.arange(len(n)), n)
+    number = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    after = np.concatenate([[0], np.cumsum(n)])
+    starts, ends = np.empty(len(row), np.int64), np.empty(len(row), np.int64)
+    starts[after[:-1]], ends[after[1:] - 1] = offsets[:-1], offsets[1:]
+    inner = np.ones(len(row), bool)
+    inner[after[:-1]] = False
+    starts[inner] = feeds + 1
+    ends[np.flatnonzero(inner) - 1] = feeds
+    ink = np.flatnonzero(_INK[data])
+    i, j = np.searchsorted(ink, starts), np.searchsorted(ink, ends)
+    some = np.flatnonzero(i < j)
+    return ink[i[some]], ink[j[some] - 1] + 1, row[some], number[some], n
+
+
+def compact(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of spans in a row, and their offsets."""
+    size = ends - starts
+    after = np.concatenate([[0], np.cumsum(size)])
+    return data[np.repeat(starts - after[:-1], size) + np.arange(after[-1])], after
+
+
+def keys(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """The MD5 of each text."""
+    raw, cuts = data.tobytes(), offsets.tolist()
+    return pa.array([hashlib.md5(raw[a:b]).digest() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())
+
+
+def sketched_lines(rows: DataFrame, shingle: int, coordinates: int) -> DataFrame:
+    """rows (doc_id, text, at, _row) -> key, doc_id, at, _row, line, sketch: every line that isn't blank."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, data, offsets in W.chunks(batch["text"]):
+                starts, ends, row, number, _ = text_lines(data, offsets)
+                if len(row):
+                    bytes_, after = compact(data, starts, ends)
+                    sketch = np.ascontiguousarray(bytes_of(minhashes(*char_hashes(bytes_, after, shingle), coordinates)))
+                    cuts = np.arange(len(row) + 1, dtype=np.int32) * coordinates
+                    at = pa.array(row + first)
+                    yield pa.RecordBatch.from_arrays(
+                        [keys(bytes_, after), *(batch[c].take(at) for c in ("doc_id", "at", "_row")), pa.array(number.astype(np.int32)), pa.BinaryArray.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(cuts), pa.py_buffer(sketch)])],
+                        ["key", "doc_id", "at", "_row", "line", "sketch"],
+                    )
+
+    return rows.mapInArrow(run, f"key binary, doc_id {rows.schema['doc_id'].dataType.simpleString()}, at long, _row long, line int, sketch binary")
+
+
+def lines_at(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """rows (text, at, _row) -> at, _row, line, text of the lines that may be among places (at, _row, line); a join follows."""
+    wanted = Sieve(places.select(F.xxhash64("at", "_row").alias("h")))
+    held = Sieve(hashed(places.select("at", "_row", "line"), lambda b: place_hashes(*(c.to_numpy(zero_copy_only=False) for c in b.columns))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, data, offsets in W.chunks(batch["text"]):
+                starts, ends, row, number, _ = text_lines(data, offsets)
+                place = [batch[c].to_numpy(zero_copy_only=False)[row + first] for c in ("at", "_row")]
+                some = np.flatnonzero(held.holds(place_hashes(*place, number)))
+                if len(some):
+                    bytes_, after = compact(data, starts[some], ends[some])
+                    text = pa.StringArray.from_buffers(len(some), pa.py_buffer(after.astype(np.int32)), pa.py_buffer(bytes_))
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x[some]) for x in place), pa.array(number[some].astype(np.int32)), text], ["at", "_row", "line", "text"])
+
+    return rows.filter(wanted.column(F.xxhash64("at", "_row"))).select("text", "at", "_row").mapInArrow(run, "at long, _row long, line int, text string")
 
 
-def line_decisions(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8, coordinates: int = 33, rows_per_band: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def hashed(rows: DataFrame, hashes) -> DataFrame:
+    """A column of what hashes() gives for batches of rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(hashes(b).view(np.int64))], ["h"])
+
+    return rows.mapInArrow(run, "h long")
+
+
+def place_hashes(at: np.ndarray, row: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return W.mixed(at.view(W.U) ^ W.mixed(row.astype(W.U) * W.U(0x9E3779B97F4A7C15) + line.astype(W.U)))
+
+
+def key_hashes(key: pa.Array) -> np.ndarray:
+    """The first eight bytes of keys."""
+    return np.ascontiguousarray(matrix(key)).view(W.U)[:, 0] if len(key) else np.zeros(0, W.U)
+
+
+def lines_with_keys(rows: DataFrame, wanted: Sieve) -> DataFrame:
+    """rows (doc_id, text, _file, _row) -> doc_id, n_lines, _file, _row, and the numbers (lines) and keys of the lines whose key may be among those wanted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, data, offsets in W.chunks(batch["text"]):
+                starts, ends, row, number, n = text_lines(data, offsets)
+                key = keys(*compact(data, starts, ends))
+                some = np.flatnonzero(wanted.holds(key_hashes(key)))
+                cuts = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row[some], minlength=len(n)))]), pa.int32())
+                part = batch.slice(first, len(n))
+                yield pa.RecordBatch.from_arrays(
+                    [*(part[c] for c in ("doc_id", "_file", "_row")), pa.array(n), pa.ListArray.from_arrays(cuts, pa.array(number[some].astype(np.int32))), pa.ListArray.from_arrays(cuts, key.take(pa.array(some)))],
+                    ["doc_id", "_file", "_row", "n_lines", "lines", "keys"],
+                )
+
+    return rows.select("doc_id", "text", "_file", "_row").mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, _file string, _row long, n_lines long, lines array<int>, keys array<binary>")
+
+
+def line_decisions(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8, coordinates: int = 144, rows_per_band: int = 6, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs (doc_id, text; others are left alone) -> for each row: doc_id, n_lines, dropped (array of line numbers from 0, in order), _file, _row.
 
     Lines end at line feeds and are compared without white space at their ends; blank ones are never dropped. Two lines are linked if they are equal or the
     Jaccard similarity of their sets of character shingles is at least threshold. Of a component the occurrence of the smallest doc_id (null last), then
     file, row and line number, stays. Repeated rows are documents like others, so the later one loses its lines. Null is as empty: one blank line.
-    33 coordinates in 11 bands of 3 miss a link of similarity 0.8 about once in 2,600 times, one of 0.9 once in a million.
+    144 coordinates in 24 bands of 6 miss a link of similarity 0.8 once in 1,470 times, one of 0.85 once in 85,000, one of 0.9 once in 85 million.
     """
-    rows = located(docs).select(F.col(doc_id).alias("doc_id"), F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n").alias("lines"), "_file", "_row")
-    lines = rows.select("doc_id", "_file", "_row", F.posexplode("lines").alias("line", "text")).withColumn("text", trimmed(F.col("text"))).filter("text <> ''").withColumn("key", F.md5(F.col("text").cast("binary")))
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_file", "_row", "line")
-    distinct = lines.groupBy("key").agg(F.min(place).alias("place"), F.count("*").alias("n"), F.first("text").alias("text"))
-    shingles = char_shingles(shingle)
-    members = written(sketched(distinct, shingles, coordinates, rows_per_band), "lines")
+    return decisions_of(texts_at(located(docs), doc_id, text), shingle=shingle, threshold=threshold, coordinates=coordinates, rows_per_band=rows_per_band)
+
+
+def decisions_of(rows: DataFrame, *, shingle: int = 5, threshold: float = 0.8, coordinates: int = 144, rows_per_band: int = 6) -> DataFrame:
+    """line_decisions() of rows (doc_id, text, _file, _row)."""
+    rows = rows.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("at", F.xxhash64("_file"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at", "_row", "line")
+    scratch = Scratch(rows.sparkSession)
+    distinct = sketched_lines(rows, shingle, coordinates).groupBy("key").agg(F.min(place).alias("place"), F.count("*").alias("n"), F.first("sketch").alias("sketch"))
+    members = scratch.written(distinct.withColumn("id", F.monotonically_increasing_id()), "lines")
 
     def texts_of(ids: DataFrame) -> DataFrame:
-        keys = members.select("id", "key", "place").join(ids, "id").select("id", F.col("place._file").alias("_file"), F.col("place._row").alias("_row"), F.col("place.line").alias("line"))
-        at = F.xxhash64("_file", "_row", "line")
-        some = lines.select("text", "_file", "_row", "line").filter(Sieve(keys.select(at.alias("h"))).column(at))
-        return some.join(keys, ["_file", "_row", "line"]).select("id", "text")
+        places = scratch.written(members.select("id", "place.at", "place._row", "place.line").join(ids, "id"), "places")
+        return lines_at(rows, places).join(places, ["at", "_row", "line"]).select("id", "text")
 
-    roots = similarity_classes(members, texts_of, shingles, threshold=threshold, floor=threshold - 0.4)
+    roots = similarity_classes(members, texts_of, char_shingles(shingle), np.unique, threshold=threshold, width=rows_per_band)
     classed = members.select("id", "key", "place", "n").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     heads = classed.groupBy("root").agg(F.min("place").alias("first"), F.sum("n").alias("occurrences")).filter("occurrences > 1")
     rivals = written(classed.select("key", "root").join(heads, "root").select("key", "first"), "rivals")
-    key_hash = F.xxhash64("key")
-    some = lines.select("_file", "_row", "line", "key").filter(Sieve(rivals.select(key_hash.alias("h"))).column(key_hash))
-    is_first = (F.col("first._file") == F.col("_file")) & (F.col("first._row") == F.col("_row")) & (F.col("first.line") == F.col("line"))
+    scratch.drop()
+    found = written(lines_with_keys(rows, Sieve(hashed(rivals.select("key"), lambda b: key_hashes(b["key"])))), "found")
+    some = found.select("_file", "_row", F.explode(F.arrays_zip("lines", "keys")).alias("x")).select("_file", "_row", F.col("x.lines").alias("line"), F.col("x.keys").alias("key"))
+    is_first = (F.col("first.at") == F.xxhash64("_file")) & (F.col("first._row") == F.col("_row")) & (F.col("first.line") == F.col("line"))
     dropped = some.join(rivals, "key").filter(~is_first).groupBy("_file", "_row").agg(F.array_sort(F.collect_list("line")).alias("dropped"))
-    whole = rows.select("doc_id", F.size("lines").cast("long").alias("n_lines"), "_file", "_row")
-    return whole.join(dropped, ["_file", "_row"], "left").select("doc_id", "n_lines", F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"), "_file", "_row")
+    return found.drop("lines", "keys").join(dropped, ["_file", "_row"], "left").select("doc_id", "n_lines", F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"), "_file", "_row")
 
 
-def dedup_lines(docs: DataFrame, *, text: str = "text", **options) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs with the lines of line_decisions() taken out of text; all rows and other columns stay. A null text stays null."""
     places = located(docs)
-    out = places.join(line_decisions(places, text=text, **options).select("_file", "_row", F.col("dropped").alias("_dropped")), ["_file", "_row"])
-    gone = F.map_from_arrays("_dropped", F.transform("_dropped", lambda _: F.lit(True)))
-    kept = F.filter(F.transform(F.split(F.col(text), "\n"), lambda line, i: F.struct(line.alias("line"), F.map_contains_key(gone, i).alias("gone"))), lambda x: ~x["gone"])
-    return out.withColumn(text, F.when(F.size("_dropped") == 0, F.col(text)).otherwise(F.array_join(F.transform(kept, lambda x: x["line"]), "\n"))).select(docs.columns)
+    out = places.join(decisions_of(texts_at(places, doc_id, text), **options).select("_file", "_row", "dropped"), ["_file", "_row"])
+    t, gone = F.col("row")[text], F.map_from_arrays("dropped", F.transform("dropped", lambda _: F.lit(True)))
+    kept = F.filter(F.transform(F.split(t, "\n"), lambda line, i: F.struct(line.alias("line"), F.map_contains_key(gone, i).alias("gone"))), lambda x: ~x["gone"])
+    new = F.when(F.size("dropped") == 0, t).otherwise(F.array_join(F.transform(kept, lambda x: x["line"]), "\n"))
+    return out.select(*[new.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from helix.llm.shared import located, written
 
 #: Titles by gender, and first and last names by script from which surrogates are put together.
-TITLES = {"m": ("Mr", "Herr", "Monsieur", "Señor", "Sr", "господин"), "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "госпожа")}
+TITLES = {"m": ("Mr", "Herr", "Monsieur", "Señor", "Sr", "господин", "κύριος"), "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "госпожа", "κυρία")}
 NAMES = {
     ("latin", "m"): ("Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karim", "Leo", "Marco", "Nils", "Oscar", "Paul"),
     ("latin", "f"): ("Anna", "Bianca", "Clara", "Diana", "Elena", "Flora", "Greta", "Helga", "Irma", "Julia", "Karla", "Lena", "Maria", "Nora", "Olga", "Paula"),
@@ -28,6 +28,13 @@ NAMES = {
     ("cyrillic", "f"): ("Анна", "Вера", "Галина", "Дарья", "Елена", "Жанна", "Инна", "Ксения"),
     ("cyrillic", "s"): ("Абрамов", "Белов", "Власов", "Громов", "Дубов", "Ершов", "Жуков", "Зимин"),
 }
+#: Consonants, vowels and endings by gender, from which further names are made up, by script.
+SOUNDS = {
+    "latin": ("bdfghklmnprstvwz", "aeiou", {"m": ("n", "r", "s", "l"), "f": ("a", "ia", "na", "la"), "s": ("er", "in", "ov", "ek")}),
+    "cyrillic": ("бвгджзклмнпрстфх", "аеиоу", {"m": ("н", "р", "с", "л"), "f": ("а", "ия", "на", "ла"), "s": ("ов", "ин", "ев", "ко")}),
+    "greek": ("βγδζθκλμνπρστφχψ", "αειου", {"m": ("ος", "ης", "ας", "ων"), "f": ("α", "η", "ια", "να"), "s": ("ιδης", "ου", "ακης", "ας")}),
+    "armenian": ("բգդզթժլկհղմնպսվտ", "աեիոօ", {"m": ("ն", "ր", "կ", "մ"), "f": ("ա", "ինա", "իկ", "ուհի"), "s": ("յան", "յանց", "ունի", "ենց")}),
+}
 _TITLE = "|".join(sorted({t for ts in TITLES.values() for t in ts}, key=lambda t: (-len(t), t)))
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _SECRET = r"\b(?:token|api[_-]?key|secret|password|passwd)\b"
@@ -36,7 +43,8 @@ _BARE = r"[^\s\"'<>,;]{5,}[^\s\"'<>,;.!?:)]"
 #: In the order in which they are tried at a place.
 PATTERNS = {
     "secret": rf"(?i:{_SECRET}\s*[=:]\s*[\"'])[^\"'\s]{{6,}}|(?i:{_SECRET}=|{_SECRET}\s*[=:]\s*(?=[^\s\"']*[0-9!@#$%^&*_])){_BARE}",
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    # a name has 127 labels at most; the bound also keeps the matcher's stack small
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.){1,126}[A-Za-z]{2,}",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\d.]?\d)",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?\(\d{2,5}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)"
     r"|(?<![\d.,+-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-])|(?<![\d.,+-])0\d{1,4}[ ./-]\d{3,4}(?:[ .-]?\d{2,4}){1,2}(?![\d-])",
@@ -60,7 +68,7 @@ def kind_of(mention: Column) -> Column:
 
 
 def script_of(word: Column) -> Column:
-    return F.when(word.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+    return F.when(word.rlike(r"\p{IsCyrillic}"), "cyrillic").when(word.rlike(r"\p{IsGreek}"), "greek").when(word.rlike(r"\p{IsArmenian}"), "armenian").otherwise("latin")
 
 
 def parts_of(kind: Column, mention: Column) -> Column:
@@ -76,7 +84,7 @@ def parts_of(kind: Column, mention: Column) -> Column:
 
 
 #: A capitalised word, without what makes it a genitive.
-WORD = r"(?<![\p{L}\d@._-])\p{Lu}\p{L}*+(?:['’-](?!s(?!\p{L}))\p{L}++)*"
+WORD = r"(?<![\p{L}\d@._-])\p{Lu}\p{L}*+(?:['’-](?!s(?!\p{L}))\p{L}++)*+"
 
 
 def renamed(text: Column, names: Column) -> Column:
@@ -137,10 +145,13 @@ def with_surrogate(entities: DataFrame, key: str, attempt: int) -> DataFrame:
     e = e.withColumn("_sum", F.when(kind == "card", F.when(_luhn(canon) == 0, _luhn(F.concat(stem, F.lit("0"))))))
     card = F.when(F.col("_sum").isNull(), F.col("_first")).otherwise(F.concat(stem, ((10 - F.col("_sum")) % 10).cast("string")))
     names = F.lit(None).cast("string")
-    for (script, gender), pool in NAMES.items():
-        # one name at first, one more after each draw: 16 names, 256 pairs, 4,096 triples...
-        drawn = F.concat_ws("-", *[F.element_at(F.array(*map(F.lit, pool)), _value(d, F.lit(i)) % len(pool) + 1) for i in range(attempt + 1)])
-        names = F.when(kind == f"name {script} {gender}", F.lower(drawn)).otherwise(names)
+    one_of = lambda pool, i: F.element_at(F.array(*map(F.lit, pool)), _value(d, F.lit(i)) % len(pool) + 1)
+    for script, (consonants, vowels, endings) in SOUNDS.items():
+        for gender, last in endings.items():
+            pool = NAMES.get((script, gender))
+            # a known name at first, then one word of more syllables with each draw: 80, 6,400, 512,000... and the endings
+            made = F.lower(one_of(pool, 0)) if pool and not attempt else F.concat(*[one_of(s, 2 * i + j) for i in range(attempt + (pool is None)) for j, s in enumerate((consonants, vowels))], one_of(last, 31))
+            names = F.when(kind == f"name {script} {gender}", made).otherwise(names)
     sub = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", F.col("_first")).when(F.startswith(kind, F.lit("name ")), names).otherwise(shaped)
     if attempt >= LEAVE:
         more, hexa = attempt - LEAVE + 1, "0123456789abcdef"
@@ -175,7 +186,7 @@ def draw_surrogates(entities: DataFrame, key: str) -> DataFrame:
     """entities (kind, canon; distinct) -> kind, canon, sub: no two of a kind share a sub, and no sub is a canon of its kind.
 
     Each draw is checked against the other draws, the accepted surrogates and the entities; those that fail are drawn again. As the failing ones get
-    fewer each time, a few rounds do; names, whose pools are small, get longer with each, and the others from the draw LEAVE on.
+    fewer each time, a few rounds do; names, whose pools are small, get a syllable more with each, and the others leave their shape from the draw LEAVE on.
     """
     entities = written(entities, "entities")
     real = entities.select("kind", F.col("canon").alias("sub"))
@@ -198,11 +209,10 @@ def replace_pii(docs: DataFrame, key: str, *, text: str = "text") -> DataFrame:
 
     A name is known by its title; its words are then replaced wherever they stand capitalised in the same document.
 
-    A null text stays null and has no mentions. Repeated rows get the same surrogates. A column of docs called n_entities is replaced.
+    A null text stays null and has no mentions; an empty table gives an empty table. Repeated rows get the same surrogates. A column of docs called n_entities is replaced.
     """
-    columns = [c for c in docs.columns if c != "n_entities"]
     rows = located(docs)
-    t = F.col(text)
+    t = F.col("row")[text]
     maybe = F.coalesce(t.rlike(MAYBE), F.lit(False))
     found = rows.select("_file", "_row", F.when(maybe, t).alias("_t")).filter("_t IS NOT NULL").select("_file", "_row", F.regexp_extract_all("_t", F.lit(ANY), F.lit(0)).alias("mentions")).filter(F.size("mentions") > 0)
     mentions = found.select("_file", "_row", F.posexplode("mentions").alias("at", "mention")).withColumn("kind", kind_of(F.col("mention")))
@@ -224,4 +234,5 @@ def replace_pii(docs: DataFrame, key: str, *, text: str = "text") -> DataFrame:
     glued = F.array_join(F.zip_with(pieces, F.transform("_subs", lambda s: s["new"]), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     more = F.coalesce(F.aggregate("_pieces", F.lit(0), lambda n, x: n + x["n"]), F.lit(0))
     n = F.when(F.col("_subs").isNull(), 0).otherwise(F.size("_subs") + more).cast("long")
-    return out.withColumn(text, F.when(F.col("_subs").isNull(), t).otherwise(glued)).withColumn("n_entities", n).select(*columns, "n_entities")
+    new = F.when(F.col("_subs").isNull(), t).otherwise(glued)
+    return out.select(*[new.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns if c != "n_entities"], n.alias("n_entities"))

@@ -42,19 +42,48 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+class Scratch:
+    """Scratch tables that go together once nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = new_path(self.spark, name)
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        for path in self.paths:
+            drop_path(self.spark, path)
+        self.paths = []
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def located(docs: DataFrame) -> DataFrame:
-    """docs with the row's place as columns _file and _row. A table that isn't read from files is written to the shared folder first; one that has
-    these columns stays as it is."""
-    if {"_file", "_row"} <= set(docs.columns):
-        return docs
+    """row (all columns of docs, so that none can clash), _file and _row (the row's place). A table that isn't read from files is written to the shared folder first."""
+
+    def placed(d: DataFrame) -> DataFrame:
+        place = d.metadataColumn("_metadata")  # also where the table has a column of that name
+        return d.select(F.struct("*").alias("row"), place["file_path"].alias("_file"), place["row_index"].alias("_row"))
+
     try:
-        return docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        return placed(docs)
     except AnalysisException:
         path = new_path(docs.sparkSession, "docs")
         docs.write.parquet(path)
-        again = docs.sparkSession.read.schema(docs.schema).parquet(path)
-        return again.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        return placed(docs.sparkSession.read.schema(docs.schema).parquet(path))
+
+
+def texts_at(places: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, text, _file, _row of a located table."""
+    return places.select(F.col("row")[doc_id].alias("doc_id"), F.col("row")[text].cast("string").alias("text"), "_file", "_row")

@@ -1,14 +1,15 @@
 """Classes of similar texts: banded sketches nominate, exact similarity decides, union-find joins. Used for documents and for lines.
 
 In each bucket of a band, members meet one of them, the pivot: that which shares most buckets with others. So a bucket of thousands
-gives as many pairs, not their square. Pairs whose sketches are not far apart are measured on the texts, and components formed.
-What could still join two components is then bounded, not listed:
+gives as many pairs, not their square. A pair whose sketches are not far apart is measured on the texts: how many elements both have,
+and the difference, which is what only one of them has. Every other pair of a bucket is then decided without its texts:
 
-- Two members that were both measured against a pivot share at most the smaller of their overlaps with it, and elements that it
-  lacks. Only pairs for which this can reach the threshold are verified. They are found in blocks of a pivot's members by
-  counting the shared elements that the pivot lacks.
-- A member far from the pivot can be similar only to members that are not close to it (distances obey the triangle inequality);
-  such members of a bucket are paired, their sketches compared, and what is left is verified.
+- Of two members near a pivot the common elements follow exactly from their differences to it: a pivot of n elements, of which they
+  lack x and y, and s elements that are in both differences give n - x - y + s. Differences meet in blocks of bounded size, and a
+  block hands on a spanning forest of its links, at most a row for each member. Groups of several blocks first look within blocks;
+  once components are formed, only members outside of the group's largest component look into the other blocks.
+- A member far from the pivot can be similar only to members that are not close to it (distances obey the triangle inequality).
+  Those of a bucket form a bucket for the next level, which has up to 64 times as many pivots, none of them seen before.
 
 No link between members of a bucket is left out, but for the chance that sketches err by many standard deviations.
 """
@@ -18,153 +19,261 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helix.llm import words as W
 from helix.llm.components import components
-from helix.llm.shared import written
+from helix.llm.shared import Scratch
 from helix.llm.sieve import Sieve
 
 Shingler = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
-#: Sketches under FAR are of pairs that are not measured; over CLOSE, of pairs that are surely similar to a good degree. Members of a block.
-FAR, CLOSE, BLOCK, ELEMENTS = 0.35, 0.8, 1000, 1_000_000
+#: Sketches under FAR are of pairs that are not measured; over CLOSE, of pairs that are surely similar to a good degree. Members and elements of a block.
+FAR, CLOSE, BLOCK, ELEMENTS = 0.35, 0.8, 700, 500_000
+LINKS = "u long, v long"
+#: For rounding: both sides are integers when multiplied by what makes the threshold one.
+SLACK = 1e-9
 
 
-def banded(members: DataFrame, sieve: Sieve) -> DataFrame:
-    """A row (id, h) for each band of a member that may be another's as well."""
+def matrix(sketches: pa.Array) -> np.ndarray:
+    """The coordinates of sketches without nulls, a row for each."""
+    offsets = np.frombuffer(sketches.buffers()[1], np.int32)[sketches.offset : sketches.offset + len(sketches) + 1]
+    return np.frombuffer(sketches.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(len(sketches), -1)
+
+
+def band_hashes(sketches: pa.Array, width: int) -> np.ndarray:
+    """A hash of each band of width coordinates of sketches without nulls, which also tells bands apart: a row for each sketch."""
+    coordinates = matrix(sketches)
+    n, k = coordinates.shape[0], coordinates.shape[1] // width
+    h = np.zeros((n, k), W.U) + np.arange(1, k + 1, dtype=W.U)
+    for i in range(width):
+        h = W.mixed(h * W.U(256) + coordinates[:, i : width * k : width])
+    return h
+
+
+def banded(members: DataFrame, width: int, sieve: Sieve | None = None) -> DataFrame:
+    """A row (id, h) for each band of a member; with a sieve, of those that may be another's as well."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                hashes = band_hashes(b["sketch"], width)
+                ids, h = np.repeat(b["id"].to_numpy(zero_copy_only=False), hashes.shape[1]), hashes.ravel()
+                if sieve is not None:
+                    ok = sieve.holds(h)
+                    ids, h = ids[ok], h[ok]
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(h.view(np.int64))], ["id", "h"])
+
+    return members.filter("sketch IS NOT NULL").select("id", "sketch").mapInArrow(run, "id long, h long")
+
+
+def band_counts(members: DataFrame, width: int) -> DataFrame:
+    """A row (h, n) for each band hash of a run of members. Most stand once there and are few bytes, so a hash aggregate before the shuffle doesn't pay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = b["bands"]
-            h = lists.flatten().to_numpy(zero_copy_only=False)
-            ids = np.repeat(b["id"].to_numpy(zero_copy_only=False), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-            ok = sieve.holds(h.view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[ok]), pa.array(h[ok])], ["id", "h"])
+            if b.num_rows:
+                h, n = np.unique(band_hashes(b["sketch"], width), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
 
-    return members.select("id", "bands").mapInArrow(run, "id long, h long")
+    return members.filter("sketch IS NOT NULL").select("sketch").mapInArrow(run, "h long, n long")
 
 
-def buckets(members: DataFrame) -> DataFrame:
+def buckets(members: DataFrame, width: int, scratch: Scratch) -> DataFrame:
     """h, id, pivot: the members of each bucket that has several."""
-    rows = members.select("id", F.explode("bands").alias("h"))
-    sizes = written(rows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
-    shared = written(banded(members, Sieve(sizes.select("h"))).join(sizes, "h"), "shared")
+    sizes = scratch.written(band_counts(members, width).repartition("h").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1"), "sizes")
+    shared = scratch.written(banded(members, width, Sieve(sizes.select("h"))).join(sizes, "h"), "shared")
     ranked = shared.join(shared.groupBy("id").agg(F.sum("n").alias("p")), "id")
     pivots = ranked.groupBy("h").agg(F.max(F.struct("p", (-F.col("id")).alias("i"))).alias("x")).select("h", (-F.col("x.i")).alias("pivot"))
-    return written(shared.select("h", "id").join(pivots, "h"), "buckets")
+    return scratch.written(shared.select("h", "id").join(pivots, "h"), "buckets")
 
 
 def compared(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """pairs (a, b) with est, the share of coordinates in which their sketches (id, sketch: a byte for each) agree."""
-    s = sketches.select("id", "sketch")
+    """pairs (a, b) with est, the share of coordinates in which their sketches (id, sketch: a byte for each) agree. Sketches that no pair needs stay where they are."""
+    s = only(sketches.select("id", "sketch"), pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))))
     both = pairs.join(s.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(s.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b[c].to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("sa", "sb"))
-                yield pa.RecordBatch.from_arrays([b["a"], b["b"], pa.array((x == y).mean(axis=1))], ["a", "b", "est"])
+                yield pa.RecordBatch.from_arrays([b["a"], b["b"], pa.array((matrix(b["sa"]) == matrix(b["sb"])).mean(axis=1))], ["a", "b", "est"])
 
     return both.mapInArrow(run, "a long, b long, est double")
 
 
-def cells(values: np.ndarray) -> np.ndarray:
-    """A multiset as a set: the k-th occurrence of a value is an element of its own. In order."""
-    v = np.sort(values)
-    first = np.searchsorted(v, v)
-    return np.unique(W.mixed(v + (np.arange(len(v)) - first).astype(W.U) * W.U(0x9FB21C651E98DF25)))
+def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id may be among ids (one column); more may be left, as a join follows."""
+    hashed = F.xxhash64("id")
+    return rows.filter(Sieve(ids.select(F.xxhash64(ids.columns[0]).alias("h"))).column(hashed))
 
 
-def measured(pairs: DataFrame, texts: DataFrame, shingles: Shingler, with_extra: bool) -> DataFrame:
-    """pairs (a, b) with inter, na, nb: the shingles that the texts (id, text) have in common and have, by count; extra: what b has and a has not."""
+def measured(pairs: DataFrame, texts: DataFrame, shingles: Shingler, as_set: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """pairs (a, b) with inter, na, nb: the elements that the texts (id, text) have in common and have; delta: those that one has and the other has not."""
     both = pairs.select("a", "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
 
     def sets(column: pa.Array) -> list[np.ndarray]:
         out = []
         for _, data, offsets in W.chunks(column):
             h, row = shingles(data, offsets)
-            out += [cells(x) for x in np.split(h, np.searchsorted(row, np.arange(1, len(offsets) - 1)))]
+            out += [as_set(x) for x in np.split(h, np.searchsorted(row, np.arange(1, len(offsets) - 1)))]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, 64):
                 b = batch.slice(first, 64)
-                x, y = sets(b["ta"]), sets(b["tb"])
-                shared = [np.isin(q, p, assume_unique=True) for p, q in zip(x, y, strict=True)]
-                extra = [q[~s].view(np.int64) if with_extra else [] for q, s in zip(y, shared, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [b["a"], b["b"], pa.array([int(s.sum()) for s in shared]), pa.array([len(p) for p in x]), pa.array([len(q) for q in y]), pa.array(extra, pa.list_(pa.int64()))], ["a", "b", "inter", "na", "nb", "extra"]
-                )
-
-    return both.mapInArrow(run, "a long, b long, inter long, na long, nb long, extra array<long>")
+                # a pivot's text stands in many rows
+                ids, at, which = np.unique(b["a"].to_numpy(zero_copy_only=False), return_index=True, return_inverse=True)
+                pivots = sets(b["ta"].take(pa.array(at)))
+                x, y = [pivots[i] for i in which], sets(b["tb"])
+                inter, delta = np.zeros(len(x), np.int64), []
+                for i, (p, q) in enumerate(zip(x, y, strict=True)):
+                    both = np.concatenate([p, q])
+                    both.sort(kind="stable")  # two runs: a merge
+                    again = np.flatnonzero(both[1:] == both[:-1])
+                    inter[i] = len(again)
+                    one = np.ones(len(both), bool)
+                    one[again] = one[again + 1] = False
+                    delta.append(both[one].view(np.int64))
+                yield pa.RecordBatch.from_arrays([b["a"], b["b"], pa.array(inter), pa.array([len(p) for p in x]), pa.array([len(q) for q in y]), pa.array(delta, pa.list_(pa.int64()))], ["a", "b", "inter", "na", "nb", "delta"])
+
+    return both.mapInArrow(run, "a long, b long, inter long, na long, nb long, delta array<long>")
 
 
 def similar(threshold: float):
     """The condition on what measured() gives."""
-    return (F.col("inter") > 0) & (F.col("inter") * (1 + threshold) >= threshold * (F.col("na") + F.col("nb")) - 1e-9)
-
-
-def possible_pairs(around: DataFrame, threshold: float) -> DataFrame:
-    """around (a, b, inter, nb, extra, root, linked): the measured members b of pivots a -> pairs (a, b) of members of different components, at least one
-    of them not linked with the pivot, that may be similar by what they have in common with it and beside it."""
-    sizes = around.groupBy("a").agg(F.count("*").alias("n"), F.sum(F.size("extra")).alias("e"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("a", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("e") / ELEMENTS)).cast("int").alias("blocks"))
-    salted = around.join(sizes, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
-    tiled = salted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"p": F.least("salt", "other"), "q": F.greatest("salt", "other")})
-
-    def pairs(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("b")
-        b, root, n, inter, salt, linked = (rows[c].to_numpy() for c in ("b", "root", "nb", "inter", "salt", "linked"))
-        lengths = rows["extra"].map(len).to_numpy()
-        values, owner = np.concatenate([np.asarray(x, np.int64) for x in rows["extra"]]), np.repeat(np.arange(len(rows)), lengths)
-        order = np.argsort(values, kind="stable")
-        values, owner = values[order], owner[order]
-        cut = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, np.int64)
-        share = np.zeros((len(rows), len(rows)), np.int32)
-        for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(values)], strict=False):  # none without values
-            if j - i > 1:
-                share[np.ix_(owner[i:j], owner[i:j])] += 1
-        most = share + np.minimum(inter[:, None], inter[None, :])
-        ok = most * (1 + threshold) >= threshold * (n[:, None] + n[None, :]) - 1e-9
-        ok &= (root[:, None] != root[None, :]) & ~(linked[:, None] & linked[None, :])
-        if rows["p"].iloc[0] != rows["q"].iloc[0]:
-            ok &= salt[:, None] != salt[None, :]
-        i, j = np.nonzero(np.triu(ok, 1))
-        return pd.DataFrame({"a": b[i], "b": b[j]})
-
-    return tiled.groupBy("a", "p", "q").applyInPandas(pairs, "a long, b long").distinct()
-
-
-def similarity_classes(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shingles: Shingler, *, threshold: float, floor: float) -> DataFrame:
-    """members (id, sketch: binary, bands: array of long; distinct ids) -> id, root: for every member with a similar one, the smallest id of its class.
-
-    texts_of gives the texts (id, text) of some ids. floor: sketches that agree less are of no similar pair.
-    """
-    ends = lambda p: p.select(F.col("a").alias("id")).unionByName(p.select(F.col("b").alias("id"))).distinct()
-    shared = buckets(members)
-    stars = written(compared(shared.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), members), "stars")
-    near = stars.filter(F.col("est") >= FAR)
-    texts = written(texts_of(ends(near)), "texts")
-    known = written(measured(near, texts, shingles, True), "measured")
-    links = known.filter(similar(threshold)).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    roots = written(components(links), "roots")
-
-    root = F.coalesce("root", "id")
-    around = known.withColumnRenamed("b", "id").join(roots, "id", "left").withColumn("root", root).withColumnRenamed("id", "b").withColumn("linked", similar(threshold))
-    possible = possible_pairs(around, threshold)
-    apart = shared.filter("id <> pivot").join(stars.filter(F.col("est") < CLOSE).select(F.col("a").alias("pivot"), F.col("b").alias("id"), "est"), ["pivot", "id"]).join(roots, "id", "left").withColumn("root", root)
-    x, y = apart.filter(F.col("est") < FAR).select("h", F.col("id").alias("a"), F.col("root").alias("ra")), apart.select("h", F.col("id").alias("b"), F.col("root").alias("rb"))
-    far = x.join(y, (x["h"] == y["h"]) & (F.col("ra") != F.col("rb"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tried = known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    again = compared(possible.unionByName(far).distinct().join(tried, ["a", "b"], "left_anti"), members).filter(F.col("est") >= floor)
-    again = written(again, "again")
-    if again.isEmpty():
-        return roots
-    texts = written(texts_of(ends(again)), "texts")
-    more = written(measured(again, texts, shingles, False).filter(similar(threshold)), "more")
-    if more.isEmpty():
-        return roots
-    return written(components(roots.select(F.col("id").alias("u"), F.col("root").alias("v")).unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v")))), "roots")
+    return (F.col("inter") > 0) & (F.col("inter") * (1 + threshold) >= threshold * (F.col("na") + F.col("nb")) - SLACK)
+
+
+def common(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """n x n: how many values each two owners share."""
+    share = np.zeros((n, n), np.float32)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    cut = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, np.int64)
+    size = np.diff(np.append(cut, len(values)))
+    two = cut[size == 2]
+    np.add.at(share, (owner[two], owner[two + 1]), 1)
+    share += share.T
+    many = np.flatnonzero(size > 2)
+    for first in range(0, len(many), 4096):
+        some = many[first : first + 4096]
+        x = np.zeros((n, len(some)), np.float32)
+        at = np.repeat(cut[some], size[some]) + np.arange(size[some].sum()) - np.repeat(np.cumsum(size[some]) - size[some], size[some])
+        x[owner[at], np.repeat(np.arange(len(some)), size[some])] = 1
+        share += x @ x.T
+    return share
+
+
+def forest(ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The edges of stars that connect what the symmetric matrix ok connects."""
+    label = np.arange(len(ok))
+    while True:
+        new = np.minimum(label, np.where(ok, label[None, :], len(ok)).min(axis=1))
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    at = np.flatnonzero(label != np.arange(len(ok)))
+    return at, label[at]
+
+
+def block_links(rows: DataFrame, threshold: float) -> DataFrame:
+    """rows (a, p, q, side, b, root, linked, na, inter, nb, delta): members b of the block (p, q) of a pivot a -> links (u, v) that connect all similar ones of the
+    block that are of two sides, of two roots, and not both linked with the pivot. A side or root of -1 differs from every other."""
+
+    def links(t: pa.Table) -> pa.RecordBatch:
+        b, side, root, linked = (t[c].to_numpy() for c in ("b", "side", "root", "linked"))
+        na, inter, nb = (t[c].to_numpy().astype(np.float32) for c in ("na", "inter", "nb"))
+        lists = pa.concat_arrays(t["delta"].chunks)
+        share = common(lists.flatten().to_numpy(), np.repeat(np.arange(len(b)), lists.value_lengths().to_numpy()), len(b))
+        lacks = na - inter
+        both = na[:, None] - lacks[:, None] - lacks[None, :] + share
+        ok = (both > 0) & (both * (1 + threshold) >= threshold * (nb[:, None] + nb[None, :]) - SLACK) & ~(linked[:, None] & linked[None, :])
+        for x in (side, root):
+            ok &= (x[:, None] != x[None, :]) | (x[:, None] < 0)
+        np.fill_diagonal(ok, False)
+        u, v = forest(ok)
+        return pa.RecordBatch.from_arrays([pa.array(b[u]), pa.array(b[v])], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch[c].to_numpy(zero_copy_only=False) for c in ("a", "p", "q")], axis=1)
+            cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+            for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True):
+                now = tuple(key[i])
+                if now != last and held:
+                    yield links(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(i, j - i))
+                last = now
+        if held:
+            yield links(pa.Table.from_batches(held))
+
+    columns = ("a", "p", "q", "side", "b", "root", "linked", "na", "inter", "nb", "delta")
+    return rows.select(*columns).repartition("a", "p", "q").sortWithinPartitions("a", "p", "q").mapInArrow(run, LINKS)
+
+
+def within_blocks(known: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """known: what measured() gives -> the links within each block of a pivot's members, and known of the pivots whose members are in several blocks, with block."""
+    known = known.withColumn("linked", similar(threshold))
+    sizes = known.groupBy("a").agg(F.count("*").alias("n"), F.sum(F.size("delta")).alias("e"), F.min("linked").alias("all")).filter("n > 1 AND NOT all")
+    sizes = sizes.select("a", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("e") / ELEMENTS)).cast("int").alias("blocks"))
+    rows = known.join(sizes, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
+    one = rows.withColumns({"p": F.col("block"), "q": F.col("block"), "side": F.lit(-1), "root": F.lit(-1).cast("long")})
+    return block_links(one, threshold), rows.filter("blocks > 1")
+
+
+def across_blocks(rows: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
+    """rows with block, of pivots that have several -> the links between different blocks of members that are not in the group's largest component and others."""
+    rooted = rows.join(roots.withColumnRenamed("id", "b"), "b", "left").withColumn("root", F.coalesce("root", "b"))
+    each = rooted.groupBy("a", "root").agg(F.count("*").alias("n"), F.sum(F.size("delta")).alias("e"))
+    main = each.groupBy("a").agg(F.max(F.struct("n", "root", "e")).alias("x"), F.sum("n").alias("n"), F.sum("e").alias("e"))
+    parts = F.greatest(F.ceil((F.col("n") - F.col("x.n")) / BLOCK), F.ceil((F.col("e") - F.col("x.e")) / ELEMENTS)).cast("int")
+    live = rooted.join(main.filter(F.col("n") > F.col("x.n")).select("a", F.col("x.root").alias("main"), parts.alias("parts")), "a")
+    minor = live.filter("root <> main").withColumn("p", F.pmod(F.xxhash64("b", F.lit(1)), F.col("parts")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(0))
+    every = live.withColumn("q", F.col("block")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("side", F.lit(1))
+    return block_links(minor.unionByName(every), threshold)
+
+
+def similarity_classes(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shingles: Shingler, as_set: Callable[[np.ndarray], np.ndarray], *, threshold: float, width: int) -> DataFrame:
+    """members (id, sketch: binary, a byte for each coordinate, null without elements; distinct ids) -> id, root: for every member with a similar one, the
+    smallest id of its class. Bands have width coordinates. texts_of gives the texts (id, text) of some ids; as_set makes a text's shingles a
+    set of distinct elements in order."""
+    spark = members.sparkSession
+    scratch, first, last = Scratch(spark), Scratch(spark), Scratch(spark)
+    shared, level, roots, more, any_more = buckets(members, width, scratch).withColumn("far", F.lit(True)), 0, None, None, False
+    while True:
+        stars = scratch.written(compared(shared.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), members), "stars")
+        near = stars.filter(F.col("est") >= FAR)
+        texts = scratch.written(texts_of(near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()), "texts")
+        known = scratch.written(measured(near, texts, shingles, as_set), "measured")
+        inside, several = within_blocks(known, threshold)
+        links = scratch.written(known.filter(similar(threshold)).select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(inside), "links")
+        more = links if more is None else more.unionByName(links)
+        any_more |= level > 0 and not links.isEmpty()
+        if level == 0:
+            roots = first.written(components(links, first), "roots")
+        if not several.isEmpty():
+            more, any_more = more.unionByName(scratch.written(across_blocks(several, roots, threshold), "links")), True
+        # a pair that is still open has, for each pivot of its bucket, a member that is far from it, and none that is close to it
+        est = shared.join(stars.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "est"), ["pivot", "id"], "left").fillna(1.0, ["est"])
+        apart = est.groupBy("h", "id").agg(F.max("est").alias("most"), (F.max("far") & (F.min("est") < FAR)).alias("far")).filter(F.col("most") < CLOSE)
+        apart = scratch.written(apart.join(roots, "id", "left").select("h", "id", "far", F.coalesce("root", "id").alias("root")), "apart")
+        alive = apart.groupBy("h").agg(F.max("far").alias("far"), F.min("root").alias("x"), F.max("root").alias("y")).filter("far AND x < y").select("h")
+        level += 1
+        left = apart.join(alive, "h")
+        pivots = left.filter("far").groupBy("h", F.pmod(F.xxhash64("id"), F.lit(64**level)).alias("part")).agg(F.min("id").alias("pivot")).select("h", "pivot")
+        shared = scratch.written(left.select("h", "id", "far").join(pivots, "h"), "buckets")
+        if shared.isEmpty():
+            break
+    if any_more:
+        roots = last.written(components(more, scratch), "roots")
+        first.drop()
+    scratch.drop()
+    return roots

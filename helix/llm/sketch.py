@@ -9,12 +9,14 @@ coordinate's value is its earliest dart. Two sets agree in a coordinate with the
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 
 from helix.llm.words import U, mixed
 
 NONE = U(0xFFFFFFFFFFFFFFFF)
+NONE32 = np.uint32(0xFFFFFFFF)
 #: Bits of a rank's fraction; the bits above are its unit.
 FRACTION = 44
 #: Bounds of the number of points of a Poisson process in a unit, as 64-bit values.
@@ -43,8 +45,8 @@ def sketches(elements: np.ndarray, weights: np.ndarray, rows: np.ndarray, n: int
     part = np.minimum(1.0, weights[at] - j)
     total = np.bincount(rows, weights, n)
     out = np.full((n, k), NONE)
-    limit = k * (math.log(k) + 2) / np.maximum(total, 1e-300)
     todo = total > 0
+    limit = np.where(todo, k * (math.log(k) + 2) / np.where(todo, total, 1), 0)
     while todo.any():
         some = todo[row]
         c, p, r = cell[some], part[some], row[some]
@@ -62,15 +64,37 @@ def sketches(elements: np.ndarray, weights: np.ndarray, rows: np.ndarray, n: int
     return out
 
 
-def bands(values: np.ndarray, rows_per_band: int) -> np.ndarray:
-    """A hash for each band of values, which also tells bands apart: n x (k / rows_per_band)."""
-    n, k = values.shape
-    h = np.zeros((n, k // rows_per_band), U) + np.arange(1, k // rows_per_band + 1, dtype=U) * U(0x8CB92BA72F3D8DD7)
-    for i in range(rows_per_band):
-        h = mixed(h ^ values[:, i::rows_per_band][:, : k // rows_per_band])
-    return h
+def minhashes(values: np.ndarray, offsets: np.ndarray, k: int) -> np.ndarray:
+    """Sketches of sets without weights: the least of the 32-bit products of each row's hashes and k odd factors: rows x k; all NONE32 for an empty row.
+
+    offsets: of the rows in values. Runs of rows are small enough to stay in a core's cache.
+    """
+    h = (values >> U(32)).astype(np.uint32)
+    n = len(offsets) - 1
+    out = np.full((k, n), NONE32)
+    full = np.flatnonzero(np.diff(offsets))
+    starts = offsets[full]
+    held = np.empty(0, np.uint32)
+    first = 0
+    while first < len(full):
+        last = max(first + 1, int(np.searchsorted(starts, starts[first] + (1 << 16))))
+        end = starts[last] if last < len(full) else offsets[-1]
+        some, at = h[starts[first] : end], starts[first:last] - starts[first]
+        held = held if len(held) >= len(some) else np.empty(len(some), np.uint32)
+        product = held[: len(some)]
+        for i in range(k):
+            np.multiply(some, _odd(i), out=product)
+            out[i, full[first:last]] = np.minimum.reduceat(product, at)
+        first = last
+    return out.T
+
+
+@lru_cache(maxsize=None)
+def _odd(i: int) -> np.uint32:
+    """The i-th factor."""
+    return np.uint32(int(mixed(np.array([i + 1], U) * U(0x9E3779B97F4A7C15))[0]) & 0xFFFFFFFF | 1)
 
 
 def bytes_of(values: np.ndarray) -> np.ndarray:
     """One byte of each value: two sketches' share of equal bytes is about their similarity (and 1/256 of the rest)."""
-    return (mixed(values) >> U(56)).astype(np.uint8)
+    return (mixed(values.astype(U)) >> U(56)).astype(np.uint8)

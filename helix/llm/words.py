@@ -34,13 +34,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS["up"]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         for k, b in (("up", BASE), ("down", INVERSE)):
             _POWERS[k] = np.cumprod(np.concatenate([np.ones(1, U), np.full(size - 1, b)]), dtype=U)
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
-def chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def chunks(column: pa.Array, limit: int = 1 << 18) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """A text column in runs of rows of about limit bytes (a longer text alone): the run's first row, its bytes, the offsets of its rows in
     them. Null is as empty."""
     if isinstance(column, pa.ChunkedArray):
