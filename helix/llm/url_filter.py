@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helix.llm.shared import written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Public suffixes of two labels; all others have one.
 SECOND_LEVEL = ("ac.uk", "co.jp", "co.nz", "co.uk", "com.au", "com.br", "org.uk")
@@ -62,6 +64,7 @@ def host_reputation(labelled: DataFrame, hosts: DataFrame, *, z: float = 1.645,
     its lower and upper bound, z standard deviations away. Without any label every mean is 0.5 and the bounds are those of the prior."""
     counts = labelled.filter("good IS NOT NULL").groupBy("host").agg(F.count("*").alias("n"), F.count_if("good").alias("k"))
     known = with_suffix_and_domain(hosts, second_level).join(counts, "host", "left").fillna(0, ["n", "k"])
+    known = written(known, "hosts")  # each level reads it
     mean = ((F.col("k") + F.col("kappa") * F.col("up")) / (F.col("n") + F.col("kappa"))).alias("rate")
     total = known.agg(((F.sum("k") + 1) / (F.sum("n") + 2)).alias("up"))
     suffixes = _shrunk(known.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).join(total, how="cross"), floor, ceiling)
