@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-READS = """SELECT doc_id AS read_id, lang, substr(translate(l, 'abcdefghijklmnopqrstuvwxyz', 'AACCGGTTACGTACGTNACGTRACGT'), 1, 150) AS seq,
+#: Reads of 150 letters, one after the other, that cover all letters of a document; the last has what is left over as well.
+READS = """SELECT doc_id * 1000000 + i AS read_id, lang, substr(s, i * 150 + 1, CASE WHEN i = n - 1 THEN 299 ELSE 150 END) AS seq, substr(q, i * 150 + 1, CASE WHEN i = n - 1 THEN 299 ELSE 150 END) AS qual
+    FROM (SELECT doc_id, lang, translate(l, 'abcdefghijklmnopqrstuvwxyz', 'AACCGGTTACGTACGTNACGTRACGT') AS s, translate(l, 'abcdefghijklmnopqrstuvwxyz', 'I!5?H0:I+DI4I7I9A2IBIFIC3I') AS q, n, {each} AS i
+      FROM (SELECT doc_id, lang, l, cast(greatest(1, floor(length(l) / 150)) AS int) AS n FROM (SELECT doc_id, lang, lower(regexp_replace(text, '[^A-Za-z]', ''{g})) AS l FROM documents) x WHERE length(l) >= 1) y) z"""
+
+#: The first 150 letters of a document, for alignment by brute force in SQL.
+FIRST_READS = """SELECT doc_id AS read_id, lang, substr(translate(l, 'abcdefghijklmnopqrstuvwxyz', 'AACCGGTTACGTACGTNACGTRACGT'), 1, 150) AS seq,
     substr(translate(l, 'abcdefghijklmnopqrstuvwxyz', 'I!5?H0:I+DI4I7I9A2IBIFIC3I'), 1, 150) AS qual
     FROM (SELECT doc_id, lang, lower(regexp_replace(text, '[^A-Za-z]', ''{g})) AS l FROM documents) x WHERE length(l) >= 20"""
 
-#: The same without a bound: a read is all of a document.
+#: A read is all of a document.
 WHOLE_READS = """SELECT doc_id AS read_id, lang, translate(l, 'abcdefghijklmnopqrstuvwxyz', 'AACCGGTTACGTACGTNACGTRACGT') AS seq,
     translate(l, 'abcdefghijklmnopqrstuvwxyz', 'I!5?H0:I+DI4I7I9A2IBIFIC3I') AS qual
     FROM (SELECT doc_id, lang, lower(regexp_replace(text, '[^A-Za-z]', ''{g})) AS l FROM documents) x WHERE length(l) >= 20"""
@@ -55,13 +61,13 @@ PLANS = """SELECT cast(c_custkey AS {s}) AS job_id, cast(c_nationkey % 5 + CASE
 FILES = """SELECT o_orderkey AS file_id, concat('f', cast(o_orderkey AS {s}), CASE o_orderkey % 7 WHEN 0 THEN '.fastq.gz' WHEN 1 THEN '.FQ' WHEN 2 THEN '.fa' WHEN 3 THEN '.bam' WHEN 4 THEN '.vcf ' WHEN 5 THEN '.tsv' ELSE '.doc' END) AS file_name,
     cast(o_custkey * 3 AS bigint) AS size, CASE WHEN o_orderkey % 3 = 0 THEN 'reference' ELSE 'managed_copy' END AS storage_mode, o_orderdate AS modified FROM orders"""
 
-ALL = {"reads": READS, "whole_reads": WHOLE_READS, "alignments": ALIGNMENTS, "dictionary": DICTIONARY, "variants": VARIANTS, "run_events": EVENTS, "jobs": JOBS, "artifacts": ARTIFACTS, "run_plans": PLANS, "files": FILES}
-TABLES = {"reads": ["documents"], "whole_reads": ["documents"], "alignments": ["lineitem"], "dictionary": ["lineitem"], "variants": ["orders"], "run_events": ["events"], "jobs": ["customer"], "artifacts": ["orders"], "run_plans": ["customer"], "files": ["orders"]}
+ALL = {"reads": READS, "first_reads": FIRST_READS, "whole_reads": WHOLE_READS, "alignments": ALIGNMENTS, "dictionary": DICTIONARY, "variants": VARIANTS, "run_events": EVENTS, "jobs": JOBS, "artifacts": ARTIFACTS, "run_plans": PLANS, "files": FILES}
+TABLES = {"reads": ["documents"], "first_reads": ["documents"], "whole_reads": ["documents"], "alignments": ["lineitem"], "dictionary": ["lineitem"], "variants": ["orders"], "run_events": ["events"], "jobs": ["customer"], "artifacts": ["orders"], "run_plans": ["customer"], "files": ["orders"]}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived table as a Spark plan over the parquet tables."""
-    text = ALL[name].replace("{g}", "").replace("{seq}", "explode(sequence(1, 5))").replace("{s}", "string")
+    text = ALL[name].replace("{g}", "").replace("{seq}", "explode(sequence(1, 5))").replace("{each}", "explode(sequence(0, n - 1))").replace("{s}", "string")
     for t in TABLES[name]:
         text = text.replace(f"FROM {t}", f"FROM {{{t}}}")
     return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES[name]})
@@ -69,5 +75,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def duck(*names: str) -> str:
     """WITH clauses of derived tables for DuckDB."""
-    text = lambda n: ALL[n].replace("{g}", ", 'g'").replace("{seq}", "unnest(range(1, 6))").replace("{s}", "varchar")
+    text = lambda n: ALL[n].replace("{g}", ", 'g'").replace("{seq}", "unnest(range(1, 6))").replace("{each}", "unnest(range(0, n))").replace("{s}", "varchar")
     return "WITH " + ", ".join(f"{n} AS ({text(n)})" for n in names)

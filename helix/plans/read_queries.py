@@ -26,7 +26,7 @@ COMP = f"{n_of('ACGT')} AS canonical, {n_of('GC')} AS gc, {n_of('N')} AS n, {n_o
 
 
 def reads(spark: SparkSession, source: str | DataFrame) -> DataFrame:
-    """The first 150 letters of the documents of a folder; or reads, as they are."""
+    """The reads of a folder's documents; or reads, as they are."""
     return source if isinstance(source, DataFrame) else table(spark, source, "reads")
 
 
@@ -189,7 +189,8 @@ def _(spark, d):
     return R.paired_trim_summary(R.trim_pairs(pairs(spark, d).filter("pair_error IS NULL"), OPTIONS))
 
 
-#: A reference made of every fiftieth read, and probes cut from all reads that may have a base changed.
+FIRST = duck("first_reads") + ", reads AS (SELECT * FROM first_reads)"
+#: A reference made of every fiftieth first read, and probes cut from all reads that may have a base changed.
 REFERENCE = "SELECT concat('c', read_id) AS contig, read_id AS contig_idx, seq FROM reads WHERE read_id % 50 = 1"
 PROBES = "SELECT read_id, CASE WHEN read_id % 3 = 0 THEN concat('A', substr(seq, 7, 23)) WHEN read_id % 3 = 1 THEN reverse(translate(substr(seq, 6, 24), 'ACGT', 'TGCA')) ELSE substr(seq, 6, 24) END AS seq, repeat('I', 24) AS qual FROM reads WHERE length(seq) >= 40"
 #: By brute force: all places of all probes in all contigs.
@@ -201,23 +202,23 @@ hits AS (SELECT *, count(*) OVER (PARTITION BY read_id) AS nh, row_number() OVER
 
 
 def probes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    r = reads(spark, d)
+    r = table(spark, d, "first_reads")
     return spark.sql(PROBES.replace("FROM reads", "FROM {reads}"), reads=r), spark.sql(REFERENCE.replace("FROM reads", "FROM {reads}"), reads=r)
 
 
-@query("J3_W3_W4_align", f"{D}, {BRUTE} SELECT read_id, contig, pos, strand, nm, nh FROM hits WHERE n = 1")
+@query("J3_W3_W4_align", f"{FIRST}, {BRUTE} SELECT read_id, contig, pos, strand, nm, nh FROM hits WHERE n = 1")
 def _(spark, d):
     p, ref = probes(spark, d)
     return align(p, ref, AlignOptions(2)).select("read_id", "contig", "pos", "strand", F.col("nm").cast("long").alias("nm"), "nh")
 
 
-@query("F6_P29_A7_align_single", f"{D}, {BRUTE}, s AS (SELECT pr.read_id, contig, strand, nm, nh FROM pr LEFT JOIN (SELECT * FROM hits WHERE n = 1) h USING (read_id)) SELECT count(*) AS reads, count(contig) AS mapped, count_if(contig IS NULL) AS unmapped, count_if(nh = 1) AS unique_reads, count_if(nh > 1) AS multi_reads, count_if(strand = 1) AS reverse_reads, coalesce(sum(CASE WHEN contig IS NOT NULL THEN 24 END), 0)::BIGINT AS aligned_bases, coalesce(sum(nm), 0)::BIGINT AS mismatches, round(100.0 * count(contig) / count(*), 6) AS mapped_percent FROM s")
+@query("F6_P29_A7_align_single", f"{FIRST}, {BRUTE}, s AS (SELECT pr.read_id, contig, strand, nm, nh FROM pr LEFT JOIN (SELECT * FROM hits WHERE n = 1) h USING (read_id)) SELECT count(*) AS reads, count(contig) AS mapped, count_if(contig IS NULL) AS unmapped, count_if(nh = 1) AS unique_reads, count_if(nh > 1) AS multi_reads, count_if(strand = 1) AS reverse_reads, coalesce(sum(CASE WHEN contig IS NOT NULL THEN 24 END), 0)::BIGINT AS aligned_bases, coalesce(sum(nm), 0)::BIGINT AS mismatches, round(100.0 * count(contig) / count(*), 6) AS mapped_percent FROM s")
 def _(spark, d):
     p, ref = probes(spark, d)
     return alignment_summary(to_sam(p, align(p, ref, AlignOptions(2))))
 
 
-@query("A8_J4_pair_classes", f"{D}, {BRUTE}, m AS (SELECT read_id // 2 AS pair, count(*) AS k, count(contig) AS n FROM pr LEFT JOIN (SELECT * FROM hits WHERE n = 1) h USING (read_id) GROUP BY 1) SELECT count(*) AS pairs, count_if(n = 2) AS both_mapped, count_if(n = 1) AS one_mapped, count_if(n = 0) AS none_mapped FROM m WHERE k = 2")
+@query("A8_J4_pair_classes", f"{FIRST}, {BRUTE}, m AS (SELECT read_id // 2 AS pair, count(*) AS k, count(contig) AS n FROM pr LEFT JOIN (SELECT * FROM hits WHERE n = 1) h USING (read_id) GROUP BY 1) SELECT count(*) AS pairs, count_if(n = 2) AS both_mapped, count_if(n = 1) AS one_mapped, count_if(n = 0) AS none_mapped FROM m WHERE k = 2")
 def _(spark, d):
     p, ref = probes(spark, d)
     r = p.withColumn("pair_id", F.floor(F.col("read_id") / 2)).withColumn("mate", (F.col("read_id") % 2 + 1).cast("int"))
@@ -227,7 +228,7 @@ def _(spark, d):
 P27 = """h1 AS (SELECT * FROM hits WHERE n = 1), r AS (SELECT pr.read_id, read_id // 2 AS pair_id, read_id % 2 + 1 AS mate, contig, pos, strand FROM pr LEFT JOIN h1 USING (read_id)), j AS (SELECT a.*, b.contig AS mc, b.pos AS mp, b.strand AS ms FROM r a JOIN r b ON a.pair_id = b.pair_id AND a.mate <> b.mate)"""
 
 
-@query("F7_P27_P28_align_pairs", f"""{D}, {BRUTE}, {P27} SELECT pair_id, mate::INT AS mate, 1 + CASE WHEN contig IS NULL THEN 4 WHEN strand = 1 THEN 16 ELSE 0 END + CASE WHEN mc IS NULL THEN 8 WHEN ms = 1 THEN 32 ELSE 0 END + CASE mate WHEN 1 THEN 64 ELSE 128 END AS flag, coalesce(contig, '*') AS rname, coalesce(pos + 1, 0) AS pos,
+@query("F7_P27_P28_align_pairs", f"""{FIRST}, {BRUTE}, {P27} SELECT pair_id, mate::INT AS mate, 1 + CASE WHEN contig IS NULL THEN 4 WHEN strand = 1 THEN 16 ELSE 0 END + CASE WHEN mc IS NULL THEN 8 WHEN ms = 1 THEN 32 ELSE 0 END + CASE mate WHEN 1 THEN 64 ELSE 128 END AS flag, coalesce(contig, '*') AS rname, coalesce(pos + 1, 0) AS pos,
  CASE WHEN contig = mc THEN '=' WHEN mc IS NOT NULL THEN mc ELSE '*' END AS rnext, coalesce(mp + 1, 0) AS pnext, CASE WHEN contig = mc THEN (greatest(pos, mp) + 24 - least(pos, mp)) * CASE WHEN pos < mp OR (pos = mp AND mate = 1) THEN 1 ELSE -1 END ELSE 0 END AS tlen FROM j""")
 def _(spark, d):
     p, ref = probes(spark, d)
