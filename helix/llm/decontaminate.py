@@ -51,7 +51,7 @@ def item_windows(benchmark: DataFrame, window: int, item_id: str, text: str) ->
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(found, pa.string())], ["id", "words"])
 
     rows = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(cut, "id string, words string").groupBy("words").agg(F.array_sort(F.collect_set("id")).alias("items"))
+    return rows.mapInArrow(W.releasing(cut), "id string, words string").groupBy("words").agg(F.array_sort(F.collect_set("id")).alias("items"))
 
 
 @dataclass
@@ -114,7 +114,7 @@ def shingle_counts(docs: DataFrame, text: str, keys: np.ndarray, sizes: Sequence
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(total[some])], ["key", "n"])
 
-    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(W.releasing(count), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def _hits(h: np.ndarray, rows: np.ndarray, block: Block, bits: np.ndarray, step: int = 50_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -172,7 +172,7 @@ def probe(docs: DataFrame, text: str, carry: Sequence[str], block: Block, more:
                 [*(b[f.name] for f in kept), b["text"], pa.array(n_words), pa.array([sorted(x) for x in spans], pa.list_(pa.int64())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], [f.name for f in schema.fields]
             )
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(W.releasing(run), schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, share: int = 20, text: str = "text", carry: Sequence[str] = ("doc_id",), item_id: str = "item_id", item_text: str = "text", block_windows: int = 200_000) -> DataFrame:

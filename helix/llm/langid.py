@@ -90,7 +90,7 @@ def document_frequencies(labelled: DataFrame) -> tuple[np.ndarray, int]:
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], n))], ["bucket", "n"])
 
     df, n = np.zeros(1 << BITS), 0
-    for r in labelled.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # a row for each bucket at most
+    for r in labelled.select("text").mapInArrow(W.releasing(count), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # a row for each bucket at most
         if r["bucket"] < 0:
             n = r["n"]
         else:
@@ -185,7 +185,7 @@ def train(labelled: DataFrame, *, per_language: int = 800, alpha: float = 0.5, b
         t = temperature(np.array([x @ w[b] + w[-1] for b, x, _ in held]), np.array([y for *_, y in held])) if len(held) >= 20 else 1.0
         yield pa.RecordBatch.from_arrays([pa.array([w.astype("<f8").tobytes()]), pa.array([t])], ["weights", "temperature"])
 
-    one = chosen.mapInArrow(sparse, "lang string, draw long, bucket array<int>, n array<int>").repartition(1).mapInArrow(learn, "weights binary, temperature double").collect()[0]
+    one = chosen.mapInArrow(W.releasing(sparse), "lang string, draw long, bucket array<int>, n array<int>").repartition(1).mapInArrow(W.releasing(learn), "weights binary, temperature double").collect()[0]
     w = np.frombuffer(one["weights"], "<f8").reshape(-1, len(languages))
     return Model(languages, (w[:-1] * (idf * SCALE)[:, None]).astype(np.float32), w[-1], one["temperature"])
 
@@ -212,7 +212,7 @@ def predict(docs: DataFrame, model: Model | None, *, text: str = "text", carry:
                 scores[base : base + len(has)] = np.where(has, p[np.arange(len(p)), best], 0.0)
             yield pa.RecordBatch.from_arrays([*(batch[f.name] for f in kept), pa.array(names, pa.string()), pa.array(scores)], [*(f.name for f in kept), "lang_pred", "score"])
 
-    return read.mapInArrow(run, T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return read.mapInArrow(W.releasing(run), T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def crc_part(doc_id: Column, n: int) -> Column:

@@ -104,7 +104,7 @@ def sketched_lines(rows: DataFrame, shingle: int, coordinates: int) -> DataFrame
                         ["key", "doc_id", "at", "_row", "line", "sketch"],
                     )
 
-    return rows.mapInArrow(run, f"key binary, doc_id {rows.schema['doc_id'].dataType.simpleString()}, at long, _row long, line int, sketch binary")
+    return rows.mapInArrow(W.releasing(run), f"key binary, doc_id {rows.schema['doc_id'].dataType.simpleString()}, at long, _row long, line int, sketch binary")
 
 
 def lines_at(rows: DataFrame, places: DataFrame) -> DataFrame:
@@ -123,7 +123,7 @@ def lines_at(rows: DataFrame, places: DataFrame) -> DataFrame:
                     text = pa.StringArray.from_buffers(len(some), pa.py_buffer(after.astype(np.int32)), pa.py_buffer(bytes_))
                     yield pa.RecordBatch.from_arrays([*(pa.array(x[some]) for x in place), pa.array(number[some].astype(np.int32)), text], ["at", "_row", "line", "text"])
 
-    return rows.filter(wanted.column(F.xxhash64("at", "_row"))).select("text", "at", "_row").mapInArrow(run, "at long, _row long, line int, text string")
+    return rows.filter(wanted.column(F.xxhash64("at", "_row"))).select("text", "at", "_row").mapInArrow(W.releasing(run), "at long, _row long, line int, text string")
 
 
 def hashed(rows: DataFrame, hashes) -> DataFrame:
@@ -134,7 +134,7 @@ def hashed(rows: DataFrame, hashes) -> DataFrame:
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays([pa.array(hashes(b).view(np.int64))], ["h"])
 
-    return rows.mapInArrow(run, "h long")
+    return rows.mapInArrow(W.releasing(run), "h long")
 
 
 def place_hashes(at: np.ndarray, row: np.ndarray, line: np.ndarray) -> np.ndarray:
@@ -162,7 +162,7 @@ def lines_with_keys(rows: DataFrame, wanted: Sieve) -> DataFrame:
                     ["doc_id", "_file", "_row", "n_lines", "lines", "keys"],
                 )
 
-    return rows.select("doc_id", "text", "_file", "_row").mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, _file string, _row long, n_lines long, lines array<int>, keys array<binary>")
+    return rows.select("doc_id", "text", "_file", "_row").mapInArrow(W.releasing(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, _file string, _row long, n_lines long, lines array<int>, keys array<binary>")
 
 
 def line_decisions(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8, coordinates: int = 144, rows_per_band: int = 6, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -88,7 +88,7 @@ def sketched(texts: DataFrame, sketch) -> DataFrame:
                 next_id += n
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)
-    return texts.mapInArrow(run, f"{schema}, id long, sketch binary")
+    return texts.mapInArrow(W.releasing(run), f"{schema}, id long, sketch binary")
 
 
 def near_dedup(docs: DataFrame, *, shingle: int = 5, threshold: float = 0.8, coordinates: int = 192, rows_per_band: int = 6, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -65,7 +65,7 @@ def banded(members: DataFrame, width: int, sieve: Sieve | None = None) -> DataFr
                     ids, h = ids[ok], h[ok]
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(h.view(np.int64))], ["id", "h"])
 
-    return members.filter("sketch IS NOT NULL").select("id", "sketch").mapInArrow(run, "id long, h long")
+    return members.filter("sketch IS NOT NULL").select("id", "sketch").mapInArrow(W.releasing(run), "id long, h long")
 
 
 def band_counts(members: DataFrame, width: int) -> DataFrame:
@@ -77,7 +77,7 @@ def band_counts(members: DataFrame, width: int) -> DataFrame:
                 h, n = np.unique(band_hashes(b["sketch"], width), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
 
-    return members.filter("sketch IS NOT NULL").select("sketch").mapInArrow(run, "h long, n long")
+    return members.filter("sketch IS NOT NULL").select("sketch").mapInArrow(W.releasing(run), "h long, n long")
 
 
 def buckets(members: DataFrame, width: int, scratch: Scratch) -> DataFrame:
@@ -99,7 +99,7 @@ def compared(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays([b["a"], b["b"], pa.array((matrix(b["sa"]) == matrix(b["sb"])).mean(axis=1))], ["a", "b", "est"])
 
-    return both.mapInArrow(run, "a long, b long, est double")
+    return both.mapInArrow(W.releasing(run), "a long, b long, est double")
 
 
 def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -138,7 +138,7 @@ def measured(pairs: DataFrame, texts: DataFrame, shingles: Shingler, as_set: Cal
                     delta.append(both[one].view(np.int64))
                 yield pa.RecordBatch.from_arrays([b["a"], b["b"], pa.array(inter), pa.array([len(p) for p in x]), pa.array([len(q) for q in y]), pa.array(delta, pa.list_(pa.int64()))], ["a", "b", "inter", "na", "nb", "delta"])
 
-    return both.mapInArrow(run, "a long, b long, inter long, na long, nb long, delta array<long>")
+    return both.mapInArrow(W.releasing(run), "a long, b long, inter long, na long, nb long, delta array<long>")
 
 
 def similar(threshold: float):
@@ -216,7 +216,7 @@ def block_links(rows: DataFrame, threshold: float) -> DataFrame:
             yield links(pa.Table.from_batches(held))
 
     columns = ("a", "p", "q", "side", "b", "root", "linked", "na", "inter", "nb", "delta")
-    return rows.select(*columns).repartition("a", "p", "q").sortWithinPartitions("a", "p", "q").mapInArrow(run, LINKS)
+    return rows.select(*columns).repartition("a", "p", "q").sortWithinPartitions("a", "p", "q").mapInArrow(W.releasing(run), LINKS)
 
 
 def within_blocks(known: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -248,8 +248,9 @@ def similarity_classes(members: DataFrame, texts_of: Callable[[DataFrame], DataF
     spark = members.sparkSession
     scratch, first, last = Scratch(spark), Scratch(spark), Scratch(spark)
     shared, level, roots, more, any_more = buckets(members, width, scratch).withColumn("far", F.lit(True)), 0, None, None, False
+    sketches = scratch.written(only(members.select("id", "sketch"), shared.select("id")), "sketches")  # of members of buckets; most have none
     while True:
-        stars = scratch.written(compared(shared.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), members), "stars")
+        stars = scratch.written(compared(shared.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), sketches), "stars")
         near = stars.filter(F.col("est") >= FAR)
         texts = scratch.written(texts_of(near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()), "texts")
         known = scratch.written(measured(near, texts, shingles, as_set), "measured")

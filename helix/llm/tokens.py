@@ -45,7 +45,7 @@ class Encoder:
     Otherwise they are tokens, as by default: no piece ends inside one, as they have no white space and no letter before a point.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000, plain: bool = True):
+    def __init__(self, path: str, most: int = 400_000, plain: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,20 @@ ALNUM = np.array([48 <= b < 58 or 65 <= b < 91 or 97 <= b < 123 or b >= 128 for
 NONSPACE = np.array([b not in b" \t\n\v\f\r" for b in range(256)])
 
 
+def releasing(run: Callable) -> Callable:
+    """run, a function of Arrow batches; when it ends, what it has freed goes back to the system, as a worker lives on and other stages need the memory."""
+
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):  # where the C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return released
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit (the finaliser of splitmix64)."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
