@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,3 +30,11 @@ def count_if(condition: Column) -> Column:
 def first_error(*cases: tuple[Column, str]) -> Column:
     """The code of the first case that holds, else null."""
     return F.coalesce(*[F.when(F.coalesce(c, F.lit(False)), code) for c, code in cases])
+
+
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string or binary array without nulls, one value after the other, and where each begins (and the last ends): views of Arrow's buffers."""
+    large = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    cuts = np.frombuffer(column.buffers()[1], np.int64 if large else np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    return np.frombuffer(data, np.uint8)[cuts[0] : cuts[-1]] if data is not None else np.zeros(0, np.uint8), cuts - cuts[0]

@@ -24,7 +24,7 @@ from helix.functions.alignment import (
     parse_cigar,
     tlen_eligible,
 )
-from helix.functions.common import count_if, ratio
+from helix.functions.common import count_if, ratio, text_bytes
 from helix.options import SnvOptions
 
 ELIGIBILITY = ("secondary", "supplementary", "unmapped", "duplicate", "qc_fail", "mapq_unavailable", "low_mapq", "eligible")
@@ -123,9 +123,10 @@ PIECE = 4096
 def reference_pieces(reference: DataFrame, more: int = 0) -> DataFrame:
     """reference (contig, seq) -> contig, piece (from 0), text: pieces of PIECE bases in upper case, each with so many more bases (PIECE at most) of the next.
 
-    All pieces are cut in one pass over a contig.
+    All pieces are cut in one pass over a contig. An empty or null contig has none; there is no filter on seq, since Spark would carry it through a join on contig
+    and, where seq is computed from contig, compute it for each row of the other side.
     """
-    cut = reference.filter(F.length("seq") > 0).select("contig", F.regexp_extract_all(F.upper("seq"), F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)).alias("p"))
+    cut = reference.select("contig", F.regexp_extract_all(F.upper("seq"), F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)).alias("p"))
     if more:
         nexts = F.concat(F.transform(F.slice("p", 2, 1 << 30), lambda x: F.substr(x, F.lit(1), F.lit(more))), F.array(F.lit("")))
         cut = cut.withColumn("p", F.zip_with("p", nexts, lambda x, y: F.concat(x, y)))
@@ -133,24 +134,26 @@ def reference_pieces(reference: DataFrame, more: int = 0) -> DataFrame:
 
 
 def _stretches(records: DataFrame, reference: DataFrame, options: SnvOptions) -> DataFrame:
-    """The aligned stretches of eligible records, cut where pieces of the reference end: rname, s (from 1), bases, quals, _ref.
+    """The aligned stretches of eligible records, cut where pieces of the reference end: rname, s (from 1), and as bytes bases, quals, _ref.
 
-    A stretch of a record meets only the pieces that it lies on, by an equi-join.
+    A stretch of a record meets only the pieces that it lies on, by an equi-join. A byte is a letter, so that a part of a piece is found without walking through it.
     """
+    plain = lambda c: F.when(F.octet_length(c) == F.length(c), F.col(c)).otherwise(F.regexp_replace(c, r"[^\x00-\x7F]", "?")).cast("binary").alias(c)
     e = records.filter((eligibility("flag", "mapq", options.min_mapq) == "eligible") & cigar_valid("cigar"))
-    walked = e.select("rname", "pos", "seq", "qual", F.explode(F.filter(cigar_walk(parse_cigar("cigar")), lambda x: x["op"].isin("M", "=", "X"))).alias("b"))
+    walked = e.select("rname", "pos", plain("seq"), plain("qual"), "cigar").select("rname", "pos", "seq", "qual", F.explode(F.filter(cigar_walk(parse_cigar("cigar")), lambda x: x["op"].isin("M", "=", "X"))).alias("b"))
     stretch = walked.select("rname", (F.col("pos") + F.col("b.ref")).alias("s"), F.substr("seq", F.col("b.read") + 1, F.col("b.n")).alias("bases"), F.substr("qual", F.col("b.read") + 1, F.col("b.n")).alias("quals"))
-    stretch = stretch.filter(F.length("bases") > 0).withColumn("e", F.col("s") + F.length("bases"))
+    stretch = stretch.withColumn("e", F.col("s") + F.length("bases")).filter("e > s")
     on = stretch.select("*", F.explode(F.sequence(F.floor((F.col("s") - 1) / PIECE), F.floor((F.col("e") - 2) / PIECE))).alias("piece"))
     lo, hi = F.greatest("s", F.col("piece") * PIECE + 1), F.least("e", (F.col("piece") + 1) * PIECE + 1)
     on = on.withColumns({"lo": lo, "n": (hi - lo).cast("int")}).select("rname", "piece", "n", F.col("lo").alias("s"), F.substr("bases", (F.col("lo") - F.col("s") + 1).cast("int"), F.col("n")).alias("bases"), F.substr("quals", (F.col("lo") - F.col("s") + 1).cast("int"), F.col("n")).alias("quals"))
-    ref = reference_pieces(reference).select(F.col("contig").alias("rname"), "piece", F.col("text").alias("_ref"))
+    ref = reference_pieces(reference).select(F.col("contig").alias("rname"), "piece", plain("text").alias("_ref"))
     return on.join(ref, ["rname", "piece"]).withColumn("_ref", F.substr("_ref", (F.col("s") - F.col("piece") * PIECE).cast("int"), F.col("n"))).filter(F.length("_ref") > 0)
 
 
 def observations(records: DataFrame, reference: DataFrame, options: SnvOptions = SnvOptions()) -> DataFrame:
     """Every aligned base of eligible records (rname, pos from 1, cigar, seq, qual) against reference (contig, seq) -> contig, pos, ref, base, quality, class."""
-    each = _stretches(records, reference, options).select("rname", F.explode(F.transform(F.sequence(F.lit(0), F.length("bases") - 1), lambda i: F.struct((F.col("s") + i).alias("pos"), F.substr("_ref", i + 1, F.lit(1)).alias("ref"), F.upper(F.substr("bases", i + 1, F.lit(1))).alias("base"), (F.ascii(F.substr("quals", i + 1, F.lit(1))) - 33).alias("quality")))).alias("o"))
+    text = _stretches(records, reference, options).select("rname", "s", *(F.col(c).cast("string").alias(c) for c in ("bases", "quals", "_ref")))
+    each = text.select("rname", F.explode(F.transform(F.sequence(F.lit(0), F.length("bases") - 1), lambda i: F.struct((F.col("s") + i).alias("pos"), F.substr("_ref", i + 1, F.lit(1)).alias("ref"), F.upper(F.substr("bases", i + 1, F.lit(1))).alias("base"), (F.ascii(F.substr("quals", i + 1, F.lit(1))) - 33).alias("quality")))).alias("o"))
     o = each.select(F.col("rname").alias("contig"), "o.*")
     return o.withColumn("class", observation_class(F.col("ref"), F.col("base"), F.col("quality"), options.min_base_quality)).withColumn("base", F.when(F.col("base") == "=", F.col("ref")).otherwise(F.col("base")))
 
@@ -168,21 +171,22 @@ def counted_observations(records: DataFrame, reference: DataFrame, options: SnvO
             if not b.num_rows:
                 continue
             names = b["rname"].dictionary_encode()
-            bases, quals, ref = (np.frombuffer("".join(b[c].to_pylist()).encode("ascii", "replace"), np.uint8) for c in ("bases", "quals", "_ref"))
-            n = np.array([len(x) for x in b["bases"].to_pylist()])
+            (bases, cuts), (quals, _), (ref, _) = (text_bytes(b[c]) for c in ("bases", "quals", "_ref"))
+            n = np.diff(cuts)
             pos = np.repeat(b["s"].to_numpy(zero_copy_only=False) - (np.cumsum(n) - n), n) + np.arange(n.sum())
             contig = np.repeat(names.indices.to_numpy(zero_copy_only=False).astype(np.int64), n)
             ref, base, quality = upper[ref], upper[bases], quals.astype(np.int64) - 33
             base = np.where(base == ord("="), ref, base)
             kind = np.where(~letters[ref], 0, np.where(~letters[base], 1, np.where(quality < least, 2, 3)))
-            key, first, inverse = np.unique(((contig << 34 | pos) << 16 | ref << 8 | base) * 4 + kind, return_index=True, return_inverse=True)
+            place = np.unique(contig << 34 | pos, return_inverse=True)[1]  # dense, so that what follows fits for any number of contigs
+            _, first, inverse = np.unique((place << 16 | ref << 8 | base) * 4 + kind, return_index=True, return_inverse=True)
             text = lambda x: pa.array(x[first].astype(np.uint8).view("S1").astype("U1"))
             yield pa.RecordBatch.from_arrays(
                 [names.dictionary.take(pa.array(contig[first])), pa.array(pos[first]), text(ref), text(base), pa.array(kind[first]), pa.array(np.bincount(inverse)), pa.array(np.bincount(inverse, quality).astype(np.int64))],
                 ["contig", "pos", "ref", "base", "kind", "n", "qsum"],
             )
 
-    filled = lambda c: F.rpad(c, F.length("bases"), F.lit("\0")).alias(c)  # noqa: E731  what stands beyond a contig's or the qualities' end
+    filled = lambda c: F.rpad(F.col(c).cast("string"), F.length("bases"), F.lit("\0")).alias(c)  # noqa: E731  what stands beyond a contig's or the qualities' end
     out = _stretches(records, reference, options).select("rname", "s", "bases", filled("quals"), filled("_ref")).mapInArrow(run, "contig string, pos long, ref string, base string, kind long, n long, qsum long")
     return out.withColumn("class", F.element_at(F.array(*map(F.lit, OBSERVATIONS)), (F.col("kind") + 1).cast("int"))).drop("kind")
 

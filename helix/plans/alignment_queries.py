@@ -166,20 +166,29 @@ def reference(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sequenced(spark: SparkSession, d: str) -> DataFrame:
-    """Records with bases and qualities of the same rule as the DuckDB form's; soft-clipped bases are A of the least quality."""
-    r = records(spark, d).withColumn("c", F.substr("rname", F.lit(4)).cast("long"))
-    ref = lambda p: F.substr(F.lit("ACGNT"), (F.lit(1) + (p * 7 + F.col("c") * 3 + F.floor(p / 5)) % 5).cast("int"), F.lit(1))
-    base = lambda p: F.when((F.col("k") + p) % 11 == 0, "G").when((F.col("k") + p) % 53 == 0, "N").otherwise(ref(p))
-    places = F.flatten(F.transform(cigar_blocks("pos", parse_cigar("cigar")), lambda b: F.sequence(b["s"] - 1, b["e"] - 2)))
-    clip = F.when(F.col("cigar").startswith("5S"), 5).otherwise(0)
-    seq = F.concat(F.repeat(F.lit("A"), clip), F.array_join(F.transform(places, base), ""))
-    qual = F.concat(F.repeat(F.lit("!"), clip), F.array_join(F.transform(places, lambda p: F.chr((F.col("k") + p) % 30 + 43)), ""))
-    return r.withColumn("seq", seq).withColumn("qual", qual)
+    """Records with bases and qualities of the same rule as the DuckDB form's; soft-clipped bases are A of the least quality. The rule has periods (25, 11, 53 and 30
+    places), so a stretch is cut from a repeated text rather than made letter by letter."""
+    letters = [F.lit("".join("ACGNT"[(p * 7 + c * 3 + p // 5) % 5] for p in range(25))) for c in range(5)]
+    periodic = lambda text, size, at, n: F.substr(F.repeat(text, F.ceil(n / size).cast("int") + 1), (at % size + 1).cast("int"), n.cast("int"))
+
+    def each(text, letter, size, at):  # the letter at every place that size divides
+        head = F.pmod(-at, F.lit(size)).cast("int")
+        return F.concat(F.substr(text, F.lit(1), head), F.regexp_replace(F.substr(text, head + 1), f".(.{{0,{size - 1}}})", f"{letter}$1"))
+
+    def stretch(p, n):
+        ref = periodic(F.element_at(F.array(*letters), (F.substr("rname", F.lit(4)).cast("int") % 5 + 1)), 25, p, n)
+        return each(each(ref, "N", 53, F.col("k") + p), "G", 11, F.col("k") + p), periodic(F.lit("".join(chr(i + 43) for i in range(30))), 30, F.col("k") + p, n)
+
+    r = records(spark, d).withColumn("m", F.regexp_extract("cigar", "([0-9]+)M", 1).cast("long"))
+    one, two = stretch(F.col("pos") - 1, F.col("m")), stretch(F.col("pos") + F.col("m") + 1, F.lit(3))
+    clip, more = F.when(F.col("cigar").startswith("5S"), 5).otherwise(0), F.col("cigar").endswith("2D3M")
+    text = lambda i, c: F.concat(F.repeat(F.lit(c), clip), one[i], F.when(more, two[i]).otherwise(""))
+    return r.withColumns({"seq": text(0, "A"), "qual": text(1, "!")}).drop("m")
 
 
 @query("P21_P26_J6_observations", f"{D}, {ALIGNED} SELECT contig, class, base, count(*) AS n, sum(quality)::BIGINT AS quality FROM oc GROUP BY contig, class, base")
 def _(spark, d):
-    return A.observations(sequenced(spark, d), reference(spark, d)).groupBy("contig", "class", "base").agg(F.count("*").alias("n"), F.sum("quality").alias("quality"))
+    return A.counted_observations(sequenced(spark, d), reference(spark, d)).groupBy("contig", "class", "base").agg(F.sum("n").alias("n"), F.sum("qsum").alias("quality"))
 
 
 @query("A16_W5_pileup", f"{D}, {ALIGNED} SELECT contig, pos, ref, base, n, qsum, depth FROM site")
