@@ -191,3 +191,26 @@ def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from helix.llm.pii import replace_pii
 
     return replace_pii(load(spark, sf_dir, "documents").select("doc_id", "text"), "a key of this corpus").select("doc_id", "text", "n_entities")
+
+
+PHRASES_ORACLE = r"""
+WITH t AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(ps), '[^\x20\x09]+') AS w FROM t),
+g AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS a FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM p, (SELECT unnest([1, 2, 3, 4]) AS m) q WHERE len(w) >= m) x GROUP BY ALL),
+tot AS (SELECT lang, sum(a)::BIGINT AS n FROM g WHERE m = 1 GROUP BY lang),
+f AS (SELECT *, string_split(phrase, ' ') AS w FROM g WHERE a >= 30),
+c AS (SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail FROM (SELECT *, unnest(range(1, m)) AS k FROM f WHERE m > 1) x),
+s AS (SELECT c.lang, c.phrase, c.a, k, x.a AS l, y.a AS r, ((2000000::HUGEINT * c.a) // (x.a::HUGEINT + y.a))::BIGINT AS score FROM c JOIN f x ON x.lang = c.lang AND x.phrase = c.head JOIN f y ON y.lang = c.lang AND y.phrase = c.tail),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (SELECT DISTINCT lang, part FROM (SELECT lang, a, n, array_to_string(w[i:i + n - 1], ' ') AS part FROM (SELECT *, unnest(range(1, m - n + 2)) AS i FROM f, (SELECT unnest([2, 3]) AS n) q WHERE m > n) x) y JOIN f z USING (lang) WHERE z.phrase = part AND 100::HUGEINT * y.a >= 80::HUGEINT * z.a),
+o AS (SELECT b.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = b.lang AND i.part = b.phrase))
+SELECT lang, rank, phrase, a, l, r, n, score FROM o JOIN tot USING (lang) WHERE rank <= 2000
+"""
+
+
+@query(PHRASES_ORACLE)
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's first 2000 phrases."""
+    from helix.llm.phrases import mine
+
+    return mine(load(spark, sf_dir, "documents"))
