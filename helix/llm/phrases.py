@@ -1,12 +1,14 @@
 """Phrases that stand together more often than their parts suggest, from streams of counts in prefix and suffix order.
 
-Counts of n words are streams of records (lang, phrase, a), as those of a language model that is estimated outside of memory. A stream
-sorted by phrase has each phrase beside what it begins with, one sorted by its end has it beside what it ends with; so the counts of all
-parts of a phrase, and of all that it is part of, come from sort-merge joins of streams, in lockstep and without tables of hashes. Spark
-sorts and merges them, spills what doesn't fit and splits the runs of a frequent first or last word.
+As in the estimation of language models outside of memory, each place of the texts gives one record: the phrase of the longest order that begins there. The
+records are dealt out once by their first two words and sorted, so that all phrases with the same beginning lie together, and one pass over that
+stream counts every order as sums over runs of records. Counts of all orders then are a stream of records (lang, phrase, a): sorted by phrase it has each phrase beside what
+it begins with, sorted by its end beside what it ends with, and sort-merge joins of the streams, in lockstep and without tables of hashes, give
+left and right counts and those of phrases that are longer by a word. Spark sorts and merges, spills what doesn't fit and splits frequent keys.
 
-Streams are short, since a phrase is no more frequent than its parts: a phrase of n words is counted only where both of its phrases of
-n - 1 words may be frequent, by a bit set of fixed size that lets too many through at worst.
+A phrase is no more frequent than its words, so records end before a rare word; rare words are told by a bit set of fixed size that lets too many
+through at worst. The first two words may be a pair that a good part of all records begins with: pairs of two words that each are a thousandth of
+all (so a thousand words at most) are dealt out by the words up to the first that is rarer, and counts of what is cut so are added up in two steps.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,9 +28,7 @@ from helix.llm.sieve import Sieve
 #: Bytes that end a piece, and bytes of words.
 BREAKS = np.array([b in b".,;:!?\n\v\f\r" for b in range(256)])
 INSIDE = np.array([b not in b" \t.,;:!?\n\v\f\r" for b in range(256)])
-SPACE = np.zeros(256, bool)
-SPACE[32] = True
-#: A gram's second hash, which tells apart those that share the first.
+#: A record's second hash, which tells apart those that share the first.
 OTHER = W.U(0xD6E8FEB86659FD93)
 COUNTS = "lang string, phrase string, n long"
 
@@ -65,51 +66,155 @@ def _distinct(key: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return first, n
 
 
-def counted(texts: DataFrame, n: int, sieve: Sieve | None, run_bytes: int = 1 << 22) -> DataFrame:
-    """texts (lang, text) -> lang, phrase, n: how often each phrase of n words stands in some run of the texts; for n = 1 also a row with a null phrase for all
-    words of the run. With a sieve of phrases of n - 1 words, only phrases that begin and end with one of them."""
+#: A word of one in so many may make a frequent pair; records that begin with two such words are dealt out to so many more keys.
+SHARE, SALTS = 1000, 61
+
+
+def _tokens(batch: pa.RecordBatch, run_bytes: int):
+    """For runs of rows of a batch (lang, text): bytes in lower case, starts and ends of words, which words have the next one in their piece, the language (a number) of
+    each word."""
+    lang_of = batch["lang"].to_numpy(zero_copy_only=False)
+    for first, data, offsets in W.chunks(batch["text"], run_bytes):
+        starts, ends, rows = W.spans(data, offsets, INSIDE)
+        if len(starts):
+            data = W.LOWER[data]
+            row = np.arange(len(offsets) - 1).repeat(np.diff(rows))
+            broken = np.concatenate([[0], np.cumsum(BREAKS[data], dtype=np.int32)])
+            joined = np.append((row[1:] == row[:-1]) & (broken[starts[1:]] == broken[ends[:-1]]), False)
+            yield data, starts, ends, joined, lang_of[first : first + len(offsets) - 1].repeat(np.diff(rows))
+
+
+def _numbered(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, pa.Array, np.ndarray]:
+    """A batch with its languages as numbers, the languages, and a 64-bit value of each."""
+    names = batch["lang"].dictionary_encode()
+    return pa.RecordBatch.from_arrays([names.indices, batch["text"]], ["lang", "text"]), names.dictionary, _lang_seeds(names.dictionary.to_pylist())
+
+
+def word_counts(texts: DataFrame, run_bytes: int = 1 << 20) -> DataFrame:
+    """texts (lang, text) -> lang, phrase, n: how often each word stands in some run of the texts; the row with a null phrase is of all words of the run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            names = batch["lang"].dictionary_encode()
-            languages = names.dictionary.to_pylist()
-            seeds, lang_of = _lang_seeds(languages), names.indices.to_numpy(zero_copy_only=False)
-            for first_row, data, offsets in W.chunks(batch["text"], run_bytes):
-                starts, ends, rows = W.spans(data, offsets, INSIDE)
-                if not len(starts):
-                    continue
-                lang = lang_of[first_row : first_row + len(offsets) - 1].repeat(np.diff(rows))
-                data = W.LOWER[data]
-                broken = np.concatenate([[0], np.cumsum(BREAKS[data])])
-                row = np.arange(len(offsets) - 1).repeat(np.diff(rows))
-                joined = (row[1:] == row[:-1]) & (broken[starts[1:]] == broken[ends[:-1]])
+            batch, names, seeds = _numbered(batch)
+            for data, starts, ends, _, lang in _tokens(batch, run_bytes):
                 h = W.hashes(data, starts, ends)
-                ok = np.ones(len(starts), bool)
-                for k in range(2, n + 1):
-                    ok = ok[:-1] & joined[k - 2 :]
-                if sieve is not None:
-                    less = W.mixed(W.combined(h, n - 1) ^ seeds[lang[: len(h) - n + 2]])
-                    may = sieve.holds(less)
-                    ok &= may[:-1] & may[1:]
-                at = np.flatnonzero(ok)
+                first, count = _distinct(h ^ seeds[lang], W.mixed(h + OTHER) ^ seeds[lang])
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(lang[first])), _gather(data, starts[first][:, None], ends[first][:, None]), pa.array(count)], ["lang", "phrase", "n"])
+                of = np.bincount(lang, minlength=len(names))
+                yield pa.RecordBatch.from_arrays([names, pa.nulls(len(of), pa.string()), pa.array(of)], ["lang", "phrase", "n"])
+
+    return texts.mapInArrow(W.releasing(run), COUNTS)
+
+
+def records(texts: DataFrame, longest: int, sieve: Sieve, hot: np.ndarray, run_bytes: int = 1 << 20) -> DataFrame:
+    """texts (lang, text) -> lang, pair, w3 .. w<longest>, salt, n: for each place of a run of the texts where two words of the sieve begin in a piece, these and those that
+    follow up to a word that isn't in the sieve (null from there); equal ones of a run are one. salt: 0, but for records that begin with d hot words, two or more: then
+    1 + 8 * (a hash of d + 1 words) + d."""
+    more = [f"w{i}" for i in range(3, longest + 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            batch, names, seeds = _numbered(batch)
+            for data, starts, ends, joined, lang in _tokens(batch, run_bytes):
+                h = W.hashes(data, starts, ends)
+                keyed = W.mixed(h ^ seeds[lang])
+                may, often = sieve.holds(keyed), np.isin(keyed, hot)
+                joined &= may & np.append(may[1:], False)
+                size = np.ones(len(h), np.int8)  # words of a place's record
+                for _ in range(longest - 1):
+                    size = np.where(joined, np.minimum(np.append(size[1:], 0) + 1, longest), 1)
+                at = np.flatnonzero(size > 1)
                 if not len(at):
                     continue
-                key = W.mixed(W.combined(h, n)[at] ^ seeds[lang[at]])
-                first, count = _distinct(key, W.mixed(W.combined(h ^ OTHER, n)[at] ^ seeds[lang[at]]))
-                at = at[first]
-                spans = at[:, None] + np.arange(n)
-                yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(lang[at])), _gather(data, starts[spans], ends[spans]), pa.array(count)], ["lang", "phrase", "n"])
-                if n == 1:
-                    of = np.bincount(lang, minlength=len(languages))
-                    yield pa.RecordBatch.from_arrays([names.dictionary, pa.nulls(len(of), pa.string()), pa.array(of)], ["lang", "phrase", "n"])
+                size = size[at]
+                key, other = np.zeros(len(at), W.U), np.zeros(len(at), W.U)
+                for n in range(2, longest + 1):
+                    some = size == n
+                    key[some] = W.combined(h, n)[at[some]] if n <= len(h) else 0
+                    other[some] = W.combined(h ^ OTHER, n)[at[some]] if n <= len(h) else 0
+                first, count = _distinct(key ^ seeds[lang[at]], other ^ seeds[lang[at]])
+                begins = np.zeros(len(first), np.int64)  # hot words
+                for n in range(longest, 0, -1):
+                    follows = at[first] + n - 1
+                    begins = np.where((size[first] >= n) & often[np.minimum(follows, len(h) - 1)], begins + 1, 0)
+                salt = np.zeros(len(first), np.int64)
+                for n in range(2, longest + 1):
+                    some = np.flatnonzero((begins > 1) & (np.minimum(begins + 1, size[first]) == n))
+                    if len(some):
+                        salt[some] = 1 + 8 * (W.combined(h, n)[at[first[some]]] % W.U(SALTS)).astype(np.int64) + begins[some]
+                at, size = at[first], size[first]
+                columns = [names.take(pa.array(lang[at])), _gather(data, starts[at[:, None] + np.arange(2)], ends[at[:, None] + np.arange(2)])]
+                for n in range(3, longest + 1):
+                    has = size >= n
+                    words = _gather(data, starts[at[has] + n - 1][:, None], ends[at[has] + n - 1][:, None])
+                    columns.append(words.take(pa.array(np.cumsum(has) - 1, mask=~has)))
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(salt.astype(np.int32)), pa.array(count)], ["lang", "pair", *more, "salt", "n"])
 
-    return texts.mapInArrow(W.releasing(run), COUNTS)
+    schema = ", ".join(f"{c} string" for c in ["lang", "pair", *more])
+    return texts.mapInArrow(W.releasing(run), f"{schema}, salt int, n long")
+
+
+def run_counts(stream: DataFrame, longest: int, least: int) -> DataFrame:
+    """stream: records(), dealt out by lang, pair and salt and sorted by these and the further words -> lang, phrase, m, whole, a: how often each phrase of m words (2 and
+    more) begins a record, if least times or not counted as a whole here (whole is false)."""
+    words = ["pair", *(f"w{i}" for i in range(3, longest + 1))]
+    fields = ["lang", "salt", *words, "n"]
+
+    def emitted(rows: pa.RecordBatch, at: np.ndarray, a: np.ndarray, m: int) -> pa.RecordBatch:
+        salt = rows["salt"].to_numpy()[at]
+        whole = (salt == 0) | ((salt - 1) % 8 < m)
+        ok = (a >= least) | ~whole
+        if m > 2:
+            ok &= pc.not_equal(rows[f"w{m}"], "").to_numpy(zero_copy_only=False)[at]
+        some = rows.take(pa.array(at[ok]))
+        phrase = pc.binary_join_element_wise(*(some[w] for w in words[: m - 1]), " ")
+        return pa.RecordBatch.from_arrays([some["lang"], phrase, pa.array(np.full(ok.sum(), m, np.int32)), pa.array(whole[ok]), pa.array(a[ok])], ["lang", "phrase", "m", "whole", "a"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, np.zeros(longest + 1, np.int64)  # the row before, and what its runs have so far
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.RecordBatch.from_arrays([pc.fill_null(batch[c], "") if c in words else batch[c] for c in fields], fields)
+            if last is not None:
+                rows = pa.Table.from_batches([last, rows]).combine_chunks().to_batches()[0]
+            n = rows["n"].to_numpy()
+            before = 0 if last is None else 1  # the row before counts in held
+            total = np.concatenate([[0], np.cumsum(np.where(np.arange(len(n)) < before, 0, n))])
+            new = np.zeros(len(n), bool)
+            new[0] = True
+            for m, columns in enumerate([["lang", "salt", "pair"], *([w] for w in words[1:])], 2):
+                for c in columns:
+                    new[1:] |= pc.not_equal(rows[c].slice(1), rows[c].slice(0, len(n) - 1)).to_numpy(zero_copy_only=False)
+                starts = np.flatnonzero(new)
+                a = np.diff(np.append(total[starts], total[-1]))
+                a[0] += held[m]
+                held[m] = a[-1]
+                if len(starts) > 1:
+                    yield emitted(rows, starts[:-1], a[:-1], m)
+            last = rows.slice(len(n) - 1)
+        if last is not None:
+            for m in range(2, longest + 1):
+                yield emitted(last, np.zeros(1, np.int64), held[m : m + 1], m)
+
+    return stream.select(*fields).mapInArrow(W.releasing(run), "lang string, phrase string, m int, whole boolean, a long")
+
+
+def phrase_counts(texts: DataFrame, longest: int, least: int, sieve: Sieve, hot: np.ndarray, scratch: Scratch) -> DataFrame:
+    """texts (lang, text) -> lang, phrase, m, a: the phrases of 2 to longest words that stand least times."""
+    keys = ("pair", "lang", "salt")
+    stream = records(texts, longest, sieve, hot).repartition(*keys).sortWithinPartitions(*keys, *(f"w{i}" for i in range(3, longest + 1)))
+    found = scratch.written(run_counts(stream, longest, least), "runs")
+    added = found.filter("NOT whole").groupBy("lang", "phrase", "m").agg(F.sum("a").alias("a")).filter(F.col("a") >= least)
+    return found.filter("whole").select("lang", "phrase", "m", "a").unionByName(added)
 
 
-def _sieve(stream: DataFrame, n: int) -> Sieve:
-    """Of phrases of n words: lang, phrase."""
+def _hashes(words: DataFrame) -> DataFrame:
+    """words (lang, phrase: a word) -> h."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,11 +222,10 @@ def _sieve(stream: DataFrame, n: int) -> Sieve:
                 names = batch["lang"].dictionary_encode()
                 seeds, lang_of = _lang_seeds(names.dictionary.to_pylist()), names.indices.to_numpy(zero_copy_only=False)
                 for first, data, offsets in W.chunks(batch["phrase"]):
-                    starts, ends, rows = W.spans(data, offsets, ~SPACE)
-                    h = W.combined(W.hashes(data, starts, ends), n)[rows[:-1]]
+                    h = W.hashes(data, offsets[:-1], offsets[1:])
                     yield pa.RecordBatch.from_arrays([pa.array(W.mixed(h ^ seeds[lang_of[first : first + len(h)]]).view(np.int64))], ["h"])
 
-    return Sieve(stream.select("lang", "phrase").mapInArrow(W.releasing(run), "h long"))
+    return words.select("lang", "phrase").mapInArrow(W.releasing(run), "h long")
 
 
 def mine(docs: DataFrame, *, least: int = 30, longest: int = 4, top: int = 2000, covered: int = 80, scale: int = 2_000_000, lang: str = "lang", text: str = "text") -> DataFrame:
@@ -135,18 +239,14 @@ def mine(docs: DataFrame, *, least: int = 30, longest: int = 4, top: int = 2000,
     A null text is as an empty one, a null language is und; a table without candidates gives no rows. Repeated rows count each; texts of any length are read whole.
     """
     texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    scratch, streams, sieve, total = Scratch(docs.sparkSession), [], None, None
-    for n in range(1, longest + 1):
-        every = counted(texts, n, sieve).groupBy("lang", "phrase").agg(F.sum("n").alias("a")).filter((F.col("a") >= least) | F.col("phrase").isNull())
-        every = scratch.written(every, "counts")
-        if n == 1:
-            total = every.filter("phrase IS NULL").select("lang", F.col("a").alias("n"))
-        stream = every.filter("phrase IS NOT NULL").select("lang", "phrase", F.lit(n).alias("m"), "a")
-        streams.append(stream)
-        sieve = _sieve(stream, n) if n < longest else None
-    counts = streams[0]
-    for s in streams[1:]:
-        counts = counts.unionByName(s)
+    scratch = Scratch(docs.sparkSession)
+    every = word_counts(texts).groupBy("lang", "phrase").agg(F.sum("n").alias("a")).filter((F.col("a") >= least) | F.col("phrase").isNull())
+    every = scratch.written(every, "words")
+    total, words = every.filter("phrase IS NULL").select("lang", F.col("a").alias("n")), every.filter("phrase IS NOT NULL")
+    all_words = total.agg(F.sum("n")).first()[0] or 0
+    hot = _hashes(words.filter(F.col("a") * SHARE >= all_words)).toArrow()["h"].to_numpy().view(W.U)  # SHARE words at most
+    counts = words.withColumn("m", F.lit(1)).unionByName(phrase_counts(texts, longest, least, Sieve(_hashes(words)), hot, scratch))
+    counts = scratch.written(counts, "counts")
     found = written(_ranked(counts, total, top, covered, scale), "phrases")
     scratch.drop()
     return found

@@ -214,3 +214,55 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     from helix.llm.phrases import mine
 
     return mine(load(spark, sf_dir, "documents"))
+
+
+MANIFEST_ORACLE = r"""
+WITH RECURSIVE bits(i, k, c) AS (SELECT i, 0, i FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+d AS (SELECT row_number() OVER () AS r, *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) AS crc FROM documents, tab),
+h AS (SELECT r, doc_id, lang, crc, list_transform([doc_id::VARCHAR, source, lang, n_chars::VARCHAR, text, low], lambda x: CASE WHEN x IS NULL THEN '-' ELSE octet_length(encode(x)) || ':' || x END) AS f FROM d),
+l AS (SELECT r, doc_id, lang, sha256(array_to_string(f[1:5], '')) AS leaf, CASE WHEN crc % 3 = 0 THEN sha256(array_to_string(f[1:4], '') || f[6]) END AS changed FROM h),
+p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g FROM l),
+nodes(lvl, g, n, idx, digest) AS (SELECT 0, g, n, idx, leaf FROM p UNION ALL SELECT lvl + 1, g, (n + 7) // 8, idx // 8, sha256(string_agg(digest, '' ORDER BY idx)) FROM nodes WHERE n > 1 GROUP BY lvl, g, n, idx // 8),
+sub AS (SELECT g, lvl AS height, digest AS subroot FROM nodes WHERE n = 1),
+tops(lvl, n, idx, digest) AS (SELECT 0, (SELECT count(*) FROM sub), g, subroot FROM sub UNION ALL SELECT lvl + 1, (n + 7) // 8, idx // 8, sha256(string_agg(digest, '' ORDER BY idx)) FROM tops WHERE n > 1 GROUP BY lvl, n, idx // 8),
+top AS (SELECT digest AS root FROM tops WHERE n = 1),
+runs AS (SELECT lvl, g, idx // 8 AS up, list(digest ORDER BY idx) AS run FROM nodes WHERE n > 1 GROUP BY lvl, g, idx // 8),
+toprun AS (SELECT lvl, idx // 8 AS up, list(digest ORDER BY idx) AS run FROM tops WHERE n > 1 GROUP BY lvl, idx // 8),
+steps AS (SELECT p.r, runs.lvl AS k, (p.idx // (8 ** runs.lvl)::BIGINT) % 8 AS digit, run FROM p JOIN runs ON runs.g = p.g AND runs.up = p.idx // (8 ** (runs.lvl + 1))::BIGINT
+    UNION ALL SELECT p.r, sub.height + t.lvl, (p.g // (8 ** t.lvl)::BIGINT) % 8, run FROM p JOIN sub USING (g) JOIN toprun t ON t.up = p.g // (8 ** (t.lvl + 1))::BIGINT),
+s AS (SELECT r, k, array_to_string(run[1:digit], '') AS a, array_to_string(run[digit + 2:], '') AS b FROM steps),
+proof AS (SELECT r, sha256(string_agg(a || b, '' ORDER BY k)) AS proof, max(k) AS last FROM s GROUP BY r),
+fold(r, k, now) AS (SELECT r, 0, coalesce(changed, leaf) FROM p UNION ALL SELECT s.r, s.k + 1, sha256(a || now || b) FROM fold JOIN s ON s.r = fold.r AND s.k = fold.k),
+ends AS (SELECT r, max_by(now, k) AS now FROM fold GROUP BY r)
+SELECT p.doc_id, p.leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256, now AS folded_root, now = root AS verified FROM p JOIN sub USING (g) JOIN ends USING (r) LEFT JOIN proof USING (r), top
+"""
+
+
+@query(MANIFEST_ORACLE)
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's proof, and what a third of them give when their text is tampered with."""
+    from helix.llm.manifest import manifest_proofs
+
+    return manifest_proofs(load(spark, sf_dir, "documents"), tampered=F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0)
+
+
+EMBEDDINGS_ORACLE = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
+ok AS (SELECT *, sqrt(list_sum(list_transform(x, lambda c: c * c))) AS norm FROM v WHERE label IS NOT NULL AND x IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+u AS (SELECT * FROM ok WHERE norm > 0 AND isfinite(norm)),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_inner_product(a.x, b.x) / (a.norm * b.norm) >= 0.98),
+reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT c.vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, c.vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)
+"""
+
+
+@query(EMBEDDINGS_ORACLE)
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links and component."""
+    from helix.llm.embedding_dedup import embedding_dedup
+
+    return embedding_dedup(load(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
