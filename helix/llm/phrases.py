@@ -114,7 +114,7 @@ def _pair_keys(h: np.ndarray, seeds: np.ndarray, lang: np.ndarray) -> np.ndarray
     return W.mixed(W.combined(h, 2) ^ seeds[lang[: max(len(h) - 1, 0)]]) >> W.U(16)
 
 
-def pair_counts(texts: DataFrame, words: Sieve, run_bytes: int = 1 << 20, held_pairs: int = 1 << 20) -> DataFrame:
+def pair_counts(texts: DataFrame, words: Sieve, run_bytes: int = 1 << 20, held_pairs: int = 1 << 22) -> DataFrame:
     """texts (lang, text) -> h, n: how often pairs of words of the sieve stand in some run of the texts, by their keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,13 +141,26 @@ def pair_counts(texts: DataFrame, words: Sieve, run_bytes: int = 1 << 20, held_p
     return texts.mapInArrow(W.releasing(run), "h long, n int")
 
 
-def records(texts: DataFrame, longest: int, pairs: Sieve, hot: np.ndarray, run_bytes: int = 1 << 20) -> DataFrame:
+def _added(held: list[tuple[np.ndarray, np.ndarray, pa.RecordBatch]]) -> pa.RecordBatch:
+    """Rows of several runs, with their keys: equal ones as one, their n added up."""
+    key, other = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+    rows = pa.Table.from_batches([x[2] for x in held]).combine_chunks().to_batches()[0]
+    held.clear()
+    _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+    if not (other == other[first][inverse]).all():
+        _, first, inverse = np.unique(np.stack([key, other], axis=1), axis=0, return_index=True, return_inverse=True)
+    n = np.bincount(inverse.ravel(), rows["n"].to_numpy()).astype(np.int64)
+    return rows.take(pa.array(first)).set_column(rows.schema.get_field_index("n"), "n", pa.array(n))
+
+
+def records(texts: DataFrame, longest: int, pairs: Sieve, hot: np.ndarray, run_bytes: int = 1 << 20, held_rows: int = 3 << 19) -> DataFrame:
     """texts (lang, text) -> lang, pair, w3 .. w<longest>, salt, n: for each place of a run of the texts where two words begin in a piece that may be a frequent pair, these and
-    those that follow, as long as each two in a row may be (null from there); equal ones of a run are one. salt: 0, but for records that begin with d hot words,
+    those that follow, as long as each two in a row may be (null from there); equal ones of a task are one, as far as held_rows go. salt: 0, but for records that begin with d hot words,
     two or more: then 1 + 8 * (a hash of d + 1 words) + d."""
     more = [f"w{i}" for i in range(3, longest + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, pa.RecordBatch]] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -168,7 +181,8 @@ def records(texts: DataFrame, longest: int, pairs: Sieve, hot: np.ndarray, run_b
                     some = size == n
                     key[some] = W.combined(h, n)[at[some]] if n <= len(h) else 0
                     other[some] = W.combined(h ^ OTHER, n)[at[some]] if n <= len(h) else 0
-                first, count = _distinct(key ^ seeds[lang[at]], other ^ seeds[lang[at]])
+                keyed, others = W.mixed(key ^ seeds[lang[at]]), W.mixed(other ^ seeds[lang[at]])
+                first, count = _distinct(keyed, others)
                 begins = np.zeros(len(first), np.int64)  # hot words
                 for n in range(longest, 0, -1):
                     follows = at[first] + n - 1
@@ -184,7 +198,12 @@ def records(texts: DataFrame, longest: int, pairs: Sieve, hot: np.ndarray, run_b
                     has = size >= n
                     words = _gather(data, starts[at[has] + n - 1][:, None], ends[at[has] + n - 1][:, None])
                     columns.append(words.take(pa.array(np.cumsum(has) - 1, mask=~has)))
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(salt.astype(np.int32)), pa.array(count)], ["lang", "pair", *more, "salt", "n"])
+                rows = pa.RecordBatch.from_arrays([*columns, pa.array(salt.astype(np.int32)), pa.array(count)], ["lang", "pair", *more, "salt", "n"])
+                held.append((keyed[first], others[first], rows))
+                if sum(len(x[0]) for x in held) >= held_rows:
+                    yield _added(held)
+        if held:
+            yield _added(held)
 
     schema = ", ".join(f"{c} string" for c in ["lang", "pair", *more])
     return texts.mapInArrow(W.releasing(run), f"{schema}, salt int, n long")
