@@ -55,11 +55,12 @@ def mate_identity(header: Column | str) -> Column:
     return F.struct(core.alias("core_id"), F.coalesce(second, first).alias("mate"), error.alias("error"))
 
 
-def adapter_position(seq: Column | str, adapter: str, min_overlap: int = 6, max_mismatches: int = 0) -> Column:
-    """Where the adapter starts at the 3' end, from 0: leftmost place from which all that is left matches the adapter's start; the length if none."""
-    s, size = col(seq), len(adapter)
+def adapter_position(seq: Column | str, adapter: Column | str, min_overlap: Column | int = 6, max_mismatches: Column | int = 0) -> Column:
+    """adapter: a column, or the adapter itself. Where the adapter starts at the 3' end, from 0: leftmost place from which all that is left matches the adapter's start; the length if none."""
+    s, given = col(seq), adapter if isinstance(adapter, Column) else F.lit(adapter)
+    size = F.length(given)
     lo, hi = F.greatest(F.lit(0), F.length(s) - size), F.length(s) - min_overlap
-    wrong = lambda st: F.aggregate(F.sequence(st + 1, F.length(s)), F.lit(0), lambda n, i: n + F.when(F.substr(s, i, F.lit(1)) == F.substr(F.lit(adapter), i - st, F.lit(1)), 0).otherwise(1))
+    wrong = lambda st: F.aggregate(F.sequence(st + 1, F.length(s)), F.lit(0), lambda n, i: n + F.when(F.substr(s, i, F.lit(1)) == F.substr(given, i - st, F.lit(1)), 0).otherwise(1))
     found = F.array_min(F.filter(F.sequence(lo, hi), lambda st: wrong(st) <= max_mismatches))
     return F.when(hi < lo, F.length(s)).otherwise(F.coalesce(found, F.length(s)))
 

@@ -21,11 +21,13 @@ LIVENESS = ("ready", "heartbeat", "progress")
 
 
 def infer_file_type(name: Column | str) -> Column:
+    """The type that a file's name says, or null. The endings of each type."""
     n = F.lower(F.trim(col(name)))
     return F.when(n.rlike(r"\.(fastq|fq)(\.gz)?$"), "fastq").when(n.rlike(r"\.(fa|fasta|fna|ffn|faa|frn)$"), "fasta").when(n.rlike(r"\.(sam|bam|vcf|tsv)$"), F.regexp_extract(n, r"\.(\w+)$", 1))
 
 
 def artifact_category(file_type: Column | str, port: Column | str) -> Column:
+    """report, primary, summary or other. The types and ports of each."""
     t, p = F.lower(F.coalesce(col(file_type), F.lit(""))), F.lower(F.coalesce(col(port), F.lit("")))
     primary = t.isin("fasta", "fastq", "sam", "bam", "vcf") | p.isin("alignment", "variants", "filtered", "annotated", "trimmed", "trimmed_read1", "trimmed_read2")
     return F.when((t == "html") | (p == "report"), "report").when(primary, "primary").when(t.isin("json", "tsv") | p.isin("summary", "table"), "summary").otherwise("other")
@@ -34,7 +36,7 @@ def artifact_category(file_type: Column | str, port: Column | str) -> Column:
 def clamp_progress(p: Column | str) -> Column:
     """Between 0 and 1; 0 for null, NaN and infinities."""
     x = col(p).cast("double")
-    odd = x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    odd = x.isNull() | F.isnan(x) | (F.abs(x) == F.lit("Infinity").cast("double"))
     return F.when(odd, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 
 

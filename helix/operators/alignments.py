@@ -129,7 +129,7 @@ def reference_pieces(reference: DataFrame, more: int = 0) -> DataFrame:
     cut = reference.select("contig", F.regexp_extract_all(F.upper("seq"), F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)).alias("p"))
     if more:
         nexts = F.concat(F.transform(F.slice("p", 2, 1 << 30), lambda x: F.substr(x, F.lit(1), F.lit(more))), F.array(F.lit("")))
-        cut = cut.withColumn("p", F.zip_with("p", nexts, lambda x, y: F.concat(x, y)))
+        cut = cut.withColumn("p", F.when(F.size("p") > 0, F.zip_with("p", nexts, lambda x, y: F.concat(x, y))))
     return cut.select("contig", F.posexplode("p").alias("piece", "text")).select("contig", F.col("piece").cast("long").alias("piece"), "text")
 
 
@@ -222,8 +222,10 @@ def snv_summary(records: DataFrame, counted: DataFrame, options: SnvOptions = Sn
 
 
 def compare_dictionaries(a: DataFrame, b: DataFrame, ordered: bool = False) -> DataFrame:
-    """The contigs (idx, contig, length) in which a and b differ: by name, or by place if ordered."""
-    key = "idx" if ordered else "contig"
+    """The contigs (idx, contig, length) in which a and b differ: by name, or by place in the order of idx if ordered (a dictionary is a row for each contig)."""
+    key = "place" if ordered else "contig"
+    if ordered:
+        a, b = (d.withColumn(key, F.row_number().over(Window.orderBy("idx"))) for d in (a, b))
     x, y = (d.select(key, F.struct("contig", "length").alias(n)) for d, n in ((a, "a"), (b, "b")))
     return x.join(y, key, "full_outer").filter(~F.col("a").eqNullSafe(F.col("b")))
 

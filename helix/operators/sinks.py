@@ -20,7 +20,7 @@ def write_metrics(df: DataFrame, path: str) -> None:
 
 def write_table(df: DataFrame, path: str) -> None:
     """A row table with a header, "." for what is missing."""
-    df.select([F.coalesce(F.col(c).cast("string"), F.lit(".")).alias(c) for c in df.columns]).write.csv(path, sep="\t", header=True, quote="", escape="")
+    df.select([F.coalesce(F.col(c).cast("string"), F.lit(".")).alias(c) for c in df.columns]).write.csv(path, sep="\t", header=True, quote="", escape="", emptyValue="")
 
 
 def write_summary(df: DataFrame, path: str) -> None:
@@ -35,29 +35,37 @@ def to_summary(metrics: DataFrame, **parts: DataFrame) -> DataFrame:
     return out
 
 
-def write_fastq(df: DataFrame, path: str, partitions: int = 8) -> None:
-    """Reads (file, ordinal, header, seq, qual) as FASTQ parts in their order."""
+def write_fastq(df: DataFrame, path: str, partitions: int | None = None, compression: str = "none") -> None:
+    """Reads (file, ordinal, header, seq, qual) as FASTQ parts in their order; as many parts as the session shuffles to, unless told."""
     text = F.concat_ws("\n", "header", "seq", F.lit("+"), "qual")
-    df.repartitionByRange(partitions, "file", "ordinal").sortWithinPartitions("file", "ordinal").select(text).write.text(path)
+    ordered(df, ["file", "ordinal"], partitions).select(text).write.text(path, compression=compression)
+
+
+def ordered(df: DataFrame, by: list[str], partitions: int | None) -> DataFrame:
+    """Sorted parts that follow each other; Spark chooses their number by size unless told."""
+    dealt = df.repartitionByRange(partitions, *by) if partitions else df.repartitionByRange(*by)
+    return dealt.sortWithinPartitions(*by)
 
 
 SAM_COLUMNS = ("qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual")
 
 
-def write_sam(df: DataFrame, reference: DataFrame, path: str, partitions: int = 8) -> None:
+def write_sam(df: DataFrame, reference: DataFrame, path: str, partitions: int | None = None) -> None:
     """SAM columns with nm and nh as parts of path/records, in order of ordinal; the header (contigs in the reference's order) in path/header."""
     tags = F.when(F.col("rname") == "*", F.lit("NH:i:0")).otherwise(F.concat(F.lit("NM:i:"), "nm", F.lit("\tNH:i:"), "nh"))
     line = F.concat_ws("\t", *SAM_COLUMNS, tags)
-    df.repartitionByRange(partitions, "ordinal").sortWithinPartitions("ordinal").select(line).write.text(f"{path}/records")
+    ordered(df, ["ordinal"], partitions).select(line).write.text(f"{path}/records")
     sq = reference.select(F.col("contig_idx").cast("long").alias("n"), F.concat(F.lit("@SQ\tSN:"), "contig", F.lit("\tLN:"), F.length("seq")).alias("line"))
     ends = reference.sparkSession.createDataFrame([(-1, "@HD\tVN:1.6\tSO:unknown"), (1 << 60, "@PG\tID:helix\tPN:helix")], "n long, line string")
     sq.unionByName(ends).coalesce(1).sortWithinPartitions("n").select("line").write.text(f"{path}/header")
 
 
-def write_vcf(meta: DataFrame, records: DataFrame, path: str, partitions: int = 8) -> None:
-    """meta (ordinal, line) to path/header and records (ordinal, line) to path/records, both in order."""
-    meta.coalesce(1).sortWithinPartitions("ordinal").select("line").write.text(f"{path}/header")
-    records.repartitionByRange(partitions, "ordinal").sortWithinPartitions("ordinal").select("line").write.text(f"{path}/records")
+def write_vcf(meta: DataFrame, records: DataFrame, path: str, partitions: int | None = None) -> None:
+    """meta (ordinal, line) and records (ordinal, line) as the parts of one file: put together in order of their names they are a VCF file, whose first part begins
+    with the header. read_vcf takes the folder as that file."""
+    none = F.lit(None).cast(records.schema["ordinal"].dataType).alias("ordinal")
+    header = meta.select(F.col("ordinal").cast("double").alias("h"), none, "line")  # null stands first
+    ordered(header.unionByName(records.select(F.lit(None).cast("double").alias("h"), "ordinal", "line")), ["ordinal", "h"], partitions).select("line").write.text(path)
 
 
 #: The options that a header of called variants names.

@@ -79,9 +79,9 @@ def _(spark, d):
     return reads(spark, d).select("read_id", revcomp("seq").alias("seq"), F.reverse("qual").alias("qual"))
 
 
-@query("P10_canonical_hamming", f"{D} SELECT read_id, len(list_filter(range(1, 21), lambda i: NOT (substr(seq, i, 1) = substr(reverse(seq), i, 1) AND contains('ACGT', substr(seq, i, 1))))) AS distance FROM reads")
+@query("P10_canonical_hamming", f"{D} SELECT read_id, len(list_filter(range(1, length(seq) + 1), lambda i: NOT (substr(seq, i, 1) = substr(reverse(seq), i, 1) AND contains('ACGT', substr(seq, i, 1))))) AS distance FROM reads")
 def _(spark, d):
-    return reads(spark, d).select("read_id", canonical_hamming(F.substr("seq", F.lit(1), F.lit(20)), F.substr(F.reverse("seq"), F.lit(1), F.lit(20))).cast("long").alias("distance"))
+    return reads(spark, d).select("read_id", canonical_hamming("seq", F.reverse("seq")).cast("long").alias("distance"))
 
 
 def place(s: str, adapter: str) -> str:
@@ -148,16 +148,16 @@ def _(spark, d):
     return R.n50(reads(spark, d).withColumn("length", F.length("seq")), by=["lang"])
 
 
-MATES = """m1 AS (SELECT read_id AS ordinal, concat('@p', read_id, CASE WHEN read_id % 29 = 0 THEN '/2' ELSE '/1' END) AS header1, substr(seq, 1, 100) AS seq1, substr(qual, 1, 100) AS qual1 FROM reads WHERE read_id % 31 <> 0),
-m2 AS (SELECT read_id AS ordinal, concat('@p', CASE WHEN read_id % 37 = 0 THEN read_id + 1 ELSE read_id END, ' 2:N') AS header2, substr(seq, 31, 100) AS seq2, substr(qual, 31, 100) AS qual2 FROM reads WHERE read_id % 41 <> 0 AND length(seq) > 30)"""
+MATES = """m1 AS (SELECT read_id AS ordinal, concat('@p', read_id, CASE WHEN read_id % 29 = 0 THEN '/2' ELSE '/1' END) AS header1, seq AS seq1, qual AS qual1 FROM reads WHERE read_id % 31 <> 0),
+m2 AS (SELECT read_id AS ordinal, concat('@p', CASE WHEN read_id % 37 = 0 THEN read_id + 1 ELSE read_id END, ' 2:N') AS header2, substr(seq, 31) AS seq2, substr(qual, 31) AS qual2 FROM reads WHERE read_id % 41 <> 0 AND length(seq) > 30)"""
 ERRORS = "CASE WHEN seq1 IS NULL OR seq2 IS NULL THEN 'missing_mate' WHEN ordinal % 37 = 0 THEN 'id_mismatch' WHEN ordinal % 29 = 0 THEN 'wrong_mate' END"
 PAIRS = f"{MATES}, p AS (SELECT *, {ERRORS} AS pair_error FROM m1 FULL OUTER JOIN m2 USING (ordinal))"
 
 
-def pairs(spark: SparkSession, d: str | DataFrame, most: int | None = 100) -> DataFrame:
-    """Mates cut from reads: up to most bases from the first and from the 31st on (None: all)."""
+def pairs(spark: SparkSession, d: str | DataFrame) -> DataFrame:
+    """Mates: the first is a read from its start, the second from its 31st base on, both up to its end."""
     r = reads(spark, d)
-    cut = lambda c, at: F.substr(c, F.lit(at), F.length(c) if most is None else F.lit(most))
+    cut = lambda c, at: F.substr(c, F.lit(at))
     num = lambda n, a, b: F.concat(F.lit("@p"), F.when(F.col("read_id") % n == 0, a).otherwise(b))
     one = r.filter("read_id % 31 <> 0").select(F.col("read_id").alias("ordinal"), F.concat(F.lit("@p"), "read_id", F.when(F.col("read_id") % 29 == 0, "/2").otherwise("/1")).alias("header"), cut("seq", 1).alias("seq"), cut("qual", 1).alias("qual"))
     two = r.filter("read_id % 41 <> 0 AND length(seq) > 30").select(F.col("read_id").alias("ordinal"), F.concat(num(37, (F.col("read_id") + 1).cast("string"), F.col("read_id").cast("string")), F.lit(" 2:N")).alias("header"), cut("seq", 31).alias("seq"), cut("qual", 31).alias("qual"))

@@ -1,7 +1,7 @@
 """The queries of FASTA and FASTQ operators over whole documents.
 
-The queries of read_queries see the first 150 letters of a document, as their DuckDB forms do, and mates of 100. Each has a form here
-that runs the same operators over every letter, against the same DuckDB text over reads that aren't cut.
+The queries of read_queries see reads of 150 letters (a document's last has what is left over). Each has a form here that runs the same operators over reads that are
+whole documents, against the same DuckDB text over these.
 """
 
 from __future__ import annotations
@@ -47,12 +47,11 @@ def _(spark, d):
     return reads(spark, d).select("read_id", canonical_hamming("seq", F.reverse("seq")).cast("long").alias("distance"))
 
 
-#: The first mate from the read's start and the second from its 31st base, both up to its end.
-PAIRS = Q.PAIRS.replace(", 1, 100)", ", 1)").replace(", 31, 100)", ", 31)")
+PAIRS = Q.PAIRS
 
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:
-    return Q.pairs(spark, reads(spark, d), None)
+    return Q.pairs(spark, reads(spark, d))
 
 
 @query("J1_J2_pair_reads_whole", ORACLE["J1_J2_pair_reads"].replace(Q.D, D, 1).replace(Q.PAIRS, PAIRS, 1))

@@ -28,4 +28,4 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
-from helix.plans import alignment_queries, read_queries, run_queries, variant_queries, whole_read_queries  # noqa: E402, F401  they register themselves
+from helix.plans import alignment_queries, read_queries, round_trip_queries, run_queries, variant_queries, whole_read_queries  # noqa: E402, F401  they register themselves

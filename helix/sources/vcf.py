@@ -17,8 +17,15 @@ FIELDS = ("chrom", "pos_text", "id", "ref", "alt", "qual", "flt", "info")
 def read_vcf(spark: SparkSession, path: str, on_error: str = "fail", versions: tuple[str, ...] = ("4.2", "4.3")) -> tuple[DataFrame, DataFrame]:
     """(meta, records): header lines (ordinal, line); records with ordinal, pos, further (what stands after INFO) and _error.
 
-    The ordinal orders the lines of a file that is read as one (order of partitions, then of lines)."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("ordinal"), F.regexp_replace("value", "\r$", "").alias("line"))
+    The ordinal orders the lines of a file, or of a folder whose files are the parts of one in order of their names: by file, then by order of partitions and lines."""
+    text = spark.read.text(path)
+    names = sorted(text.inputFiles())
+    at = F.monotonically_increasing_id()
+    if len(names) > 1:  # a name for each part
+        of = spark.createDataFrame(list(enumerate(names)), "i long, name string")
+        text = text.withColumns({"name": F.col("_metadata.file_path"), "at": at}).join(F.broadcast(of), "name")
+        at = F.col("i").cast("decimal(38,0)") * (1 << 60) + F.col("at")
+    lines = text.select(at.alias("ordinal"), F.regexp_replace("value", "\r$", "").alias("line"))
     meta = lines.filter(F.startswith("line", F.lit("#")))
     first = meta.orderBy("ordinal").first()
     if first is None or first["line"] not in [f"##fileformat=VCFv{v}" for v in versions]:

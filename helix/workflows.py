@@ -87,7 +87,8 @@ def call_snvs(spark: SparkSession, alignments: str, reference: str, options: Snv
     text = not alignments.endswith(".bam")
     r, ref = read_sam(spark, alignments, skip_blank=True) if text else read_bam(spark, alignments), read_reference(spark, reference, allow_u=True)
     named = read_sam_dictionary(spark, alignments) if text else read_bam_dictionary(spark, alignments)
-    if not named.join(ref.select("contig", "length"), ["contig", "length"], "left_anti").isEmpty():
+    # a BAM file's list is the reference's, in its order; that of SAM text may be missing or in another order
+    if not (text and named.isEmpty()) and not A.compare_dictionaries(named, ref.withColumnRenamed("contig_idx", "idx"), ordered=not text).isEmpty():
         raise ValueError("the dictionary doesn't match the reference")
     bad = A.caller_errors(r, ref, options).limit(1).collect()
     if bad:

@@ -201,7 +201,8 @@ def test_snv_calls(spark, tmp_path):
     meta, lines = sinks.calls_to_vcf(calls)
     assert lines.first()["line"] == "ctg\t5\t.\tC\tT\t.\tPASS\tDP=4;AC=3;AF=0.750000;ABQ=30.000000"
     sinks.write_vcf(meta, lines, str(tmp_path / "vcf"))
-    assert spark.read.text(str(tmp_path / "vcf/header")).first()[0] == "##fileformat=VCFv4.3"
+    parts = sorted((tmp_path / "vcf").glob("part-*"))
+    assert "".join(p.read_text() for p in parts).startswith("##fileformat=VCFv4.3\n")
 
 
 VCF = "##fileformat=VCFv4.3\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\n" + "".join(
@@ -275,7 +276,7 @@ def test_sql_functions(spark):
     assert spark.sql("SELECT helix_revcomp('TTGACN') AS a, helix_ref_span('5S3M2D1I4M') AS b, helix_read_span('5S3M2D1I4M') AS c").first() == ("NGTCAA", 9, 13)
     assert [tuple(r) for r in spark.sql("SELECT * FROM helix_cigar_blocks(10, '2S3M2D4M')").collect()] == [(10, 13), (15, 19)]
     assert spark.sql("SELECT * FROM helix_cigar_walk('2S3M2D4M')").count() == 4
-    assert spark.sql("SELECT helix_n50(l) FROM VALUES (4L), (6L), (10L) t(l)").first()[0] == 10
+    assert spark.sql("SELECT helix_n50(map_from_entries(collect_list(struct(l, n)))) FROM (SELECT l, count(*) n FROM VALUES (4L), (6L), (10L) t(l) GROUP BY l)").first()[0] == 10
 
 
 def test_bounded_log(spark):
