@@ -11,13 +11,14 @@ from helix import workflows as WF
 from helix.operators import alignments as A
 from helix.operators import reads as R
 from helix.operators import sinks
-from helix.operators.align import align, brute_force
+from helix.operators.align import align
 from helix.operators.runs import bounded_log
 from helix.options import AlignOptions, SnvOptions, TrimOptions, VcfQcOptions, options_from
 from helix.sources.fasta import read_fasta, read_reference
 from helix.sources.fastq import read_fastq, with_ordinals
 from helix.sources.sam import read_bam, read_sam, read_sam_dictionary
 from helix.sources.vcf import read_vcf
+from tests.brute import brute_force
 
 
 def put(tmp_path, name, text, zipped=False):

@@ -4,9 +4,10 @@ import random
 import re
 
 from helix import registry
-from helix.operators.align import align, brute_force
+from helix.operators.align import align, candidates
 from helix.options import AlignOptions
 from helix.plans.whole_read_queries import ALIGN
+from tests.brute import brute_force
 from tests.test_oracles import SF
 
 
@@ -45,3 +46,24 @@ def test_whole_table_is_aligned_with_itself(spark):
     got = ALIGN["F6_P29_A7_align_single_whole"](spark, SF).first()
     assert got["reads"] == rows["sequences"] and 0.6 * got["reads"] < got["mapped"]
     assert max(r["tlen"] for r in ALIGN["F7_P27_P28_align_pairs_whole"](spark, SF).collect()) >= 0
+
+
+def test_repeats_against_brute_force(spark):
+    """A stretch of one letter, reads that cross its ends, equal reads, palindromes and reads of a few bases."""
+    rng = random.Random(8)
+    left, right = ("".join(rng.choice("ACGT") for _ in range(300)) for _ in range(2))
+    ref = [("a", 0, left + "A" * 700 + right), ("b", 1, "AT" * 40 + "ACGT" * 20)]
+    texts = [left[200:] + "A" * 80, "A" * 60 + right[:90], "A" * 150, "A" * 150, "T" * 150, left[210:] + "C" + "A" * 60, "ACGT" * 9, "AC", "A", "AT" * 12, right[10:90], "A" * 100 + "CC" + "A" * 20, "N" * 30 + right[:70]]
+    r, f = spark.createDataFrame(list(enumerate(texts)), "read_id int, seq string"), spark.createDataFrame(ref, "contig string, contig_idx int, seq string")
+    key = ["read_id", "contig", "pos", "strand", "nm", "nh"]
+    for k in (0, 1, 3):
+        assert sorted(map(tuple, align(r, f, AlignOptions(k)).select(*key).collect())) == sorted(map(tuple, brute_force(r, f, k).select(*key).collect())), k
+
+
+def test_a_long_stretch_of_one_letter_does_not_square(spark):
+    """Reads that touch it are candidates at few places."""
+    rng = random.Random(4)
+    flank = "".join(rng.choice("ACGT") for _ in range(2000))
+    reference = spark.createDataFrame([("a", 0, flank + "A" * 100_000 + flank[::-1])], "contig string, contig_idx int, seq string")
+    reads = spark.createDataFrame([(i, flank[2000 - 100 + i :] + "A" * (50 + i)) for i in range(50)], "oid int, oseq string")
+    assert candidates(reads, reference, 2).count() < 50 * 200
