@@ -6,9 +6,9 @@ stream counts every order as sums over runs of records. Counts of all orders the
 it begins with, sorted by its end beside what it ends with, and sort-merge joins of the streams, in lockstep and without tables of hashes, give
 left and right counts and those of phrases that are longer by a word. Spark sorts and merges, spills what doesn't fit and splits frequent keys.
 
-A phrase is no more frequent than its pairs of words, so records end before a rare pair, and most texts are made of these. A first pass counts pairs by 48 bits of
-a hash, and those that may be frequent are told by a bit set of fixed size; both let too many through at worst, and no count that is returned depends on
-them. The first two words may be a pair that a good part of all records begins with: pairs of two words that each are a thousandth of
+A phrase is no more frequent than those within it, so records end where a phrase of two or three words is rare, and most texts are made of these. First passes
+count such phrases by 48 bits of a hash, and those that may be frequent are told by a bit set of fixed size; both let too many through at worst, and no
+count that is returned depends on them. The first two words may be a pair that a good part of all records begins with: pairs of two words that each are a thousandth of
 all (so a thousand words at most) are dealt out by the words up to the first that is rarer, and counts of what is cut so are added up in two steps.
 """
 
@@ -109,31 +109,37 @@ def word_counts(texts: DataFrame, run_bytes: int = 1 << 20) -> DataFrame:
     return texts.mapInArrow(W.releasing(run), COUNTS)
 
 
-def _pair_keys(h: np.ndarray, seeds: np.ndarray, lang: np.ndarray) -> np.ndarray:
-    """48 bits for each two words in a row."""
-    return W.mixed(W.combined(h, 2) ^ seeds[lang[: max(len(h) - 1, 0)]]) >> W.U(16)
+def _keys(h: np.ndarray, seeds: np.ndarray, lang: np.ndarray, n: int) -> np.ndarray:
+    """48 bits for each n words in a row: len(h) - n + 1."""
+    return W.mixed(W.combined(h, n) ^ seeds[lang[: max(len(h) - n + 1, 0)]]) >> W.U(16)
 
 
-def pair_counts(texts: DataFrame, words: Sieve, run_bytes: int = 1 << 20, held_pairs: int = 1 << 22) -> DataFrame:
-    """texts (lang, text) -> h, n: how often pairs of words of the sieve stand in some run of the texts, by their keys."""
+def gram_counts(texts: DataFrame, n: int, less: Sieve, run_bytes: int = 1 << 20, held_grams: int = 1 << 22) -> DataFrame:
+    """texts (lang, text) -> h, n: how often phrases of n words (2 and more) stand in some run of the texts, by their keys; only those whose first and last n - 1 words
+    are in the sieve."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def out() -> pa.RecordBatch:
-            h, n = np.unique(np.concatenate(held), return_counts=True)
+            h, times = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int32))], ["h", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(times.astype(np.int32))], ["h", "n"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             batch, _, seeds = _numbered(batch)
             for data, starts, ends, joined, lang in _tokens(batch, run_bytes):
+                if len(starts) < n:
+                    continue
                 h = W.hashes(data, starts, ends)
-                may = words.holds(W.mixed(h ^ seeds[lang]))
-                held.append(_pair_keys(h, seeds, lang)[joined[:-1] & may[:-1] & may[1:]])
-                if sum(map(len, held)) >= held_pairs:
+                may = less.holds(W.mixed(h ^ seeds[lang]) if n == 2 else _keys(h, seeds, lang, n - 1))
+                ok = may[:-1] & may[1:]
+                for k in range(n - 1):
+                    ok &= joined[k : k + len(ok)]
+                held.append(_keys(h, seeds, lang, n)[ok])
+                if sum(map(len, held)) >= held_grams:
                     yield out()
         if held:
             yield out()
@@ -153,9 +159,9 @@ def _added(held: list[tuple[np.ndarray, np.ndarray, pa.RecordBatch]]) -> pa.Reco
     return rows.take(pa.array(first)).set_column(rows.schema.get_field_index("n"), "n", pa.array(n))
 
 
-def records(texts: DataFrame, longest: int, pairs: Sieve, hot: np.ndarray, run_bytes: int = 1 << 20, held_rows: int = 3 << 19) -> DataFrame:
+def records(texts: DataFrame, longest: int, sieves: dict[int, Sieve], hot: np.ndarray, run_bytes: int = 1 << 20, held_rows: int = 3 << 19) -> DataFrame:
     """texts (lang, text) -> lang, pair, w3 .. w<longest>, salt, n: for each place of a run of the texts where two words begin in a piece that may be a frequent pair, these and
-    those that follow, as long as each two in a row may be (null from there); equal ones of a task are one, as far as held_rows go. salt: 0, but for records that begin with d hot words,
+    those that follow, as long as the phrase may be frequent by the sieves of its order, or that below for the longest (null from there); equal ones of a task are one, as far as held_rows go. salt: 0, but for records that begin with d hot words,
     two or more: then 1 + 8 * (a hash of d + 1 words) + d."""
     more = [f"w{i}" for i in range(3, longest + 1)]
 
@@ -168,10 +174,16 @@ def records(texts: DataFrame, longest: int, pairs: Sieve, hot: np.ndarray, run_b
             for data, starts, ends, joined, lang in _tokens(batch, run_bytes):
                 h = W.hashes(data, starts, ends)
                 often = np.isin(W.mixed(h ^ seeds[lang]), hot)
-                joined[:-1] &= pairs.holds(_pair_keys(h, seeds, lang))
-                size = np.ones(len(h), np.int8)  # words of a place's record
-                for _ in range(longest - 1):
-                    size = np.where(joined, np.minimum(np.append(size[1:], 0) + 1, longest), 1)
+                size, grows = np.ones(len(h), np.int8), np.ones(len(h), bool)  # words of a place's record
+                for n in range(2, longest + 1):
+                    may = np.zeros(len(h), bool)
+                    if len(h) >= n:
+                        order = n if n in sieves else n - 1
+                        held_there = sieves[order].holds(_keys(h, seeds, lang, order))
+                        may[: len(h) - n + 1] = held_there if order == n else held_there[:-1] & held_there[1:]
+                        may[: len(h) - n + 1] &= joined[n - 2 : len(h) - 1]
+                    grows &= may
+                    size[grows] = n
                 at = np.flatnonzero(size > 1)
                 if not len(at):
                     continue
@@ -258,8 +270,12 @@ def run_counts(stream: DataFrame, longest: int, least: int) -> DataFrame:
 def phrase_counts(texts: DataFrame, longest: int, least: int, words: Sieve, hot: np.ndarray, scratch: Scratch) -> DataFrame:
     """texts (lang, text) -> lang, phrase, m, a: the phrases of 2 to longest words that stand least times."""
     keys = ("pair", "lang", "salt")
-    frequent = pair_counts(texts, words).repartition("h").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)  # most stand once in a task: no aggregate before the shuffle
-    stream = records(texts, longest, Sieve(frequent.select("h")), hot).repartition(*keys).sortWithinPartitions(*keys, *(f"w{i}" for i in range(3, longest + 1)))
+    sieves, less = {}, words
+    for n in range(2, max(3, longest)):
+        # most stand once in a task: no aggregate before the shuffle
+        frequent = gram_counts(texts, n, less).repartition("h").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+        sieves[n] = less = Sieve(frequent.select("h"))
+    stream = records(texts, longest, sieves, hot).repartition(*keys).sortWithinPartitions(*keys, *(f"w{i}" for i in range(3, longest + 1)))
     found = scratch.written(run_counts(stream, longest, least), "runs")
     added = found.filter("NOT whole").groupBy("lang", "phrase", "m").agg(F.sum("a").alias("a")).filter(F.col("a") >= least)
     return found.filter("whole").select("lang", "phrase", "m", "a").unionByName(added)
