@@ -76,11 +76,19 @@ EVENT_SCHEMA = """protocol_version int, type string, job_id string, job_revision
 artifact_step_id string, artifact_output_port string, artifact_plugin_id string, artifact_plugin_version string, artifact_module_id string, artifact_file_type string, artifact_relative_project_path string, exit_code long"""
 
 
-def read_events(spark: SparkSession, path: str, streaming: bool = True, max_line: int = 64 << 10) -> DataFrame:
-    """Worker events of NDJSON files, as a stream or at once, with _error: too_long, nul, not_json, a reason of event_error, or null."""
+def read_events(spark: SparkSession, path: str, streaming: bool = True, max_line: int = 64 << 10, complete: bool = False) -> DataFrame:
+    """Worker events of NDJSON files, as a stream or at once, with _error: too_long, nul, not_json, a reason of event_error, or null. As a stream, files may grow, so a last line without an end waits unless they are complete: see
+    helix.sources.events; where Python can't open the path, Spark's text source reads each file once."""
     from helix.functions.jobs import event_error
-
-    lines = (spark.readStream if streaming else spark.read).text(path).withColumn("value", F.regexp_replace("value", "\r$", "")).filter("value <> ''")
-    e = lines.select("value", F.from_json("value", EVENT_SCHEMA).alias("e")).select("value", "e.*")
-    framing = first_error((F.octet_length("value") > max_line, "too_long"), (F.contains("value", F.lit("\x00")), "nul"), (F.col("type").isNull() & F.col("job_id").isNull(), "not_json"))
-    return e.withColumn("_error", F.coalesce(framing, event_error())).drop("value")
+    from helix.sources.events import EventSource
+    from helix.sources.storage import reachable
+
+    if streaming and reachable(path):
+        spark.dataSource.register(EventSource)
+        text = spark.readStream.format("event_lines").option("complete", str(complete).lower()).load(path).select("value", "bytes")
+    else:
+        text = (spark.readStream if streaming else spark.read).text(path).select("value", F.octet_length("value").cast("long").alias("bytes"))
+    lines = text.withColumn("value", F.regexp_replace("value", "\r$", "")).filter("value <> ''")
+    e = lines.select("value", "bytes", F.from_json("value", EVENT_SCHEMA).alias("e")).select("value", "bytes", "e.*")
+    framing = first_error((F.least(F.octet_length("value"), F.col("bytes")) > max_line, "too_long"), (F.contains("value", F.lit("\x00")), "nul"), (F.col("type").isNull() & F.col("job_id").isNull(), "not_json"))
+    return e.withColumn("_error", F.coalesce(framing, event_error())).drop("value", "bytes")

@@ -55,7 +55,7 @@ def test_event_source_and_stream(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     spark.conf.set("spark.sql.shuffle.partitions", "1")
     try:
-        stream = read_events(spark, str(src)).filter("_error IS NULL").withColumn("arrival", F.col("timestamp_utc"))
+        stream = read_events(spark, str(src), complete=True).filter("_error IS NULL").withColumn("arrival", F.col("timestamp_utc"))
         q = follow(stream, str(tmp_path / "ck"), str(tmp_path / "view"), timeout_ms=0).trigger(availableNow=True).start()
         assert q.awaitTermination(400)
         jobs = {r["job_id"]: (r["status"], r["progress"]) for r in live_jobs(spark, str(tmp_path / "view")).collect()}
