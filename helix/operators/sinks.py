@@ -51,21 +51,26 @@ SAM_COLUMNS = ("qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext
 
 
 def write_sam(df: DataFrame, reference: DataFrame, path: str, partitions: int | None = None) -> None:
-    """SAM columns with nm and nh as parts of path/records, in order of ordinal; the header (contigs in the reference's order) in path/header."""
+    """SAM columns with nm and nh, in order of ordinal, as the parts of one file: put together in order of their names they are a SAM file, whose first part begins with
+    the header (contigs in the reference's order). read_sam and read_sam_dictionary take the folder as that file."""
     tags = F.when(F.col("rname") == "*", F.lit("NH:i:0")).otherwise(F.concat(F.lit("NM:i:"), "nm", F.lit("\tNH:i:"), "nh"))
-    line = F.concat_ws("\t", *SAM_COLUMNS, tags)
-    ordered(df, ["ordinal"], partitions).select(line).write.text(f"{path}/records")
-    sq = reference.select(F.col("contig_idx").cast("long").alias("n"), F.concat(F.lit("@SQ\tSN:"), "contig", F.lit("\tLN:"), F.length("seq")).alias("line"))
-    ends = reference.sparkSession.createDataFrame([(-1, "@HD\tVN:1.6\tSO:unknown"), (1 << 60, "@PG\tID:helix\tPN:helix")], "n long, line string")
-    sq.unionByName(ends).coalesce(1).sortWithinPartitions("n").select("line").write.text(f"{path}/header")
+    records = df.select("ordinal", F.concat_ws("\t", *SAM_COLUMNS, tags).alias("line"))
+    sq = reference.select(F.col("contig_idx").cast("double").alias("ordinal"), F.concat(F.lit("@SQ\tSN:"), "contig", F.lit("\tLN:"), F.length("seq")).alias("line"))
+    ends = reference.sparkSession.createDataFrame([(-1.0, "@HD\tVN:1.6\tSO:unknown"), (float("inf"), "@PG\tID:helix\tPN:helix")], "ordinal double, line string")
+    with_header(sq.unionByName(ends), records, partitions).write.text(path)
+
+
+def with_header(header: DataFrame, records: DataFrame, partitions: int | None) -> DataFrame:
+    """header (ordinal: a number, line) and records (ordinal, line) -> line, sorted: the header first."""
+    none = F.lit(None).cast(records.schema["ordinal"].dataType).alias("ordinal")
+    first = header.select(F.col("ordinal").cast("double").alias("h"), none, "line")  # null stands first
+    return ordered(first.unionByName(records.select(F.lit(None).cast("double").alias("h"), "ordinal", "line")), ["ordinal", "h"], partitions).select("line")
 
 
 def write_vcf(meta: DataFrame, records: DataFrame, path: str, partitions: int | None = None) -> None:
     """meta (ordinal, line) and records (ordinal, line) as the parts of one file: put together in order of their names they are a VCF file, whose first part begins
     with the header. read_vcf takes the folder as that file."""
-    none = F.lit(None).cast(records.schema["ordinal"].dataType).alias("ordinal")
-    header = meta.select(F.col("ordinal").cast("double").alias("h"), none, "line")  # null stands first
-    ordered(header.unionByName(records.select(F.lit(None).cast("double").alias("h"), "ordinal", "line")), ["ordinal", "h"], partitions).select("line").write.text(path)
+    with_header(meta, records, partitions).write.text(path)
 
 
 #: The options that a header of called variants names.

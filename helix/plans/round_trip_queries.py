@@ -77,12 +77,12 @@ def sam_files(spark: SparkSession, d: str) -> str:
 
 @query("SRC5_SNK2_sam", f"{ALIGNED} SELECT concat('q', k) AS qname, flag, rname, pos, mapq, cigar, rnext, 0 AS pnext, tlen, read_len AS bases, nm FROM alignments")
 def _(spark, d):
-    return read_sam(spark, f"{sam_files(spark, d)}/records").select("qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", F.length("seq").alias("bases"), "nm")
+    return read_sam(spark, sam_files(spark, d)).select("qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", F.length("seq").alias("bases"), "nm")
 
 
 @query("SRC6_sam_dictionary", f"{AQ.D} SELECT contig, length FROM dictionary")
 def _(spark, d):
-    return read_sam_dictionary(spark, f"{sam_files(spark, d)}/header").select("contig", "length")
+    return read_sam_dictionary(spark, sam_files(spark, d)).select("contig", "length")
 
 
 @query("SRC8_SNK3_vcf", f"{VARIANTS} SELECT chrom, pos, concat('v', ordinal) AS id, ref, alt, flt, info FROM variants")

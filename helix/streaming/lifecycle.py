@@ -137,7 +137,7 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 def upsert_live_jobs(spark: SparkSession, updates: DataFrame, path: str, batch: int) -> None:
     """Put a batch of updates into the view of jobs at path/v=<batch>: the newest by (revision, sequence), progress never less than before within a
-    revision, terminal states kept. Writing a batch again replaces it, so repeated batches do no harm."""
+    revision, terminal states kept. Writing a batch again replaces it, so repeated batches do no harm. The last few views stay."""
     new = updates.filter("reason IS NULL").select("job_id", F.col("launch_revision").alias("revision"), F.coalesce("sequence", F.lit(1 << 60)).alias("sequence"), "status", "progress")
     seen = live_jobs(spark, path, batch)
     rows = new if seen is None else new.unionByName(seen)
@@ -145,16 +145,29 @@ def upsert_live_jobs(spark: SparkSession, updates: DataFrame, path: str, batch:
     top = rows.groupBy("job_id", "revision").agg(F.max("progress").alias("progress"), F.max_by(F.struct("status", "sequence"), cursor).alias("s"))
     newest = top.groupBy("job_id").agg(F.max_by(F.struct("revision", "progress", "s"), "revision").alias("t")).select("job_id", F.col("t.revision").alias("revision"), F.col("t.s.sequence").alias("sequence"), F.col("t.s.status").alias("status"), F.col("t.progress").alias("progress"))
     newest.write.mode("overwrite").parquet(f"{path}/v={batch:012d}")
+    # a batch that is repeated starts from the view before it, and who reads the one before may still do so
+    for name in _views(spark, path)[:-KEPT]:
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
 
-def live_jobs(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """The newest view of the jobs (before a batch); null if there is none."""
+#: Views of the jobs that stay.
+KEPT = 3
+
+
+def _views(spark: SparkSession, path: str) -> list[str]:
+    """The complete views at a path, oldest first."""
     fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(fs_path):
-        return None
+        return []
     names = sorted(s.getPath().getName() for s in fs.listStatus(fs_path))
-    names = [n for n in names if n.startswith("v=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")) and (before is None or int(n[2:]) < before)]
+    return [n for n in names if n.startswith("v=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+
+
+def live_jobs(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The newest view of the jobs (before a batch); null if there is none."""
+    names = [n for n in _views(spark, path) if before is None or int(n[2:]) < before]
     return spark.read.parquet(f"{path}/{names[-1]}") if names else None
 
 
