@@ -6,9 +6,9 @@ stream counts every order as sums over runs of records. Counts of all orders the
 it begins with, sorted by its end beside what it ends with, and sort-merge joins of the streams, in lockstep and without tables of hashes, give
 left and right counts and those of phrases that are longer by a word. Spark sorts and merges, spills what doesn't fit and splits frequent keys.
 
-A phrase is no more frequent than those within it, so records end where a phrase of two or three words is rare, and most texts are made of these. First passes
-count such phrases by 48 bits of a hash, and those that may be frequent are told by a bit set of fixed size; both let too many through at worst, and no
-count that is returned depends on them. The first two words may be a pair that a good part of all records begins with: pairs of two words that each are a thousandth of
+A phrase is no more frequent than its pairs of words, so records end before a rare pair, and most texts are made of these. A first pass counts pairs by 40 bits of
+a hash, and those that may be frequent are told by a bit set of fixed size; both let too many through at worst, and no count that is returned depends on
+them. The first two words may be a pair that a good part of all records begins with: pairs of two words that each are a thousandth of
 all (so a thousand words at most) are dealt out by the words up to the first that is rarer, and counts of what is cut so are added up in two steps.
 """
 
@@ -69,6 +69,8 @@ def _distinct(key: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 #: A word of one in so many may make a frequent pair; records that begin with two such words are dealt out to so many more keys.
 SHARE, SALTS = 1000, 61
+#: Orders, from 2 on, of which frequent phrases are told beforehand. More of them make fewer records and one more pass each.
+ORDERS = (2,)
 
 
 def _tokens(batch: pa.RecordBatch, run_bytes: int):
@@ -110,8 +112,13 @@ def word_counts(texts: DataFrame, run_bytes: int = 1 << 20) -> DataFrame:
 
 
 def _keys(h: np.ndarray, seeds: np.ndarray, lang: np.ndarray, n: int) -> np.ndarray:
-    """48 bits for each n words in a row: len(h) - n + 1."""
-    return W.mixed(W.combined(h, n) ^ seeds[lang[: max(len(h) - n + 1, 0)]]) >> W.U(16)
+    """40 bits for each n words in a row: len(h) - n + 1."""
+    return W.mixed(W.combined(h, n) ^ seeds[lang[: max(len(h) - n + 1, 0)]]) >> W.U(24)
+
+
+def _swapped(keys: np.ndarray) -> np.ndarray:
+    """Keys high byte first."""
+    return (keys << W.U(24)).byteswap()
 
 
 def gram_counts(texts: DataFrame, n: int, less: Sieve, run_bytes: int = 1 << 20, held_grams: int = 1 << 22) -> DataFrame:
@@ -124,7 +131,8 @@ def gram_counts(texts: DataFrame, n: int, less: Sieve, run_bytes: int = 1 << 20,
         def out() -> pa.RecordBatch:
             h, times = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(times.astype(np.int32))], ["h", "n"])
+            # in order and high byte first, so that rows of a shuffle's block share what they begin with and compress
+            return pa.RecordBatch.from_arrays([pa.array(_swapped(h).view(np.int64)), pa.array(times.astype(np.int32))], ["h", "n"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -134,7 +142,7 @@ def gram_counts(texts: DataFrame, n: int, less: Sieve, run_bytes: int = 1 << 20,
                 if len(starts) < n:
                     continue
                 h = W.hashes(data, starts, ends)
-                may = less.holds(W.mixed(h ^ seeds[lang]) if n == 2 else _keys(h, seeds, lang, n - 1))
+                may = less.holds(W.mixed(h ^ seeds[lang]) if n == 2 else _swapped(_keys(h, seeds, lang, n - 1)))
                 ok = may[:-1] & may[1:]
                 for k in range(n - 1):
                     ok &= joined[k : k + len(ok)]
@@ -147,26 +155,28 @@ def gram_counts(texts: DataFrame, n: int, less: Sieve, run_bytes: int = 1 << 20,
     return texts.mapInArrow(W.releasing(run), "h long, n int")
 
 
-def _added(held: list[tuple[np.ndarray, np.ndarray, pa.RecordBatch]]) -> pa.RecordBatch:
-    """Rows of several runs, with their keys: equal ones as one, their n added up."""
-    key, other = (np.concatenate([x[i] for x in held]) for i in (0, 1))
-    rows = pa.Table.from_batches([x[2] for x in held]).combine_chunks().to_batches()[0]
+def _added(held: list[tuple[np.ndarray, np.ndarray, np.ndarray, pa.RecordBatch]]) -> pa.RecordBatch:
+    """Rows of several runs, with their keys and those of their pairs: equal ones as one, their n added up, and pairs together, so that a shuffle's blocks compress."""
+    key, other, pair = (np.concatenate([x[i] for x in held]) for i in (0, 1, 2))
+    rows = pa.Table.from_batches([x[3] for x in held]).combine_chunks().to_batches()[0]
     held.clear()
     _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
     if not (other == other[first][inverse]).all():
         _, first, inverse = np.unique(np.stack([key, other], axis=1), axis=0, return_index=True, return_inverse=True)
     n = np.bincount(inverse.ravel(), rows["n"].to_numpy()).astype(np.int64)
+    order = np.argsort(pair[first], kind="stable")
+    first, n = first[order], n[order]
     return rows.take(pa.array(first)).set_column(rows.schema.get_field_index("n"), "n", pa.array(n))
 
 
 def records(texts: DataFrame, longest: int, sieves: dict[int, Sieve], hot: np.ndarray, run_bytes: int = 1 << 20, held_rows: int = 3 << 19) -> DataFrame:
     """texts (lang, text) -> lang, pair, w3 .. w<longest>, salt, n: for each place of a run of the texts where two words begin in a piece that may be a frequent pair, these and
-    those that follow, as long as the phrase may be frequent by the sieves of its order, or that below for the longest (null from there); equal ones of a task are one, as far as held_rows go. salt: 0, but for records that begin with d hot words,
+    those that follow, as long as all phrases of the sieves' orders in it may be frequent (null from there); equal ones of a task are one, as far as held_rows go. salt: 0, but for records that begin with d hot words,
     two or more: then 1 + 8 * (a hash of d + 1 words) + d."""
     more = [f"w{i}" for i in range(3, longest + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, pa.RecordBatch]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, pa.RecordBatch]] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -174,14 +184,14 @@ def records(texts: DataFrame, longest: int, sieves: dict[int, Sieve], hot: np.nd
             for data, starts, ends, joined, lang in _tokens(batch, run_bytes):
                 h = W.hashes(data, starts, ends)
                 often = np.isin(W.mixed(h ^ seeds[lang]), hot)
-                size, grows = np.ones(len(h), np.int8), np.ones(len(h), bool)  # words of a place's record
+                size, grows, held_there = np.ones(len(h), np.int8), np.ones(len(h), bool), {}  # words of a place's record
                 for n in range(2, longest + 1):
                     may = np.zeros(len(h), bool)
                     if len(h) >= n:
-                        order = n if n in sieves else n - 1
-                        held_there = sieves[order].holds(_keys(h, seeds, lang, order))
-                        may[: len(h) - n + 1] = held_there if order == n else held_there[:-1] & held_there[1:]
-                        may[: len(h) - n + 1] &= joined[n - 2 : len(h) - 1]
+                        order = max(k for k in sieves if k <= n)  # what begins earlier has been looked at for the orders before
+                        if order not in held_there:
+                            held_there[order] = sieves[order].holds(_swapped(_keys(h, seeds, lang, order)))
+                        may[: len(h) - n + 1] = held_there[order][n - order :] & joined[n - 2 : len(h) - 1]
                     grows &= may
                     size[grows] = n
                 at = np.flatnonzero(size > 1)
@@ -211,7 +221,7 @@ def records(texts: DataFrame, longest: int, sieves: dict[int, Sieve], hot: np.nd
                     words = _gather(data, starts[at[has] + n - 1][:, None], ends[at[has] + n - 1][:, None])
                     columns.append(words.take(pa.array(np.cumsum(has) - 1, mask=~has)))
                 rows = pa.RecordBatch.from_arrays([*columns, pa.array(salt.astype(np.int32)), pa.array(count)], ["lang", "pair", *more, "salt", "n"])
-                held.append((keyed[first], others[first], rows))
+                held.append((keyed[first], others[first], W.combined(h, 2)[at], rows))
                 if sum(len(x[0]) for x in held) >= held_rows:
                     yield _added(held)
         if held:
@@ -271,7 +281,7 @@ def phrase_counts(texts: DataFrame, longest: int, least: int, words: Sieve, hot:
     """texts (lang, text) -> lang, phrase, m, a: the phrases of 2 to longest words that stand least times."""
     keys = ("pair", "lang", "salt")
     sieves, less = {}, words
-    for n in range(2, max(3, longest)):
+    for n in ORDERS:
         # most stand once in a task: no aggregate before the shuffle
         frequent = gram_counts(texts, n, less).repartition("h").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
         sieves[n] = less = Sieve(frequent.select("h"))
