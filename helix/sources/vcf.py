@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,11 +21,11 @@ def read_vcf(spark: SparkSession, path: str, on_error: str = "fail", versions: t
 
     The ordinal orders the lines of a file, or of a folder whose files are the parts of one in order of their names: by file, then by order of partitions and lines."""
     text = spark.read.text(path)
-    names = sorted(text.inputFiles())
+    names = sorted(re.sub("^([^/:]+):/+", r"\1:/", n) for n in text.inputFiles())  # Spark writes a local file as file:/ here and as file:/// there
     at = F.monotonically_increasing_id()
     if len(names) > 1:  # a name for each part
         of = spark.createDataFrame(list(enumerate(names)), "i long, name string")
-        text = text.withColumns({"name": F.col("_metadata.file_path"), "at": at}).join(F.broadcast(of), "name")
+        text = text.withColumns({"name": F.regexp_replace("_metadata.file_path", "^([^/:]+):/+", "$1:/"), "at": at}).join(F.broadcast(of), "name")
         at = F.col("i").cast("decimal(38,0)") * (1 << 60) + F.col("at")
     lines = text.select(at.alias("ordinal"), F.regexp_replace("value", "\r$", "").alias("line"))
     meta = lines.filter(F.startswith("line", F.lit("#")))
