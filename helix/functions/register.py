@@ -23,7 +23,7 @@ def scalars() -> tuple[tuple[str, str, Column], ...]:
     return (
         ("base_composition", "seq STRING", S.base_composition("seq")), ("fasta_error", "header STRING, seq STRING", S.fasta_error("header", "seq")), ("revcomp", "seq STRING", S.revcomp("seq")),
         ("contig_name", "header STRING", S.contig_name("header")), ("canonical_hamming", "a STRING, b STRING", S.canonical_hamming("a", "b")), ("gc", "seq STRING", count_of(F.upper("seq"), "GC")),
-        ("phred", "qual STRING", Q.phred("qual")), ("quality_profile", "qual STRING", Q.quality_profile("qual")), ("fastq_error", "header STRING, seq STRING, separator STRING, qual STRING", Q.fastq_error("header", "seq", "separator", "qual")),
+        ("phred", "qual STRING", Q.phred("qual")), ("quality_profile", "qual STRING", Q.profile_expression("qual")), ("fastq_error", "header STRING, seq STRING, separator STRING, qual STRING", Q.fastq_error("header", "seq", "separator", "qual")),
         ("read_name", "header STRING", Q.read_name("header")), ("mate_identity", "header STRING", Q.mate_identity("header")),
         ("adapter_position", "seq STRING, adapter STRING, min_overlap INT, max_mismatches INT", Q.adapter_position("seq", C("adapter"), C("min_overlap"), C("max_mismatches"))), ("quality_trim_length", "qual STRING, upto INT", Q.quality_trim_length("qual", C("upto"))),
         ("has_flag", "flag INT, mask INT", F.expr("flag & mask") != 0), ("decode_flags", "flag INT", A.decode_flags("flag")), ("flag_error", "flag INT", A.flag_error("flag")), ("is_primary", "flag INT", A.is_primary("flag")),
