@@ -34,7 +34,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int, doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, seen = encoder(tokenizer).encode, TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         for b in batches:
-            for base, data, offsets in W.chunks(b["text"], 4 << 20):
+            for base, data, offsets in W.chunks(b["text"], 1 << 20):
                 ids, rows = encode(data, offsets)
                 out: list[tuple] = []
                 for i in range(len(rows) - 1):
