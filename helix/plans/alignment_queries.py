@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helix.functions.alignment import FLAGS, bounds_error, cigar_blocks, cigar_valid, decode_flags, eligibility, is_primary, is_primary_mapped, mapq_bin, nm_tag, parse_cigar, read_span, ref_span, tlen_eligible
 from helix.operators import alignments as A
 from helix.operators.sinks import to_metrics
-from helix.plans.adapters import duck, table
+from helix.plans.adapters import PERIOD, aligned_letters, duck, strings, table
 from helix.registry import query
 
 D = duck("alignments", "dictionary")
@@ -160,30 +163,27 @@ ALIGNED = f"{BLOCKS}, {OBS}, oc AS (SELECT *, {OCLASS} AS class FROM o), pile AS
 
 
 def reference(spark: SparkSession, d: str) -> DataFrame:
-    c = F.substr("contig", F.lit(4)).cast("long")
-    base = lambda p: F.substr(F.lit("ACGNT"), (F.lit(1) + (p * 7 + c * 3 + F.floor(p / 5)) % 5).cast("int"), F.lit(1))
-    return dictionary(spark, d).select("contig", F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.col("length") - 1), base), "").alias("seq"))
+    text = F.element_at(F.array(*map(F.lit, PERIOD)), F.substr("contig", F.lit(4)).cast("int") % 5 + 1)
+    return dictionary(spark, d).select("contig", F.substr(F.repeat(text, F.ceil(F.col("length") / 25).cast("int")), F.lit(1), F.col("length").cast("int")).alias("seq"))
 
 
 def sequenced(spark: SparkSession, d: str) -> DataFrame:
-    """Records with bases and qualities of the same rule as the DuckDB form's; soft-clipped bases are A of the least quality. The rule has periods (25, 11, 53 and 30
-    places), so a stretch is cut from a repeated text rather than made letter by letter."""
-    letters = [F.lit("".join("ACGNT"[(p * 7 + c * 3 + p // 5) % 5] for p in range(25))) for c in range(5)]
-    periodic = lambda text, size, at, n: F.substr(F.repeat(text, F.ceil(n / size).cast("int") + 1), (at % size + 1).cast("int"), n.cast("int"))
-
-    def each(text, letter, size, at):  # the letter at every place that size divides
-        head = F.pmod(-at, F.lit(size)).cast("int")
-        return F.concat(F.substr(text, F.lit(1), head), F.regexp_replace(F.substr(text, head + 1), f".(.{{0,{size - 1}}})", f"{letter}$1"))
-
-    def stretch(p, n):
-        ref = periodic(F.element_at(F.array(*letters), (F.substr("rname", F.lit(4)).cast("int") % 5 + 1)), 25, p, n)
-        return each(each(ref, "N", 53, F.col("k") + p), "G", 11, F.col("k") + p), periodic(F.lit("".join(chr(i + 43) for i in range(30))), 30, F.col("k") + p, n)
-
-    r = records(spark, d).withColumn("m", F.regexp_extract("cigar", "([0-9]+)M", 1).cast("long"))
-    one, two = stretch(F.col("pos") - 1, F.col("m")), stretch(F.col("pos") + F.col("m") + 1, F.lit(3))
-    clip, more = F.when(F.col("cigar").startswith("5S"), 5).otherwise(0), F.col("cigar").endswith("2D3M")
-    text = lambda i, c: F.concat(F.repeat(F.lit(c), clip), one[i], F.when(more, two[i]).otherwise(""))
-    return r.withColumns({"seq": text(0, "A"), "qual": text(1, "!")}).drop("m")
+    """Records with bases and qualities of the same rule as the DuckDB form's; soft-clipped bases are A of the least quality. Columns of one function each, so that
+    filters on records come before them and records whose bases nobody asks for get none."""
+    table = np.array([list(text.encode()) for text in PERIOD])
+
+    @F.arrow_udf("string")
+    def seq(rname: pa.Array, pos: pa.Array, cigar: pa.Array, k: pa.Array) -> pa.Array:
+        row, p, q, clipped, cuts = aligned_letters(pos, cigar, k)
+        contig = pc.cast(pc.utf8_slice_codeunits(rname, 3), pa.int64()).to_numpy() % 5
+        return strings(np.where(clipped, ord("A"), np.where(q % 11 == 0, ord("G"), np.where(q % 53 == 0, ord("N"), table[contig[row], p % 25]))), cuts)
+
+    @F.arrow_udf("string")
+    def qual(pos: pa.Array, cigar: pa.Array, k: pa.Array) -> pa.Array:
+        _, _, q, clipped, cuts = aligned_letters(pos, cigar, k)
+        return strings(np.where(clipped, ord("!"), q % 30 + 43), cuts)
+
+    return records(spark, d).withColumns({"seq": seq("rname", "pos", "cigar", "k"), "qual": qual("pos", "cigar", "k")})
 
 
 @query("P21_P26_J6_observations", f"{D}, {ALIGNED} SELECT contig, class, base, count(*) AS n, sum(quality)::BIGINT AS quality FROM oc GROUP BY contig, class, base")
