@@ -193,9 +193,7 @@ def _(spark, d):
 
 @query("A16_W5_pileup", f"{D}, {ALIGNED} SELECT contig, pos, ref, base, n, qsum, depth FROM site")
 def _(spark, d):
-    p = A.pileup(A.counted_observations(sequenced(spark, d), reference(spark, d)))
-    sites = p.groupBy("contig", "pos").agg(F.sum("n").alias("depth"))
-    return p.join(sites, ["contig", "pos"])
+    return A.pileup_with_depth(A.counted_observations(sequenced(spark, d), reference(spark, d)))
 
 
 @query("A17_F9_O4_call_snvs", f"{D}, {ALIGNED} SELECT contig, pos, ref, depth, base AS alt, n, fraction, abq FROM alt")

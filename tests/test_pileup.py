@@ -66,3 +66,10 @@ def test_odd_records_as_a_walk_by_hand(spark):
     got = A.counted_observations(records, spark.createDataFrame([("c", genome)], "contig string, seq string"))
     got = {tuple(r)[:4]: r[4] for r in got.filter("ref <> ''").groupBy("pos", "ref", "base", "class").sum("n").collect()}
     assert got == want
+
+
+def test_depth_is_of_all_bases_at_a_place(spark):
+    rows = [(n, 0, "c", p, 60, "3M", s, "IIII") for n, p, s in (("a", 1, "ACG"), ("b", 1, "ACT"), ("d", 2, "GNN"))]
+    counted = A.counted_observations(spark.createDataFrame(rows, RECORDS), spark.createDataFrame([("c", "ACGT")], "contig string, seq string"))
+    got = sorted((r.pos, r.base, r.n, r.qsum, r.depth) for r in A.pileup_with_depth(counted).collect())
+    assert got == [(1, "A", 2, 80, 2), (2, "C", 2, 80, 3), (2, "G", 1, 40, 3), (3, "G", 1, 40, 2), (3, "T", 1, 40, 2)]
