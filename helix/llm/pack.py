@@ -47,7 +47,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int, doc_id
                 columns = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(columns[0])), *(pa.array(c, f.dataType == T.IntegerType() and pa.int32() or (pa.list_(pa.int32()) if f.name == "ids" else pa.int64())) for c, f in zip(columns[1:], schema.fields[1:], strict=True))], [f.name for f in schema.fields])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(W.releasing(run), schema)
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(W.releasing(run, keeps=True), schema)
 
 
 def patterns(size: int) -> np.ndarray:

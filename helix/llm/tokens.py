@@ -91,11 +91,8 @@ class Encoder:
         return ids, np.concatenate([[0], after])[rows]
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """The Python worker's own, kept from task to task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path, plain=False)
-    return _ENCODERS[path]
+    """The Python worker's own, kept from task to task as long as these encode."""
+    if path not in W.KEPT:
+        W.KEPT[path] = Encoder(path, plain=False)
+    return W.KEPT[path]

@@ -30,3 +30,10 @@ def test_runs_of_texts_take_less_memory(monkeypatch, spark):
     tracemalloc.stop()
     assert limits == [1 << 20] and pieces > 100
     assert peak < 150 << 20, peak
+
+
+def test_a_worker_drops_the_tokenizer_when_it_packs_no_more():
+    """The pipeline's other stages were stopped over an executor's memory after packing, as each worker still held a tokenizer and its pieces."""
+    held = encoder(tokenizer_path())
+    assert list(W.releasing(lambda batches: batches, keeps=True)(iter([1]))) == [1] and encoder(tokenizer_path()) is held
+    assert list(W.releasing(lambda batches: batches)(iter([1]))) == [1] and not W.KEPT
