@@ -23,23 +23,58 @@ from helix.llm.similar import matrix, similarity_classes
 from helix.llm.sketch import bytes_of, minhashes
 
 
+#: Characters that are hashed at a time, so that what is computed stays in a core's cache.
+_STEP = 1 << 14
+
+
 def char_hashes(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the runs of n characters of a run of texts (of all of a shorter text), ASCII letters folded, row by row, and the rows' offsets in them."""
     c = np.frombuffer(W.LOWER[data].tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    at = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
+    at = offsets if len(c) == len(data) else np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
     size = np.diff(at)
     after = np.concatenate([[0], np.cumsum(np.where(size < n, size > 0, size - n + 1))])
-    h = W.mixed(c.astype(W.U) + W.U(1))
+    long, short = np.flatnonzero(size >= n), np.flatnonzero((size > 0) & (size < n))
+    every = _run_hashes(c, n)
+    # runs that begin in a row and end in the next one go
+    begins = np.zeros(len(every) + 1, np.int8)
+    np.add.at(begins, at[long], 1)
+    np.add.at(begins, at[long + 1] - n + 1, -1)
+    every = every[np.cumsum(begins[:-1], dtype=np.int8).view(bool)]
+    if not len(short):
+        return every, after
     out = np.empty(after[-1], W.U)
-    start, row = W.runs(at, n)
-    out[start - at[row] + after[row]] = W.combined(h, n)[start]
+    inner = np.ones(len(out), bool)
+    inner[after[short]] = False
+    out[inner] = every
     for k in range(1, n):
-        some = np.flatnonzero(size == k)
+        some = short[size[short] == k]
         if len(some):
-            out[after[some]] = W.combined(h, k)[at[some]]
+            out[after[some]] = _run_hashes(c, k)[at[some]]
     return out, after
 
 
+def _run_hashes(c: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each run of n characters: their sum with random odd factors, mixed."""
+    out = np.empty(max(len(c) - n + 1, 0), W.U)
+    wide, sums, part = np.empty(_STEP + n, W.U), np.empty(_STEP, W.U), np.empty(_STEP, W.U)
+    for first in range(0, len(out), _STEP):
+        last = min(first + _STEP, len(out))
+        x, y, z = wide[: last - first + n - 1], sums[: last - first], part[: last - first]
+        np.add(c[first : last + n - 1], W.U(1), out=x)
+        np.multiply(x[: len(y)], W.FACTORS[0], out=y)
+        for i in range(1, n):
+            np.multiply(x[i : i + len(y)], W.FACTORS[i], out=z)
+            np.add(y, z, out=y)
+        np.add(y, W.U(n), out=y)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            np.right_shift(y, W.U(shift), out=z)
+            np.bitwise_xor(y, z, out=y)
+            np.multiply(y, W.U(factor), out=y)
+        np.right_shift(y, W.U(31), out=z)
+        np.bitwise_xor(y, z, out=out[first:last])
+    return out
+
+
 def char_shingles(n: int):
     """The runs of n characters of a run of texts, with the row of each, in order of rows."""
 
@@ -50,6 +85,14 @@ def char_shingles(n: int):
     return shingles
 
 
+def distinct_hashes(h: np.ndarray) -> np.ndarray:
+    """The distinct ones, in order."""
+    h = np.sort(h)
+    first = np.ones(len(h), bool)
+    np.not_equal(h[1:], h[:-1], out=first[1:])
+    return h[first]
+
+
 #: Bytes that are white space at a line's ends.
 _INK = np.array([b not in b" \t\n\r\v\f" for b in range(256)])
 
@@ -68,17 +111,29 @@ def text_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     inner[after[:-1]] = False
     starts[inner] = feeds + 1
     ends[np.flatnonzero(inner) - 1] = feeds
-    ink = np.flatnonzero(_INK[data])
-    i, j = np.searchsorted(ink, starts), np.searchsorted(ink, ends)
-    some = np.flatnonzero(i < j)
-    return ink[i[some]], ink[j[some] - 1] + 1, row[some], number[some], n
+    for move, at in ((1, starts), (-1, ends)):
+        live = np.flatnonzero(starts < ends)
+        for _ in range(64):
+            live = live[~_INK[data[at[live] - (move < 0)]]]
+            if not len(live):
+                break
+            at[live] += move
+            live = live[starts[live] < ends[live]]
+    if len(live) or (~_INK[data[starts[starts < ends]]]).any():  # long white space
+        ink = np.flatnonzero(_INK[data])
+        i, j = np.searchsorted(ink, starts), np.searchsorted(ink, ends)
+        some = np.flatnonzero(i < j)
+        return ink[i[some]], ink[j[some] - 1] + 1, row[some], number[some], n
+    some = np.flatnonzero(starts < ends)
+    return starts[some], ends[some], row[some], number[some], n
 
 
 def compact(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of spans in a row, and their offsets."""
-    size = ends - starts
-    after = np.concatenate([[0], np.cumsum(size)])
-    return data[np.repeat(starts - after[:-1], size) + np.arange(after[-1])], after
+    """The bytes of spans in a row, and their offsets. Spans are in order and don't overlap."""
+    after = np.concatenate([[0], np.cumsum(ends - starts)])
+    cuts = np.stack([starts, ends], axis=1).ravel()
+    inside = np.repeat(np.arange(len(cuts) + 1) % 2 == 1, np.diff(cuts, prepend=0, append=len(data)))
+    return data[inside], after
 
 
 def keys(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
@@ -184,14 +239,16 @@ def decisions_of(rows: DataFrame, *, shingle: int = 5, threshold: float = 0.8, c
     distinct = sketched_lines(rows, shingle, coordinates).groupBy("key").agg(F.min(place).alias("place"), F.count("*").alias("n"), F.first("sketch").alias("sketch"))
     members = scratch.written(distinct.withColumn("id", F.monotonically_increasing_id()), "lines")
 
-    def texts_of(ids: DataFrame) -> DataFrame:
-        places = scratch.written(members.select("id", "place.at", "place._row", "place.line").join(ids, "id"), "places")
-        return lines_at(rows, places).join(places, ["at", "_row", "line"]).select("id", "text")
+    def texts_of(held: DataFrame, ids: DataFrame) -> DataFrame:
+        places = scratch.written(held.select("id", "place.at", "place._row", "place.line").join(ids, "id"), "places")
+        return scratch.written(lines_at(rows, places).join(places, ["at", "_row", "line"]).select("id", "text"), "texts")
 
-    roots = similarity_classes(members, texts_of, char_shingles(shingle), np.unique, threshold=threshold, width=rows_per_band)
-    classed = members.select("id", "key", "place", "n").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    heads = classed.groupBy("root").agg(F.min("place").alias("first"), F.sum("n").alias("occurrences")).filter("occurrences > 1")
-    rivals = written(classed.select("key", "root").join(heads, "root").select("key", "first"), "rivals")
+    roots, held = similarity_classes(members, texts_of, char_shingles(shingle), distinct_hashes, scratch, threshold=threshold, width=rows_per_band)
+    # lines of their own that stand once have no rival, which are most
+    classed = held.select("id", "key", "place").join(roots, "id")
+    heads = classed.groupBy("root").agg(F.min("place").alias("first"))
+    equal = members.filter("n > 1").select("id", "key", "place").join(roots, "id", "left_anti")
+    rivals = written(classed.select("key", "root").join(heads, "root").select("key", "first").unionByName(equal.select("key", F.col("place").alias("first"))), "rivals")
     scratch.drop()
     found = written(lines_with_keys(rows, Sieve(hashed(rivals.select("key"), lambda b: key_hashes(b["key"])))), "found")
     some = found.select("_file", "_row", F.explode(F.arrays_zip("lines", "keys")).alias("x")).select("_file", "_row", F.col("x.lines").alias("line"), F.col("x.keys").alias("key"))

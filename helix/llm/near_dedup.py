@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helix.llm import words as W
-from helix.llm.shared import located, texts_at, written
+from helix.llm.shared import Scratch, located, texts_at, written
 from helix.llm.sieve import Sieve
 from helix.llm.similar import similarity_classes
 from helix.llm.sketch import NONE, bytes_of, sketches
@@ -111,14 +111,17 @@ def near_classes(rows: DataFrame, *, shingle: int = 5, threshold: float = 0.8, c
     same = written(all_rows.groupBy("key").agg(F.min("id").alias("member"), F.count("*").alias("copies")), "contents")
     members = all_rows.join(same.select(F.col("member").alias("id")), "id", "left_semi")
 
-    def texts_of(ids: DataFrame) -> DataFrame:
+    scratch = Scratch(rows.sparkSession)
+
+    def texts_of(held: DataFrame, ids: DataFrame) -> DataFrame:
         """By their place in the table."""
-        places = all_rows.select("id", "_file", "_row").join(ids, "id")
+        places = held.select("id", "_file", "_row").join(ids, "id")
         place = F.xxhash64("_file", "_row")
         some = rows.filter(Sieve(places.select(place.alias("h"))).column(place)).select("text", "_file", "_row")
-        return some.join(places, ["_file", "_row"]).select("id", "text")
+        return scratch.written(some.join(places, ["_file", "_row"]).select("id", "text"), "texts")
 
-    roots = similarity_classes(members, texts_of, shingles, cells, threshold=threshold, width=rows_per_band)
+    roots, _ = similarity_classes(members.select("id", "sketch", "_file", "_row"), texts_of, shingles, cells, scratch, threshold=threshold, width=rows_per_band)
+    scratch.drop()
     classes = same.join(roots.withColumnRenamed("id", "member"), "member", "left").select("key", F.coalesce("root", "member").alias("root"))
     full = all_rows.select("doc_id", "key", "_file", "_row").join(classes, "key").drop("key")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_file", "_row")).alias("first")

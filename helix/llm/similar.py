@@ -10,12 +10,14 @@ and the difference, which is what only one of them has. Every other pair of a bu
   once components are formed, only members outside of the group's largest component look into the other blocks.
 - A member far from the pivot can be similar only to members that are not close to it (distances obey the triangle inequality).
   Those of a bucket form a bucket for the next level, which has up to 64 times as many pivots, none of them seen before.
+- A bucket of two, as most are, is that pair and nothing else.
 
 No link between members of a bucket is left out, but for the chance that sketches err by many standard deviations.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,6 +33,8 @@ from helix.llm.sieve import Sieve
 Shingler = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 #: Sketches under FAR are of pairs that are not measured; over CLOSE, of pairs that are surely similar to a good degree. Members and elements of a block.
 FAR, CLOSE, BLOCK, ELEMENTS = 0.35, 0.8, 700, 500_000
+#: Members of a bucket whose marks are all compared.
+MARKED = 16
 LINKS = "u long, v long"
 #: For rounding: both sides are integers when multiplied by what makes the threshold one.
 SLACK = 1e-9
@@ -52,54 +56,112 @@ def band_hashes(sketches: pa.Array, width: int) -> np.ndarray:
     return h
 
 
-def banded(members: DataFrame, width: int, sieve: Sieve | None = None) -> DataFrame:
-    """A row (id, h) for each band of a member; with a sieve, of those that may be another's as well."""
+def marks(sketches: pa.Array) -> np.ndarray:
+    """A bit of each of 32 coordinates (of all, if there are fewer) of sketches without nulls."""
+    x = matrix(sketches)
+    bits = np.zeros((len(x), 32), np.uint8)
+    some = x[:, :: max(1, x.shape[1] // 32)][:, :32] & 1
+    bits[:, : some.shape[1]] = some
+    return np.packbits(bits, axis=1).view(np.uint32)[:, 0]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                hashes = band_hashes(b["sketch"], width)
-                ids, h = np.repeat(b["id"].to_numpy(zero_copy_only=False), hashes.shape[1]), hashes.ravel()
-                if sieve is not None:
-                    ok = sieve.holds(h)
-                    ids, h = ids[ok], h[ok]
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(h.view(np.int64))], ["id", "h"])
 
-    return members.filter("sketch IS NOT NULL").select("id", "sketch").mapInArrow(W.releasing(run), "id long, h long")
+def most_unlike(threshold: float) -> int:
+    """So many bits of the marks of two similar members differ at most, but for once in 100,000 times."""
+    p = (1 - threshold) / 2
+    tail = np.cumsum([math.comb(32, i) * p**i * (1 - p) ** (32 - i) for i in range(32, -1, -1)])[::-1]
+    return int(np.flatnonzero(np.append(tail, 0) < 1e-5)[0]) - 1
 
 
-def band_counts(members: DataFrame, width: int) -> DataFrame:
-    """A row (h, n) for each band hash of a run of members. Most stand once there and are few bytes, so a hash aggregate before the shuffle doesn't pay."""
+def banded(members: DataFrame, width: int, bits: int) -> DataFrame:
+    """The bands of members, packed: rows (part, base, bands) for the first bits of their hashes; bands holds three 32-bit numbers for each: the next 32 bits of its hash,
+    the member's id less base, the member's marks. A row for each band would be several times the bytes and most of the work."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                h, n = np.unique(band_hashes(b["sketch"], width), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+    def packed(base: int, ids: np.ndarray, hashes: np.ndarray, marks_: np.ndarray) -> pa.RecordBatch:
+        h, offset, mark = hashes.ravel(), np.repeat((ids - base).astype(np.uint32), hashes.shape[1]), np.repeat(marks_, hashes.shape[1])
+        part = (h >> W.U(64 - bits)).astype(np.uint16)
+        order = np.argsort(part, kind="stable")
+        entries = np.stack([(h >> W.U(32 - bits)).astype(np.uint32)[order], offset[order], mark[order]], axis=1)
+        n = np.bincount(part, minlength=1 << bits)
+        some = np.flatnonzero(n)
+        cuts = pa.array(np.concatenate([[0], np.cumsum(n[some]) * 12]), pa.int32())
+        bands = pa.BinaryArray.from_buffers(pa.binary(), len(some), [None, cuts.buffers()[1], pa.py_buffer(entries)])
+        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), base)), bands], ["part", "base", "bands"])
 
-    return members.filter("sketch IS NOT NULL").select("sketch").mapInArrow(W.releasing(run), "h long, n long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
 
+        def flushed() -> Iterator[pa.RecordBatch]:
+            ids, hashes, marks_ = (np.concatenate(x) for x in zip(*held, strict=True))
+            for high in np.unique(ids >> 32):
+                some = ids >> 32 == high
+                yield packed(int(high) << 32, ids[some], hashes[some], marks_[some])
 
-def buckets(members: DataFrame, width: int, scratch: Scratch) -> DataFrame:
-    """h, id, pivot: the members of each bucket that has several."""
-    sizes = scratch.written(band_counts(members, width).repartition("h").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1"), "sizes")
-    shared = scratch.written(banded(members, width, Sieve(sizes.select("h"))).join(sizes, "h"), "shared")
+        for b in batches:
+            if b.num_rows:
+                held.append((b["id"].to_numpy(zero_copy_only=False), band_hashes(b["sketch"], width), marks(b["sketch"])))
+                size += held[-1][1].size
+                if size >= 1 << 18:
+                    yield from flushed()
+                    held, size = [], 0
+        if held:
+            yield from flushed()
+
+    return members.filter("sketch IS NOT NULL").select("id", "sketch").mapInArrow(W.releasing(run), "part int, base long, bands binary")
+
+
+def shared_bands(members: DataFrame, width: int, threshold: float) -> DataFrame:
+    """h, id, n: the members of each bucket of n > 1. Buckets are told by 32 bits and those of the part, of which there are more in a larger table; the few that
+    meet by chance are one, which costs time only. Of buckets of up to MARKED, only members stay whose marks are like those of another: most buckets are of
+    two members that are not alike."""
+    limit = most_unlike(threshold)
+
+    def run(t: pa.Table) -> pa.Table:
+        entries = [np.frombuffer(x, np.uint32).reshape(-1, 3) for x in t["bands"].to_pylist()]
+        ids = np.concatenate([x[:, 1] + base for x, base in zip(entries, t["base"].to_numpy(), strict=True)])
+        h, mark = (np.concatenate([x[:, i] for x in entries]) for i in (0, 2))
+        order = np.argsort(h, kind="stable")
+        h = h[order]
+        cut = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        size = np.diff(np.append(cut, len(h)))
+        n = np.repeat(size, size)
+        for m in range(2, MARKED + 1):
+            at = cut[size == m][:, None] + np.arange(m)
+            for first in range(0, len(at), 4096):
+                places = at[first : first + 4096]
+                x = mark[order[places]]
+                like = np.bitwise_count(x[:, :, None] ^ x[:, None, :]) <= limit
+                like[:, np.arange(m), np.arange(m)] = False
+                alike = like.any(axis=2)
+                n[places] = np.where(alike, alike.sum(axis=1)[:, None], 0)
+        some = n > 1
+        return pa.table({"h": h[some].astype(np.int64) + (t["part"][0].as_py() << 32), "id": ids[order[some]], "n": n[some]})
+
+    bits = min(max(int(members.count() * 24 >> 17).bit_length(), 6), 16)
+    return banded(members, width, bits).groupBy("part").applyInArrow(run, "h long, id long, n long")
+
+
+def buckets(members: DataFrame, width: int, threshold: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """h, id, pivot: the members of each bucket that has more than two; a, b: those of the others."""
+    shared = scratch.written(shared_bands(members, width, threshold), "shared")
+    pairs = shared.filter("n = 2").groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b")).select("a", "b")
+    shared = shared.filter("n > 2")
     ranked = shared.join(shared.groupBy("id").agg(F.sum("n").alias("p")), "id")
     pivots = ranked.groupBy("h").agg(F.max(F.struct("p", (-F.col("id")).alias("i"))).alias("x")).select("h", (-F.col("x.i")).alias("pivot"))
-    return scratch.written(shared.select("h", "id").join(pivots, "h"), "buckets")
+    return scratch.written(shared.select("h", "id").join(pivots, "h"), "buckets"), pairs
 
 
 def compared(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """pairs (a, b) with est, the share of coordinates in which their sketches (id, sketch: a byte for each) agree. Sketches that no pair needs stay where they are."""
-    s = only(sketches.select("id", "sketch"), pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))))
+    """pairs (a, b, star) with est, the share of coordinates in which their sketches (id, sketch: a byte for each) agree."""
+    s = sketches.select("id", "sketch")
     both = pairs.join(s.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(s.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([b["a"], b["b"], pa.array((matrix(b["sa"]) == matrix(b["sb"])).mean(axis=1))], ["a", "b", "est"])
+                yield pa.RecordBatch.from_arrays([b["a"], b["b"], b["star"], pa.array((matrix(b["sa"]) == matrix(b["sb"])).mean(axis=1))], ["a", "b", "star", "est"])
 
-    return both.mapInArrow(W.releasing(run), "a long, b long, est double")
+    return both.mapInArrow(W.releasing(run), "a long, b long, star boolean, est double")
 
 
 def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -109,8 +171,8 @@ def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def measured(pairs: DataFrame, texts: DataFrame, shingles: Shingler, as_set: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """pairs (a, b) with inter, na, nb: the elements that the texts (id, text) have in common and have; delta: those that one has and the other has not."""
-    both = pairs.select("a", "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    """pairs (a, b, star) with inter, na, nb: the elements that the texts (id, text) have in common and have; delta: of a star, those that one has and the other has not."""
+    both = pairs.select("a", "b", "star").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
 
     def sets(column: pa.Array) -> list[np.ndarray]:
         out = []
@@ -128,17 +190,21 @@ def measured(pairs: DataFrame, texts: DataFrame, shingles: Shingler, as_set: Cal
                 pivots = sets(b["ta"].take(pa.array(at)))
                 x, y = [pivots[i] for i in which], sets(b["tb"])
                 inter, delta = np.zeros(len(x), np.int64), []
-                for i, (p, q) in enumerate(zip(x, y, strict=True)):
+                for i, (p, q, star) in enumerate(zip(x, y, b["star"].to_pylist(), strict=True)):
                     both = np.concatenate([p, q])
                     both.sort(kind="stable")  # two runs: a merge
-                    again = np.flatnonzero(both[1:] == both[:-1])
-                    inter[i] = len(again)
-                    one = np.ones(len(both), bool)
-                    one[again] = one[again + 1] = False
-                    delta.append(both[one].view(np.int64))
-                yield pa.RecordBatch.from_arrays([b["a"], b["b"], pa.array(inter), pa.array([len(p) for p in x]), pa.array([len(q) for q in y]), pa.array(delta, pa.list_(pa.int64()))], ["a", "b", "inter", "na", "nb", "delta"])
+                    again = both[1:] == both[:-1]
+                    inter[i] = np.count_nonzero(again)
+                    if star:
+                        one = np.ones(len(both), bool)
+                        one[1:] &= ~again
+                        one[:-1] &= ~again
+                        delta.append(both[one].view(np.int64))
+                    else:
+                        delta.append(both[:0].view(np.int64))
+                yield pa.RecordBatch.from_arrays([b["a"], b["b"], b["star"], pa.array(inter), pa.array([len(p) for p in x]), pa.array([len(q) for q in y]), pa.array(delta, pa.list_(pa.int64()))], ["a", "b", "star", "inter", "na", "nb", "delta"])
 
-    return both.mapInArrow(W.releasing(run), "a long, b long, inter long, na long, nb long, delta array<long>")
+    return both.mapInArrow(W.releasing(run), "a long, b long, star boolean, inter long, na long, nb long, delta array<long>")
 
 
 def similar(threshold: float):
@@ -241,20 +307,28 @@ def across_blocks(rows: DataFrame, roots: DataFrame, threshold: float) -> DataFr
     return block_links(minor.unionByName(every), threshold)
 
 
-def similarity_classes(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shingles: Shingler, as_set: Callable[[np.ndarray], np.ndarray], *, threshold: float, width: int) -> DataFrame:
+def stars_of(shared: DataFrame) -> DataFrame:
+    """a, b, star: each member of a bucket with the bucket's pivot."""
+    return shared.select(F.col("pivot").alias("a"), F.col("id").alias("b"), F.lit(True).alias("star"))
+
+
+def similarity_classes(members: DataFrame, texts_of: Callable[[DataFrame, DataFrame], DataFrame], shingles: Shingler, as_set: Callable[[np.ndarray], np.ndarray], kept: Scratch, *, threshold: float, width: int) -> tuple[DataFrame, DataFrame]:
     """members (id, sketch: binary, a byte for each coordinate, null without elements; distinct ids) -> id, root: for every member with a similar one, the
-    smallest id of its class. Bands have width coordinates. texts_of gives the texts (id, text) of some ids; as_set makes a text's shingles a
-    set of distinct elements in order."""
+    smallest id of its class; and held, a table in kept: the members that were compared with others, with all their columns. Bands have width coordinates.
+    texts_of gives a table of the texts (id, text) of some ids of held; as_set makes a text's shingles a set of distinct elements in order."""
     spark = members.sparkSession
     scratch, first, last = Scratch(spark), Scratch(spark), Scratch(spark)
-    shared, level, roots, more, any_more = buckets(members, width, scratch).withColumn("far", F.lit(True)), 0, None, None, False
-    sketches = scratch.written(only(members.select("id", "sketch"), shared.select("id")), "sketches")  # of members of buckets; most have none
+    shared, pairs = buckets(members, width, threshold, scratch)
+    pairs = pairs.withColumn("star", F.lit(False)).unionByName(stars_of(shared))
+    pairs = scratch.written(pairs.filter("a <> b").groupBy("a", "b").agg(F.max("star").alias("star")), "pairs")
+    shared, level, roots, more, any_more = shared.withColumn("far", F.lit(True)), 0, None, None, False
+    held = kept.written(only(members, pairs.select("a").unionByName(pairs.select(F.col("b").alias("a")))), "held")  # most members are in no pair
     while True:
-        stars = scratch.written(compared(shared.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), sketches), "stars")
+        stars = scratch.written(compared(pairs, held), "stars")
         near = stars.filter(F.col("est") >= FAR)
-        texts = scratch.written(texts_of(near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()), "texts")
+        texts = texts_of(held, near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct())
         known = scratch.written(measured(near, texts, shingles, as_set), "measured")
-        inside, several = within_blocks(known, threshold)
+        inside, several = within_blocks(known.filter("star").drop("star"), threshold)
         links = scratch.written(known.filter(similar(threshold)).select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(inside), "links")
         more = links if more is None else more.unionByName(links)
         any_more |= level > 0 and not links.isEmpty()
@@ -273,8 +347,9 @@ def similarity_classes(members: DataFrame, texts_of: Callable[[DataFrame], DataF
         shared = scratch.written(left.select("h", "id", "far").join(pivots, "h"), "buckets")
         if shared.isEmpty():
             break
+        pairs = stars_of(shared).filter("a <> b").distinct()
     if any_more:
         roots = last.written(components(more, scratch), "roots")
         first.drop()
     scratch.drop()
-    return roots
+    return roots, held
