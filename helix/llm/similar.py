@@ -57,33 +57,33 @@ def band_hashes(sketches: pa.Array, width: int) -> np.ndarray:
 
 
 def marks(sketches: pa.Array) -> np.ndarray:
-    """A bit of each of 32 coordinates (of all, if there are fewer) of sketches without nulls."""
+    """A bit of each of 64 coordinates (of all, if there are fewer) of sketches without nulls."""
     x = matrix(sketches)
-    bits = np.zeros((len(x), 32), np.uint8)
-    some = x[:, :: max(1, x.shape[1] // 32)][:, :32] & 1
+    bits = np.zeros((len(x), 64), np.uint8)
+    some = x[:, :: max(1, x.shape[1] // 64)][:, :64] & 1
     bits[:, : some.shape[1]] = some
-    return np.packbits(bits, axis=1).view(np.uint32)[:, 0]
+    return np.packbits(bits, axis=1).view(np.uint64)[:, 0]
 
 
 def most_unlike(threshold: float) -> int:
     """So many bits of the marks of two similar members differ at most, but for once in 100,000 times."""
     p = (1 - threshold) / 2
-    tail = np.cumsum([math.comb(32, i) * p**i * (1 - p) ** (32 - i) for i in range(32, -1, -1)])[::-1]
+    tail = np.cumsum([math.comb(64, i) * p**i * (1 - p) ** (64 - i) for i in range(64, -1, -1)])[::-1]
     return int(np.flatnonzero(np.append(tail, 0) < 1e-5)[0]) - 1
 
 
 def banded(members: DataFrame, width: int, bits: int) -> DataFrame:
-    """The bands of members, packed: rows (part, base, bands) for the first bits of their hashes; bands holds three 32-bit numbers for each: the next 32 bits of its hash,
+    """The bands of members, packed: rows (part, base, bands) for the first bits of their hashes; bands holds four 32-bit numbers for each: the next 32 bits of its hash,
     the member's id less base, the member's marks. A row for each band would be several times the bytes and most of the work."""
 
     def packed(base: int, ids: np.ndarray, hashes: np.ndarray, marks_: np.ndarray) -> pa.RecordBatch:
         h, offset, mark = hashes.ravel(), np.repeat((ids - base).astype(np.uint32), hashes.shape[1]), np.repeat(marks_, hashes.shape[1])
         part = (h >> W.U(64 - bits)).astype(np.uint16)
         order = np.argsort(part, kind="stable")
-        entries = np.stack([(h >> W.U(32 - bits)).astype(np.uint32)[order], offset[order], mark[order]], axis=1)
+        entries = np.stack([(h >> W.U(32 - bits)).astype(np.uint32)[order], offset[order], *(x[order] for x in (mark.astype(np.uint32), (mark >> W.U(32)).astype(np.uint32)))], axis=1)
         n = np.bincount(part, minlength=1 << bits)
         some = np.flatnonzero(n)
-        cuts = pa.array(np.concatenate([[0], np.cumsum(n[some]) * 12]), pa.int32())
+        cuts = pa.array(np.concatenate([[0], np.cumsum(n[some]) * 16]), pa.int32())
         bands = pa.BinaryArray.from_buffers(pa.binary(), len(some), [None, cuts.buffers()[1], pa.py_buffer(entries)])
         return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), base)), bands], ["part", "base", "bands"])
 
@@ -117,9 +117,10 @@ def shared_bands(members: DataFrame, width: int, threshold: float) -> DataFrame:
     limit = most_unlike(threshold)
 
     def run(t: pa.Table) -> pa.Table:
-        entries = [np.frombuffer(x, np.uint32).reshape(-1, 3) for x in t["bands"].to_pylist()]
+        entries = [np.frombuffer(x, np.uint32).reshape(-1, 4) for x in t["bands"].to_pylist()]
         ids = np.concatenate([x[:, 1] + base for x, base in zip(entries, t["base"].to_numpy(), strict=True)])
-        h, mark = (np.concatenate([x[:, i] for x in entries]) for i in (0, 2))
+        h, low, high = (np.concatenate([x[:, i] for x in entries]) for i in (0, 2, 3))
+        mark = low.astype(W.U) | high.astype(W.U) << W.U(32)
         order = np.argsort(h, kind="stable")
         h = h[order]
         cut = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
