@@ -51,7 +51,8 @@ def qc_records(df: DataFrame, options: VcfQcOptions = VcfQcOptions()) -> DataFra
 
 def explode_alleles(qc: DataFrame) -> DataFrame:
     """A row for each alternate allele: allele_index from 1, alt, type, change, key, its metrics, reasons and decision."""
-    d = qc.select("chrom", "pos", "ref", "flt", "out_filter", "dp", F.posexplode(F.arrays_zip("alts", "reasons", "soft")).alias("i", "a"), "acs", "afs", "abqs")
+    # without outer, Spark filters on the array's size first, and carries that with all that the array is computed from down to the scan
+    d = qc.select("chrom", "pos", "ref", "flt", "out_filter", "dp", F.posexplode_outer(F.arrays_zip("alts", "reasons", "soft")).alias("i", "a"), "acs", "afs", "abqs").filter("i IS NOT NULL")
     return d.select(
         "chrom", "pos", "ref", F.col("a.alts").alias("alt"), (F.col("i") + 1).alias("allele_index"), variant_type("ref", "a.alts").alias("type"), ti_tv("ref", "a.alts").alias("change"), variant_key("chrom", "pos", "ref", "a.alts").alias("key"), "flt",
         "out_filter", "dp", F.get("acs", F.col("i")).alias("ac"), F.get("afs", F.col("i")).alias("af"), F.get("abqs", F.col("i")).alias("abq"), F.col("a.reasons").alias("reasons"), F.col("a.soft").alias("soft"), (F.size("a.reasons") == 0).alias("passed"),

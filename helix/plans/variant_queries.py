@@ -62,7 +62,8 @@ def _(spark, d):
 
 @query("P37_P38_soft_filters", f"{FULL} SELECT ordinal, i::INT AS allele_index, array_to_string(reasons, ',') AS reasons, len(reasons) = 0 AS passed FROM z")
 def _(spark, d):
-    return qc(spark, d).select("ordinal", F.posexplode("reasons").alias("i", "r")).select("ordinal", (F.col("i") + 1).alias("allele_index"), F.array_join("r", ",").alias("reasons"), (F.size("r") == 0).alias("passed"))
+    each = qc(spark, d).select("ordinal", F.posexplode_outer("reasons").alias("i", "r")).filter("i IS NOT NULL")  # see explode_alleles
+    return each.select("ordinal", (F.col("i") + 1).alias("allele_index"), F.array_join("r", ",").alias("reasons"), (F.size("r") == 0).alias("passed"))
 
 
 @query("P39_U4_record_filter", f"{FULL}, {FILTER} SELECT ordinal, out_filter, out_filter = 'PASS' AS passed FROM o")
